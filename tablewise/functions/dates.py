@@ -1,23 +1,29 @@
 """Date parsing from explicit formats.
 
-A format is a shape (a regular expression) and a rewrite to ISO order, so a value that does not
-have the shape costs one failed match and never an exception. ``try_cast`` to TIMESTAMP_NTZ then
-rejects impossible days, and no session time zone is involved.
+A format is a shape (a regular expression) and a rewrite to ISO order. A value is looked at in rising cost:
+its size, a separator of the format, the shape, and only then the cast to TIMESTAMP_NTZ that rejects a
+30th of February. Text that is no date rarely gets beyond the separator, and no session time zone is
+involved.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+_YEAR, _MONTH, _DAY = r"(\d{4})", r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+_MAX_BYTES = 40
 
 
 @dataclass(frozen=True)
 class DateFormat:
     name: str
+    marks: str        # separators, of which a value must have one
     shape: str        # with the groups the rewrite refers to
     rewrite: str      # a replacement that gives yyyy-M-d and an optional time
     month_names: bool = False
@@ -25,13 +31,13 @@ class DateFormat:
 
 # Fixed list. On a tie between formats the earlier one wins.
 DATE_FORMATS: tuple[DateFormat, ...] = (
-    DateFormat("yyyy-M-d", rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})({_TIME})$", "$1-$2-$3$4"),
-    DateFormat("M/d/yyyy", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})({_TIME})$", "$3-$1-$2$4"),
-    DateFormat("d/M/yyyy", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})({_TIME})$", "$3-$2-$1$4"),
-    DateFormat("yyyy/M/d", rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})({_TIME})$", "$1-$2-$3$4"),
-    DateFormat("d.M.yyyy", rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})({_TIME})$", "$3-$2-$1$4"),
-    DateFormat("MMM d, yyyy", r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})$", "$3-$1-$2", True),
-    DateFormat("d MMM yyyy", r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4})$", "$3-$2-$1", True),
+    DateFormat("yyyy-M-d", "-", f"^{_YEAR}-{_MONTH}-{_DAY}({_TIME})$", "$1-$2-$3$4"),
+    DateFormat("M/d/yyyy", "/", f"^{_MONTH}/{_DAY}/{_YEAR}({_TIME})$", "$3-$1-$2$4"),
+    DateFormat("d/M/yyyy", "/", f"^{_DAY}/{_MONTH}/{_YEAR}({_TIME})$", "$3-$2-$1$4"),
+    DateFormat("yyyy/M/d", "/", f"^{_YEAR}/{_MONTH}/{_DAY}({_TIME})$", "$1-$2-$3$4"),
+    DateFormat("d.M.yyyy", ".", rf"^{_DAY}\.{_MONTH}\.{_YEAR}({_TIME})$", "$3-$2-$1$4"),
+    DateFormat("MMM d, yyyy", " ", f"^([A-Za-z]{{3}})[a-z]* {_DAY},? {_YEAR}$", "$3-$1-$2", True),
+    DateFormat("d MMM yyyy", " -", f"^{_DAY}[ -]([A-Za-z]{{3}})[a-z]*[ -]{_YEAR}$", "$3-$2-$1", True),
 )
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -54,7 +60,9 @@ def parse_date(col: Column, fmt: DateFormat) -> Column:
             F.substring(iso, 1, 5), F.nullif(month, F.lit(0)).cast("string"), F.lit("-"),
             F.regexp_extract(iso, r"-(\d{1,2})$", 1),
         )
-    return F.when(col.rlike(fmt.shape), iso.try_cast("timestamp_ntz"))
+    marked = reduce(or_, [col.contains(mark) for mark in fmt.marks])
+    plausible = (F.octet_length(col) <= _MAX_BYTES) & marked & col.rlike(fmt.shape)
+    return F.when(plausible, iso.try_cast("timestamp_ntz"))
 
 
 def parse_any_date(col: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.constants import (
-    DISTINCT_GATE,
     OUTLIER_IQR_FACTOR,
     TEXT_MAX_DISTINCT,
     TEXT_ROWS_PER_DISTINCT,
@@ -21,7 +20,7 @@ from tablewise.constants import (
     UNKNOWN,
 )
 from tablewise.functions.text import strip, title_case
-from tablewise.operators.profile import modes, value_counts
+from tablewise.operators.profile import columns_with_few_values, modes, value_counts
 from tablewise.operators.quantiles import aggregate_row, exact_quantiles, sql_number
 from tablewise.operators.roles import boolean_columns, categorical_columns, column, numeric_columns, quoted
 from tablewise.sources.staging import stage
@@ -191,15 +190,6 @@ class TextFit:
     title_case: bool
 
 
-def text_columns_below(df: DataFrame, columns: list[str], limit: int = DISTINCT_GATE) -> list[str]:
-    """Columns that can have few distinct values, by one sketch per column. The limit is twice every
-    threshold, far outside the error of the sketch; the exact counts are taken from what is left."""
-    if not columns:
-        return []
-    estimates = aggregate_row(df, [f"approx_count_distinct({quoted(c)})" for c in columns])
-    return [c for c, n in zip(columns, estimates) if n <= limit]
-
-
 def text_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n_unique, n_spaced, n_stripped, n_titled, from the frequency table of each column."""
     counts = value_counts(df, columns)
@@ -214,16 +204,6 @@ def text_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def few_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact distinct counts of the columns that have few; a column with many is left out."""
-    few = text_columns_below(df, columns)
-    if not few:
-        return {}
-    counts = value_counts(df, few).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    found = {r["column_name"]: r["n"] for r in counts.collect()}
-    return {c: found.get(c, 0) for c in few}
-
-
 def distinct_limits(rows: int) -> tuple[int, int]:
     """Most distinct values for a text column to be tidied, and to be title-cased (exclusive)."""
     return (min(TEXT_MAX_DISTINCT, rows // TEXT_ROWS_PER_DISTINCT),
@@ -234,7 +214,7 @@ def fit_text(df: DataFrame, rows: int, columns: list[str] | None = None) -> dict
     """Eligible text columns only."""
     columns = categorical_columns(df) if columns is None else columns
     eligible_limit, title_limit = distinct_limits(rows)
-    few = text_columns_below(df, columns)
+    few = columns_with_few_values(df, columns)
     if not few:
         return {}
     found = {r["column_name"]: r for r in text_counts(df, few).collect()}

@@ -2,41 +2,74 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tablewise.operators.profile import sql_text, stack_rows
-from tablewise.operators.quantiles import chunks
+from tablewise.operators.quantiles import aggregate_row, chunks, sql_number
 from tablewise.operators.roles import numeric_columns, quoted
 
-PAIRS_PER_PASS = 66   # three aggregates of up to six sums each
+PAIRS_PER_PASS = 12   # three aggregates of up to six sums each: keeps the generated code small
 
 
-def _pair(x: str, y: str) -> str:
+def _pair_with_missing(x: str, y: str) -> str:
     # corr() raises on a constant column under ANSI rules; this gives NULL.
     return f"try_divide(regr_sxy({y}, {x}), sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})))"
 
 
+def _complete_pairs(df: DataFrame, columns: list[str], rows: int) -> dict[tuple[str, str], float]:
+    """r for columns without missing values: they share one sum and one square sum per column.
+
+    ``df`` holds the values minus their mean, so the sums lose nothing to cancellation.
+    """
+    pairs = list(combinations(columns, 2))
+    sums = aggregate_row(
+        df,
+        [f"sum({c})" for c in columns] + [f"sum({c} * {c})" for c in columns]
+        + [f"sum({a} * {b})" for a, b in pairs],
+    )
+    k = len(columns)
+    total, square = dict(zip(columns, sums[:k])), dict(zip(columns, sums[k:2 * k]))
+
+    def spread(c: str) -> float:
+        return max(0.0, square[c] - total[c] * total[c] / rows) ** 0.5
+
+    found = {}
+    for (a, b), product in zip(pairs, sums[2 * k:]):
+        scale = spread(a) * spread(b)
+        found[a, b] = (product - total[a] * total[b] / rows) / scale if scale else None
+    return found
+
+
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """col_x, col_y, r for every ordered pair, over the rows where both are present.
 
-    The upper triangle is one aggregate over one scan (one per block of pairs for a wide table) and is
-    mirrored afterwards on the small result. NULL where a column is constant or absent.
+    One pass takes counts, ranges and means. Columns without missing values then share one pass of plain
+    sums around their means; pairs with a column that has some are aggregated pair by pair. Only the
+    upper triangle is computed. NULL where a column is constant or empty.
     """
     columns = numeric_columns(df) if columns is None else columns
     values = df.selectExpr(*[f"double({quoted(c)}) as c{i}" for i, c in enumerate(columns)])
-    result = None
-    for block in chunks(list(combinations_with_replacement(range(len(columns)), 2)), PAIRS_PER_PASS):
-        sums = values.selectExpr(*[f"{_pair(f'c{i}', f'c{j}')} as r_{i}_{j}" for i, j in block])
-        rows = []
-        for i, j in block:
-            rows.append([sql_text(columns[i]), sql_text(columns[j]), f"r_{i}_{j}"])
-            if i != j:
-                rows.append([sql_text(columns[j]), sql_text(columns[i]), f"r_{i}_{j}"])
-        part = stack_rows(sums, rows, ["col_x", "col_y", "r"])
-        result = part if result is None else result.unionByName(part)
-    # Rounding can leave a value like 0.9999999999999999 on the diagonal.
-    same = (F.col("col_x") == F.col("col_y")) & F.col("r").isNotNull()
-    return result.withColumn("r", F.when(same, F.lit(1.0)).otherwise(F.col("r")))
+    names = values.columns
+    rows, *facts = aggregate_row(values, ["count(1)"] + [
+        f"{f}({c})" for c in names for f in ("count", "min", "max", "avg")
+    ])
+    counts = dict(zip(names, chunks(facts, 4)))
+    varying = [c for c in names if counts[c][0] and counts[c][1] < counts[c][2]]
+    complete = [c for c in varying if counts[c][0] == rows]
+
+    found: dict[tuple[str, str], float] = {}
+    if len(complete) > 1:
+        centred = values.selectExpr(*[f"{c} - {sql_number(float(counts[c][3]))} as {c}" for c in complete])
+        found.update(_complete_pairs(centred, complete, rows))
+    others = [p for p in combinations(varying, 2) if p not in found]
+    for block in chunks(others, PAIRS_PER_PASS):
+        found.update(zip(block, aggregate_row(values, [_pair_with_missing(a, b) for a, b in block])))
+
+    def r(a: str, b: str):
+        if a == b:
+            return 1.0 if a in varying else None
+        return found.get((a, b), found.get((b, a)))
+
+    table = [(x, y, r(a, b)) for x, a in zip(columns, names) for y, b in zip(columns, names)]
+    return df.sparkSession.createDataFrame(table, "col_x string, col_y string, r double")

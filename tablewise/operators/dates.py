@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.constants import DATE_RATE, DATE_SAMPLE_NEEDED, DATE_SAMPLE_SIZE
 from tablewise.functions.dates import DATE_FORMATS, DateFormat, parse_any_date, parse_date
+from tablewise.operators.profile import columns_with_few_values, value_counts
 from tablewise.operators.roles import categorical_columns, column
 
 
@@ -28,35 +31,66 @@ def detect_by_sample(df: DataFrame, key: list[str], columns: list[str] | None =
     return result.withColumn("is_date", F.col("n_parsed") >= DATE_SAMPLE_NEEDED)
 
 
-def best_formats(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[DateFormat, float]]:
-    """Per column the format that parses most of all rows, and its rate: one aggregate for all of them.
+@dataclass(frozen=True)
+class CategoryFacts:
+    """What chart plans need to know of the text columns."""
+
+    distinct: dict[str, int]                        # exact, only of columns with few values
+    formats: dict[str, tuple[DateFormat, float]]    # the best date format of each column and its rate
+
+    @property
+    def dates(self) -> dict[str, DateFormat]:
+        return {c: fmt for c, (fmt, rate) in self.formats.items() if rate >= DATE_RATE}
+
 
-    A missing value counts as a failure. A text that lacks the shape of a format costs one failed match.
+def _best(parsed: list[int], rows: int) -> tuple[DateFormat, float]:
+    top = max(range(len(parsed)), key=lambda k: (parsed[k], -k))
+    return DATE_FORMATS[top], parsed[top] / rows if rows else 0.0
+
+
+def category_facts(df: DataFrame, columns: list[str] | None = None) -> CategoryFacts:
+    """Distinct counts and date formats of text columns. A missing value counts as a failed parse.
+
+    Columns with few values are judged by their frequency table: each value is parsed once, however often
+    it occurs. The others are parsed row by row, all columns and formats in one aggregate.
     """
     columns = categorical_columns(df) if columns is None else columns
     if not columns:
-        return {}
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        for k, fmt in enumerate(DATE_FORMATS):
-            aggregates.append(F.count(parse_date(column(name), fmt)).alias(f"p{i}_{k}"))
-    row = df.agg(*aggregates).first()
-    best = {}
-    for i, name in enumerate(columns):
-        parsed = [row[f"p{i}_{k}"] for k in range(len(DATE_FORMATS))]
-        top = max(range(len(parsed)), key=lambda k: (parsed[k], -k))
-        best[name] = (DATE_FORMATS[top], parsed[top] / row["rows"] if row["rows"] else 0.0)
-    return best
+        return CategoryFacts({}, {})
+    rows = df.count()
+    few = columns_with_few_values(df, columns)
+    many = [c for c in columns if c not in few]
+    distinct, formats = {}, {}
+    if few:
+        times = F.col("n")
+        counts = value_counts(df, few).groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("n_unique"),
+            *[F.sum(F.when(parse_date(F.col("value"), fmt).isNotNull(), times).otherwise(0)).alias(f"p{k}")
+              for k, fmt in enumerate(DATE_FORMATS)],
+        )
+        found = {r["column_name"]: r for r in counts.collect()}
+        for c in few:
+            r = found.get(c)
+            distinct[c] = r["n_unique"] if r else 0
+            formats[c] = _best([r[f"p{k}"] if r else 0 for k in range(len(DATE_FORMATS))], rows)
+    if many:
+        row = df.agg(*[
+            F.count(parse_date(column(c), fmt)).alias(f"p{i}_{k}")
+            for i, c in enumerate(many) for k, fmt in enumerate(DATE_FORMATS)
+        ]).first()
+        for i, c in enumerate(many):
+            formats[c] = _best([row[f"p{i}_{k}"] for k in range(len(DATE_FORMATS))], rows)
+    return CategoryFacts(distinct, {c: formats[c] for c in columns})
 
 
 def date_columns(df: DataFrame, columns: list[str] | None = None) -> dict[str, DateFormat]:
     """Text columns of which at least 80% of all rows parse, with their format."""
-    return {c: fmt for c, (fmt, rate) in best_formats(df, columns).items() if rate >= DATE_RATE}
+    return category_facts(df, columns).dates
 
 
 def detect_by_rate(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, rate, is_date."""
-    rows = [(c, float(rate), rate >= DATE_RATE) for c, (_, rate) in best_formats(df, columns).items()]
+    rows = [(c, float(rate), rate >= DATE_RATE) for c, (_, rate) in category_facts(df, columns).formats.items()]
     return df.sparkSession.createDataFrame(rows, "column_name string, rate double, is_date boolean")
 
 

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tablewise.constants import BAR_TOP_VALUES, PREVIEW_ROWS, PROFILE_TOP_VALUES, SHORT_STATS_COLUMNS
-from tablewise.operators.quantiles import exact_quantiles
+from tablewise.constants import (
+    BAR_TOP_VALUES,
+    DISTINCT_GATE,
+    PREVIEW_ROWS,
+    PROFILE_TOP_VALUES,
+    SHORT_STATS_COLUMNS,
+)
+from tablewise.operators.quantiles import aggregate_row, exact_quantiles
 from tablewise.operators.roles import categorical_columns, column, numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -179,6 +185,15 @@ def approximate_distinct_counts(df: DataFrame, columns: list[str] | None = None)
     )
 
 
+def columns_with_few_values(df: DataFrame, columns: list[str], limit: int = DISTINCT_GATE) -> list[str]:
+    """Columns that can have few distinct values, by one sketch per column. The limit is twice every
+    threshold, far outside the error of the sketch; exact counts are then taken from what is left."""
+    if not columns:
+        return []
+    estimates = aggregate_row(df, [f"approx_count_distinct({quoted(c)})" for c in columns])
+    return [c for c, n in zip(columns, estimates) if n <= limit]
+
+
 def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
     """column_name, dtype, non_null, n_null, n_unique for every column."""
     columns = df.columns

@@ -7,7 +7,7 @@ document id cannot skew anything. The described table enters as lists of its col
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,7 @@ from tablewise.constants import (
     TREEMAP_MAX_DISTINCT,
 )
 from tablewise.functions.text import strip
-from tablewise.operators.clean import few_distinct
-from tablewise.operators.dates import date_columns
+from tablewise.operators.dates import category_facts
 from tablewise.operators.profile import sql_text
 from tablewise.operators.roles import categorical_columns, datetime_columns, numeric_columns
 
@@ -52,8 +51,8 @@ class TableFacts:
 
 def table_facts(df: DataFrame) -> TableFacts:
     categories = categorical_columns(df)
-    dates = datetime_columns(df) + list(date_columns(df, categories))
-    return TableFacts(numeric_columns(df), categories, dates, few_distinct(df, categories))
+    facts = category_facts(df, categories)
+    return TableFacts(numeric_columns(df), categories, datetime_columns(df) + list(facts.dates), facts.distinct)
 
 
 def numbered_sections(texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,7 +95,11 @@ def _list(names: list[str]) -> str:
 
 
 def _mentioned(names: list[str]) -> str:
-    return f"filter({_list(names)}, c -> contains(lower(description), lower(c)))"
+    """Names that are part of the lower-case text ``low``, in the order of the table."""
+    if not names:
+        return _list([])
+    lowered = ", ".join(f"lower({sql_text(n)})" for n in names)
+    return f"filter({_list(names)}, (c, i) -> contains(low, array({lowered})[i]))"
 
 
 def column_mentions(sections: DataFrame, facts: TableFacts) -> DataFrame:
@@ -108,15 +111,28 @@ def column_mentions(sections: DataFrame, facts: TableFacts) -> DataFrame:
         f"named_struct('column_name', c, 'role', '{role}', 'rnk', i + 1))"
         for role, names in roles
     )
-    return sections.selectExpr("doc_id", "section", f"inline(concat({structs}))")
+    lowered = sections.withColumn("low", F.lower("description"))
+    return lowered.selectExpr("doc_id", "section", f"inline(concat({structs}))")
 
 
-def _plans(facts: TableFacts) -> dict[str, dict[str, str]]:
-    """For each chart type the SQL for x, y, group_col, variant and the condition that it can be drawn.
+@dataclass(frozen=True)
+class _Rule:
+    """SQL for the columns of one chart type and the condition that it can be drawn."""
 
-    m_num, m_cat and m_date are the mentioned columns; ``within(limit)`` are the mentioned categories with at
-    most that many values.
-    """
+    needs: str
+    x: str = "null"
+    y: str = "null"
+    group: str = "null"
+    variant: str = "null"
+
+    def struct(self) -> str:
+        return (f"case when {self.needs} then named_struct('x', string({self.x}), 'y', string({self.y}), "
+                f"'group_col', string({self.group}), 'variant', string({self.variant})) end")
+
+
+def _rules(facts: TableFacts) -> dict[str, _Rule]:
+    """m_num, m_cat and m_date are the mentioned columns; ``within(limit)`` are the mentioned categories
+    with at most that many values."""
     def within(limit: int) -> str:
         return f"filter(m_cat, c -> array_contains({_list(facts.at_most(limit))}, c))"
 
@@ -124,9 +140,12 @@ def _plans(facts: TableFacts) -> dict[str, dict[str, str]]:
         return f"get({array}, 0)"
 
     def number(i: int) -> str:
-        return sql_text(facts.numbers[i]) if len(facts.numbers) > i else "cast(null as string)"
+        return sql_text(facts.numbers[i]) if len(facts.numbers) > i else "null"
 
-    enough_numbers = {n: "true" if len(facts.numbers) >= n else "false" for n in (2, 3)}
+    def numbers_at_least(n: int) -> str:
+        return "true" if len(facts.numbers) >= n else "false"
+
+    has_category = "true" if facts.categories else "false"
     other_category = f"get(filter(m_cat, c -> c != {first('m_cat')}), 0)"
     grouped = (f"array_contains({_list(facts.at_most(CROSSTAB_MAX_GROUPS))}, {other_category}) and "
                f"array_contains({_list(facts.at_most(CROSSTAB_MAX_VALUES))}, {first('m_cat')})")
@@ -135,33 +154,32 @@ def _plans(facts: TableFacts) -> dict[str, dict[str, str]]:
     line_group = f"get(filter({within(LINE_GROUP_MAX_DISTINCT)}, c -> c != {along}), 0)"
     radar_features = (f"slice(if(size(m_num) < {RADAR_MIN_FEATURES}, {_list(facts.numbers)}, m_num), 1, "
                       f"{RADAR_MAX_FEATURES})")
-    first_category = sql_text(facts.categories[0]) if facts.categories else "cast(null as string)"
+    first_category = sql_text(facts.categories[0]) if facts.categories else "null"
     levels = within(TREEMAP_MAX_DISTINCT)
     levels = f"if(size({levels}) > 0, {levels}, {_list(facts.categories[:2])})"
-    has_category = "true" if facts.categories else "false"
 
-    by_category = {"x": first(within(CATEGORY_MAX_DISTINCT)), "y": first("m_num"), "needs": "y is not null"}
-    line = {"x": along, "y": first("m_num"), "group_col": line_group, "needs": "y is not null"}
+    a_number, colour = "size(m_num) > 0", first(within(COLOUR_MAX_DISTINCT))
+    by_category = _Rule(a_number, x=first(within(CATEGORY_MAX_DISTINCT)), y=first("m_num"))
+    line = _Rule(a_number, x=along, y=first("m_num"), group=line_group)
+    pie = within(PIE_MAX_DISTINCT)
     return {
-        "histogram": {"x": first("m_num"), "needs": "x is not null"},
-        "bar": {"x": first("m_cat"), "group_col": f"if({grouped}, {other_category}, null)",
-                "needs": "x is not null"},
-        "pie": {"x": first(within(PIE_MAX_DISTINCT)), "needs": "x is not null"},
-        "scatter": {"x": "get(m_num, 0)", "y": "get(m_num, 1)", "group_col": first(within(COLOUR_MAX_DISTINCT)),
-                    "needs": "y is not null"},
+        "histogram": _Rule(a_number, x=first("m_num")),
+        "bar": _Rule("size(m_cat) > 0", x=first("m_cat"), group=f"if({grouped}, {other_category}, null)"),
+        "pie": _Rule(f"size({pie}) > 0", x=first(pie)),
+        "scatter": _Rule("size(m_num) > 1", x="get(m_num, 0)", y="get(m_num, 1)", group=colour),
         "box": by_category,
         "line": line,
-        "area": {**line, "variant": f"case when {line_group} is null then 'simple' "
-                                    "when contains(lower(description), 'stack') then 'stacked' else 'share' end"},
-        "heatmap": {"needs": enough_numbers[HEATMAP_MIN_NUMERIC]},
-        "bubble": {"x": number(0), "y": number(1), "group_col": first(within(COLOUR_MAX_DISTINCT)),
-                   "variant": f"concat('size=', {number(2)})", "needs": enough_numbers[BUBBLE_MIN_NUMERIC]},
+        "area": replace(line, variant=f"case when {line_group} is null then 'simple' "
+                                      "when contains(low, 'stack') then 'stacked' else 'share' end"),
+        "heatmap": _Rule(numbers_at_least(HEATMAP_MIN_NUMERIC)),
+        "bubble": _Rule(numbers_at_least(BUBBLE_MIN_NUMERIC), x=number(0), y=number(1), group=colour,
+                        variant=f"concat('size=', {number(2)})"),
         "violin": by_category,
-        "radar": {"x": f"array_join({radar_features}, ', ')",
-                  "group_col": f"coalesce({first(within(CATEGORY_MAX_DISTINCT))}, {first_category})",
-                  "needs": f"{enough_numbers[RADAR_MIN_FEATURES]} and {has_category}"},
-        "treemap": {"x": f"array_join({levels}, ' > ')", "y": f"coalesce({first('m_num')}, {number(0)})",
-                    "needs": has_category},
+        "radar": _Rule(f"{numbers_at_least(RADAR_MIN_FEATURES)} and {has_category}",
+                       x=f"array_join({radar_features}, ', ')",
+                       group=f"coalesce({first(within(CATEGORY_MAX_DISTINCT))}, {first_category})"),
+        "treemap": _Rule(has_category, x=f"array_join({levels}, ' > ')",
+                         y=f"coalesce({first('m_num')}, {number(0)})"),
     }
 
 
@@ -171,19 +189,12 @@ def chart_plan(typed: DataFrame, facts: TableFacts) -> DataFrame:
     ``typed`` is the result of ``chart_types``. Several columns in x are joined (radar features by a comma,
     treemap levels by '>'); the size of a bubble is in its variant.
     """
-    plans = _plans(facts)
-
-    def choose(part: str) -> str:
-        cases = " ".join(f"when '{t}' then {p[part]}" for t, p in plans.items() if part in p)
-        return f"cast(case plot_type {cases} end as string)"
-
-    mentioned = typed.where("plot_type is not null").selectExpr(
-        "*", f"{_mentioned(facts.numbers)} as m_num", f"{_mentioned(facts.categories)} as m_cat",
-        f"{_mentioned(facts.dates)} as m_date",
+    mentioned = typed.where("plot_type is not null").withColumn("low", F.lower("description")).selectExpr(
+        "doc_id", "section", "plot_type", "low", f"{_mentioned(facts.numbers)} as m_num",
+        f"{_mentioned(facts.categories)} as m_cat", f"{_mentioned(facts.dates)} as m_date",
     )
-    planned = mentioned.selectExpr(
-        "doc_id", "section", "plot_type",
-        *[f"{choose(part)} as {part}" for part in ("x", "y", "group_col", "variant")],
+    cases = " ".join(f"when '{t}' then {rule.struct()}" for t, rule in _rules(facts).items())
+    # A generator drops the charts that cannot be drawn; a filter would be pushed down and decide twice.
+    return mentioned.selectExpr(
+        "doc_id", "section", "plot_type", f"inline(filter(array(case plot_type {cases} end), p -> p is not null))"
     )
-    needs = " ".join(f"when '{t}' then {p['needs']}" for t, p in plans.items())
-    return planned.where(f"case plot_type {needs} end")

@@ -15,9 +15,8 @@ from tablewise.constants import (
 )
 from tablewise.functions.dates import parse_date
 from tablewise.operators import charts
-from tablewise.operators.clean import few_distinct
 from tablewise.operators.correlation import correlation
-from tablewise.operators.dates import date_columns
+from tablewise.operators.dates import category_facts, date_columns
 from tablewise.operators.profile import bar_values
 from tablewise.operators.recommend import INDEX, chart_plan, chart_types, numbered_sections, table_facts
 from tablewise.operators.roles import categorical_columns, column, datetime_columns, numeric_columns
@@ -44,8 +43,8 @@ def _by(group: str | None) -> str:
 def standard_charts(df: DataFrame) -> list[Chart]:
     """The default set: histogram, bar, donut, scatter, box, line, heatmap, as far as the columns allow."""
     numbers, categories = numeric_columns(df), categorical_columns(df)
-    distinct = few_distinct(df, categories)
-    dates = datetime_columns(df) + list(date_columns(df, categories))
+    facts = category_facts(df, categories)
+    distinct, dates = facts.distinct, datetime_columns(df) + list(facts.dates)
 
     def first_within(limits: tuple[int, int]) -> str | None:
         return next((c for c in categories if limits[0] <= distinct.get(c, limits[1] + 1) <= limits[1]), None)

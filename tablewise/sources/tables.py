@@ -17,8 +17,8 @@ from tablewise.operators.dates import date_columns
 from tablewise.operators.roles import categorical_columns, column
 
 _INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+_INFINITE = r"^\s*[+-]?[iI]nf(?:inity)?\s*$"
 _BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -69,7 +69,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         aggregates += [
             F.count(c).alias(f"n{i}"),
             F.count_if(c.rlike(_INTEGER)).alias(f"i{i}"),
-            F.count(_as_number(c)).alias(f"d{i}"),
+            F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")).alias(f"d{i}"),
             F.count_if(c.isin(*_BOOLEANS)).alias(f"b{i}"),
         ]
     row = df.agg(*aggregates).first()
