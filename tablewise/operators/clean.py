@@ -210,11 +210,13 @@ def distinct_limits(rows: int) -> tuple[int, int]:
             min(TITLE_MAX_DISTINCT, rows // TITLE_ROWS_PER_DISTINCT))
 
 
-def fit_text(df: DataFrame, rows: int, columns: list[str] | None = None) -> dict[str, TextFit]:
-    """Eligible text columns only."""
+def fit_text(df: DataFrame, columns: list[str] | None = None) -> dict[str, TextFit]:
+    """Eligible text columns only: a sketch of all, then the frequencies of those with few values."""
     columns = categorical_columns(df) if columns is None else columns
+    if not columns:
+        return {}
+    rows, few = columns_with_few_values(df, columns)
     eligible_limit, title_limit = distinct_limits(rows)
-    few = columns_with_few_values(df, columns)
     if not few:
         return {}
     found = {r["column_name"]: r for r in text_counts(df, few).collect()}
@@ -263,11 +265,11 @@ def text_eligibility(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 def strip_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Eligible text columns without whitespace at the ends."""
-    fitted = fit_text(df, df.count(), columns)
+    fitted = fit_text(df, columns)
     return replace_columns(df, {c: strip(column(c)) for c, f in fitted.items() if f.n_spaced})
 
 
 def title_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Eligible text columns stripped, and in title case where they have few distinct values."""
-    fitted = fit_text(df, df.count(), columns)
+    fitted = fit_text(df, columns)
     return replace_columns(df, {c: tidied(c, f) for c, f in fitted.items()})

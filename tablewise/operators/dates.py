@@ -57,8 +57,7 @@ def category_facts(df: DataFrame, columns: list[str] | None = None) -> CategoryF
     columns = categorical_columns(df) if columns is None else columns
     if not columns:
         return CategoryFacts({}, {})
-    rows = df.count()
-    few = columns_with_few_values(df, columns)
+    rows, few = columns_with_few_values(df, columns)
     many = [c for c in columns if c not in few]
     distinct, formats = {}, {}
     if few:

@@ -185,13 +185,15 @@ def approximate_distinct_counts(df: DataFrame, columns: list[str] | None = None)
     )
 
 
-def columns_with_few_values(df: DataFrame, columns: list[str], limit: int = DISTINCT_GATE) -> list[str]:
-    """Columns that can have few distinct values, by one sketch per column. The limit is twice every
-    threshold, far outside the error of the sketch; exact counts are then taken from what is left."""
-    if not columns:
-        return []
-    estimates = aggregate_row(df, [f"approx_count_distinct({quoted(c)})" for c in columns])
-    return [c for c, n in zip(columns, estimates) if n <= limit]
+def columns_with_few_values(df: DataFrame, columns: list[str],
+                            limit: int = DISTINCT_GATE) -> tuple[int, list[str]]:
+    """The row count, and the columns that can have few distinct values by one sketch per column: one pass.
+
+    The limit is twice every threshold, far outside the error of the sketch; exact counts are then taken
+    from what is left.
+    """
+    rows, *estimates = aggregate_row(df, ["count(1)"] + [f"approx_count_distinct({quoted(c)})" for c in columns])
+    return rows, [c for c, n in zip(columns, estimates) if n <= limit]
 
 
 def column_info(df: DataFrame, exact: bool = True) -> DataFrame:

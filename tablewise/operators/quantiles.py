@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from tablewise.constants import (
     AGGREGATES_PER_PASS,
     DIRECT_QUANTILE_ROWS,
+    PICK_ROWS_PER_PASS,
     QUANTILE_BUDGET_ROWS,
     SKETCH_ACCURACY,
     SKETCH_MAX_ROWS,
@@ -169,18 +170,21 @@ def _narrow_all(df: DataFrame, searches: list[_Search], budget: int) -> None:
         wide = [s for s in searches if s.open_ranks and s.rows > budget]
 
 
-def _pick_all(df: DataFrame, searches: list[_Search]) -> None:
+def _pick_all(df: DataFrame, searches: list[_Search], budget: int) -> None:
+    """Sort what is left inside the brackets and take the wanted positions.
+
+    Few brackets share a pass, so that the values sorted in its last task stay bounded.
+    """
     left = [s for s in searches if s.open_ranks]
-    if not left:
-        return
-    inside = df.selectExpr(*[f"{s.inside()} as s{i}" for i, s in enumerate(left)]).dropna("all")
-    picked = aggregate_row(inside, [
-        f"transform({sql_array([r - s.upto for r in s.open_ranks])}, "
-        f"i -> element_at(sort_array(collect_list(s{i})), int(i + 1)))"
-        for i, s in enumerate(left)
-    ])
-    for s, values in zip(left, picked):
-        s.found.update(zip(s.open_ranks, values))
+    for part in chunks(left, max(1, PICK_ROWS_PER_PASS // max(1, budget))):
+        inside = df.selectExpr(*[f"{s.inside()} as s{i}" for i, s in enumerate(part)]).dropna("all")
+        picked = aggregate_row(inside, [
+            f"transform({sql_array([r - s.upto for r in s.open_ranks])}, "
+            f"i -> element_at(sort_array(collect_list(s{i})), int(i + 1)))"
+            for i, s in enumerate(part)
+        ])
+        for s, values in zip(part, picked):
+            s.found.update(zip(s.open_ranks, values))
 
 
 def _searched(df: DataFrame, cols: dict[str, Column], probs: list[float], counts: dict[str, int],
@@ -194,7 +198,7 @@ def _searched(df: DataFrame, cols: dict[str, Column], probs: list[float], counts
                 ranks = sorted({math.floor(at), math.ceil(at)})
                 searches[name, p] = _Search(name, f"q{i}", ranks, 0, counts[name])
     _narrow_all(df, list(searches.values()), budget)
-    _pick_all(df, list(searches.values()))
+    _pick_all(df, list(searches.values()), budget)
 
     def value(name: str, p: float):
         s = searches.get((name, p))

@@ -39,8 +39,11 @@ def profile_table(df: DataFrame) -> Profile:
 
 
 def analyze(df: DataFrame, recommendation: str | None = None, options: CleaningOptions | None = None,
-            key: list[str] | None = None) -> Analysis:
-    """Every result is a DataFrame; nothing larger than a profile is computed before it is asked for."""
+            key: list[str] | None = None, exact_distinct: bool = True) -> Analysis:
+    """Every result is a DataFrame; nothing larger than a profile is computed before it is asked for.
+
+    ``exact_distinct=False`` compares distinct counts by sketch: exact ones shuffle the values of every column.
+    """
     df = normalize_missing(require_rows(df))
 
     def plan(table: DataFrame) -> list[Chart]:
@@ -49,5 +52,6 @@ def analyze(df: DataFrame, recommendation: str | None = None, options: CleaningO
     cleaning = clean_table(df, options)
     return Analysis(
         profile_table(df), chart_tables(df, plan(df), key), cleaning, profile_table(cleaning.cleaned),
-        chart_tables(cleaning.cleaned, plan(cleaning.cleaned), key), before_after(df, cleaning.cleaned),
+        chart_tables(cleaning.cleaned, plan(cleaning.cleaned), key),
+        before_after(df, cleaning.cleaned, exact_distinct),
     )

@@ -30,8 +30,7 @@ from tablewise.operators.clean import (
     replace_columns,
     tidied,
 )
-from tablewise.operators.quantiles import aggregate_row
-from tablewise.operators.roles import categorical_columns, numeric_columns, quoted
+from tablewise.operators.roles import categorical_columns, numeric_columns
 from tablewise.sources.staging import stage
 
 ACTION_SCHEMA = (
@@ -166,14 +165,16 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     unique = stage(drop_duplicate_rows(imputed), "unique-rows")
 
     numbers = [c for c in numeric_columns(unique) if c not in options.exclude]
-    rows, *present = aggregate_row(unique, ["count(1)"] + [f"count({quoted(c)})" for c in numbers])
+    rows = unique.count()   # from the footers of the written table
+    # A number column is complete by now, or was empty from the start.
+    present = {c: 0 if missing.medians.get(c, 0) is None else rows for c in numbers}
     if rows < missing.rows:
         actions.append(Action("all", "remove_duplicates", missing.rows - rows,
                               f"Removed {missing.rows - rows} duplicate rows",
                               "Duplicate rows can skew analysis results"))
         issues.append(("all", "duplicate", missing.rows - rows))
 
-    bounds = fit_bounds(unique, numbers, counts=dict(zip(numbers, present)))
+    bounds = fit_bounds(unique, numbers, counts=present)
     if options.skip_zero_iqr:
         bounds = {c: b for c, b in bounds.items() if b.q1 < b.q3}
     outliers = count_outliers(unique, bounds)
@@ -185,7 +186,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
                               "Extreme values can distort statistical analysis"))
         issues.append((c, "outlier", n))
 
-    texts = fit_text(unique, rows, [c for c in categorical_columns(unique) if c not in keep_missing])
+    texts = fit_text(unique, [c for c in categorical_columns(unique) if c not in keep_missing])
     actions += _text_actions(texts)
 
     model = CleaningModel(missing, bounds, texts)

@@ -15,6 +15,7 @@ from tablewise.functions.dates import parse_date
 from tablewise.functions.text import fold_missing
 from tablewise.operators.dates import date_columns
 from tablewise.operators.roles import categorical_columns, column
+from tablewise.sources.staging import stage
 
 _INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
@@ -86,18 +87,22 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             tokens: tuple[str, ...] = MISSING_TOKENS, multi_line: bool = False, **options) -> DataFrame:
+             tokens: tuple[str, ...] = MISSING_TOKENS, multi_line: bool = False, staged: bool = False,
+             **options) -> DataFrame:
     """A CSV file with a header row, its missing tokens folded and its types inferred or given.
 
     ``multi_line`` allows line breaks inside quotes, at the price of files that cannot be split.
+    ``staged`` writes the typed table once, columnar, for the many passes of a profile or a cleaning: each
+    of them would otherwise parse the whole text again.
     """
     reader = spark.read.options(header=True, escape='"', multiLine=multi_line, **options)
     folded = normalize_missing(reader.csv(path), tokens)
     if schema is None:
-        return infer_types(folded)
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    return folded.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        typed = infer_types(folded)
+    else:
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        typed = folded.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+    return stage(typed, "csv") if staged else typed
 
 
 def write_csv(df: DataFrame, path: str, **options) -> None:
