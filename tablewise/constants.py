@@ -66,4 +66,7 @@ PICK_ROWS_PER_PASS = 2_000_000      # most values sorted in one task
 SKETCH_ROWS, SKETCH_MAX_ROWS = 20_000, 20_000_000   # rows a sketch looks at; one in 1000 in between
 SKETCH_ACCURACY = 10_000
 DISTINCT_GATE = 200                 # every threshold on distinct counts lies at or below 100
-AGGREGATES_PER_PASS = 240           # more aggregates than this are split over several passes
+# Spark generates no code for a step with more than 100 fields (spark.sql.codegen.maxFields), which makes
+# each aggregate several times dearer. More aggregates than this are split over several passes: in a
+# columnar table each pass reads only its own columns.
+AGGREGATES_PER_PASS = 96

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewise.constants import DATE_RATE, DATE_SAMPLE_NEEDED, DATE_SAMPLE_SIZE
 from tablewise.functions.dates import DATE_FORMATS, DateFormat, parse_any_date, parse_date
 from tablewise.operators.profile import columns_with_few_values, value_counts
+from tablewise.operators.quantiles import aggregate_row, chunks
 from tablewise.operators.roles import categorical_columns, column
 
 
@@ -73,12 +74,9 @@ def category_facts(df: DataFrame, columns: list[str] | None = None) -> CategoryF
             distinct[c] = r["n_unique"] if r else 0
             formats[c] = _best([r[f"p{k}"] if r else 0 for k in range(len(DATE_FORMATS))], rows)
     if many:
-        row = df.agg(*[
-            F.count(parse_date(column(c), fmt)).alias(f"p{i}_{k}")
-            for i, c in enumerate(many) for k, fmt in enumerate(DATE_FORMATS)
-        ]).first()
-        for i, c in enumerate(many):
-            formats[c] = _best([row[f"p{i}_{k}"] for k in range(len(DATE_FORMATS))], rows)
+        parsed = aggregate_row(df, [F.count(parse_date(column(c), fmt)) for c in many for fmt in DATE_FORMATS])
+        for c, counts in zip(many, chunks(parsed, len(DATE_FORMATS))):
+            formats[c] = _best(counts, rows)
     return CategoryFacts(distinct, {c: formats[c] for c in columns})
 
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tablewise.constants import (
+    AGGREGATES_PER_PASS,
     BAR_TOP_VALUES,
     DISTINCT_GATE,
     PREVIEW_ROWS,
     PROFILE_TOP_VALUES,
     SHORT_STATS_COLUMNS,
 )
-from tablewise.operators.quantiles import aggregate_row, exact_quantiles
+from tablewise.operators.quantiles import aggregate_row, chunks, exact_quantiles
 from tablewise.operators.roles import categorical_columns, column, numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -31,6 +35,20 @@ def stack_rows(df: DataFrame, rows: list[list[str]], names: list[str]) -> DataFr
     return df.selectExpr(f"stack({len(rows)}, {cells}) as ({', '.join(names)})")
 
 
+def _in_parts(columns: list[str], size: int, build: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """The table of ``build`` over groups of columns, so that a wide table keeps its generated code."""
+    return reduce(DataFrame.unionByName, [build(part) for part in chunks(columns, size)])
+
+
+def _one_per_column(df: DataFrame, columns: list[str], aggregate: str, name: str) -> DataFrame:
+    """column_name and one aggregate of it."""
+    def part(chosen: list[str]) -> DataFrame:
+        values = df.selectExpr(*[f"{aggregate.format(quoted(c))} as n{i}" for i, c in enumerate(chosen)])
+        return stack_rows(values, [[sql_text(c), f"n{i}"] for i, c in enumerate(chosen)], ["column_name", name])
+
+    return _in_parts(columns, AGGREGATES_PER_PASS, part)
+
+
 def preview(df: DataFrame, key: list[str] | None = None, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows; give a key for the same rows every time."""
     return (df.orderBy(*key) if key else df).limit(n)
@@ -44,15 +62,20 @@ def shape(df: DataFrame) -> DataFrame:
 def basic_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, cnt, mean, std, min, max of the numeric columns: one aggregate over one scan."""
     columns = numeric_columns(df) if columns is None else columns
-    aggregates, rows = [], []
-    for i, name in enumerate(columns):
-        c = quoted(name)
-        aggregates += [
-            f"count({c}) as n{i}", f"avg(double({c})) as m{i}", f"stddev_samp(double({c})) as s{i}",
-            f"double(min({c})) as lo{i}", f"double(max({c})) as hi{i}",
-        ]
-        rows.append([sql_text(name), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"hi{i}"])
-    return stack_rows(df.selectExpr(*aggregates), rows, ["column_name", "cnt", "mean", "std", "min", "max"])
+    names = ["column_name", "cnt", "mean", "std", "min", "max"]
+
+    def part(chosen: list[str]) -> DataFrame:
+        aggregates, rows = [], []
+        for i, name in enumerate(chosen):
+            c = quoted(name)
+            aggregates += [
+                f"count({c}) as n{i}", f"avg(double({c})) as m{i}", f"stddev_samp(double({c})) as s{i}",
+                f"double(min({c})) as lo{i}", f"double(max({c})) as hi{i}",
+            ]
+            rows.append([sql_text(name), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"hi{i}"])
+        return stack_rows(df.selectExpr(*aggregates), rows, names)
+
+    return _in_parts(columns, AGGREGATES_PER_PASS // 8, part)   # eight sums and extremes per column
 
 
 def describe(df: DataFrame, columns: list[str] | None = None, **limits) -> DataFrame:
@@ -81,10 +104,7 @@ def short_stats(df: DataFrame, n: int = SHORT_STATS_COLUMNS) -> DataFrame:
 
 def missing_counts(df: DataFrame, only_positive: bool = False) -> DataFrame:
     """column_name, n_missing for every column."""
-    counts = df.selectExpr(*[f"count_if({quoted(c)} is null) as n{i}" for i, c in enumerate(df.columns)])
-    table = stack_rows(
-        counts, [[sql_text(c), f"n{i}"] for i, c in enumerate(df.columns)], ["column_name", "n_missing"]
-    )
+    table = _one_per_column(df, df.columns, "count_if({} is null)", "n_missing")
     return table.where("n_missing > 0") if only_positive else table
 
 
@@ -179,10 +199,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def approximate_distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, n_unique from one HyperLogLog sketch per column: one scan, no shuffle of values."""
     columns = df.columns if columns is None else columns
-    counts = df.selectExpr(*[f"approx_count_distinct({quoted(c)}) as n{i}" for i, c in enumerate(columns)])
-    return stack_rows(
-        counts, [[sql_text(c), f"n{i}"] for i, c in enumerate(columns)], ["column_name", "n_unique"]
-    )
+    return _one_per_column(df, columns, "approx_count_distinct({})", "n_unique")
 
 
 def columns_with_few_values(df: DataFrame, columns: list[str],
@@ -205,13 +222,18 @@ def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
         return _per_column(df, columns).select(
             _named(df, columns).alias("column_name"), dtype.alias("dtype"), "non_null", "n_null", "n_unique"
         )
-    aggregates, rows = [], []
-    for i, (name, dtype) in enumerate(zip(columns, dtypes)):
-        c = quoted(name)
-        aggregates += [f"count({c}) as c{i}", f"count_if({c} is null) as m{i}",
-                       f"approx_count_distinct({c}) as u{i}"]
-        rows.append([sql_text(name), sql_text(dtype), f"c{i}", f"m{i}", f"u{i}"])
-    return stack_rows(df.selectExpr(*aggregates), rows, ["column_name", "dtype", "non_null", "n_null", "n_unique"])
+    names = ["column_name", "dtype", "non_null", "n_null", "n_unique"]
+
+    def part(chosen: list[str]) -> DataFrame:
+        aggregates, rows = [], []
+        for i, name in enumerate(chosen):
+            c, dtype = quoted(name), df.schema[name].dataType.simpleString()
+            aggregates += [f"count({c}) as c{i}", f"count_if({c} is null) as m{i}",
+                           f"approx_count_distinct({c}) as u{i}"]
+            rows.append([sql_text(name), sql_text(dtype), f"c{i}", f"m{i}", f"u{i}"])
+        return stack_rows(df.selectExpr(*aggregates), rows, names)
+
+    return _in_parts(columns, AGGREGATES_PER_PASS // 3, part)
 
 
 def group_means(df: DataFrame, group: str, features: list[str]) -> DataFrame:

@@ -48,11 +48,15 @@ def chunks(items: list, size: int) -> list[list]:
     return [items[i:i + size] for i in range(0, len(items), size)]
 
 
-def aggregate_row(df: DataFrame, aggregates: list[str]) -> list:
-    """Values of many SQL aggregates, over several passes when one would outgrow the generated code."""
+def aggregate_row(df: DataFrame, aggregates: list[str] | list[Column]) -> list:
+    """Values of many aggregates (SQL texts or columns), split so that every pass gets generated code."""
     values: list = []
     for part in chunks(aggregates, AGGREGATES_PER_PASS):
-        values.extend(df.selectExpr(*[f"{a} as a{i}" for i, a in enumerate(part)]).first())
+        if isinstance(part[0], str):
+            row = df.selectExpr(*[f"{a} as a{i}" for i, a in enumerate(part)])
+        else:
+            row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(part)])
+        values.extend(row.first())
     return values
 
 

@@ -14,6 +14,7 @@ from tablewise.constants import DATE_RATE, MISSING_TOKENS
 from tablewise.functions.dates import parse_date
 from tablewise.functions.text import fold_missing
 from tablewise.operators.dates import date_columns
+from tablewise.operators.quantiles import aggregate_row, chunks
 from tablewise.operators.roles import categorical_columns, column
 from tablewise.sources.staging import stage
 
@@ -64,24 +65,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     texts = categorical_columns(df)
     if not texts:
         return df
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(texts):
-        c = column(name)
-        aggregates += [
-            F.count(c).alias(f"n{i}"),
-            F.count_if(c.rlike(_INTEGER)).alias(f"i{i}"),
-            F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")).alias(f"d{i}"),
-            F.count_if(c.isin(*_BOOLEANS)).alias(f"b{i}"),
-        ]
-    row = df.agg(*aggregates).first()
+    rows, *counts = aggregate_row(df, [F.count(F.lit(1))] + [
+        a for c in map(column, texts) for a in (
+            F.count(c), F.count_if(c.rlike(_INTEGER)), F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")),
+            F.count_if(c.isin(*_BOOLEANS)))
+    ])
     casts = {}
-    for i, name in enumerate(texts):
-        c, present = column(name), row[f"n{i}"]
-        if row[f"i{i}"] == row["rows"]:
+    for name, (present, integers, numbers, booleans) in zip(texts, chunks(counts, 4)):
+        c = column(name)
+        if integers == rows:
             casts[name] = F.trim(c).cast("bigint")
-        elif row[f"d{i}"] == present:
+        elif numbers == present:
             casts[name] = _as_number(c)
-        elif row[f"b{i}"] == row["rows"]:
+        elif booleans == rows:
             casts[name] = F.lower(c) == "true"
     return df.withColumns(casts)
 
@@ -123,10 +119,8 @@ def convert_types(df: DataFrame, rate: float = DATE_RATE) -> DataFrame:
     texts = categorical_columns(df)
     if not texts:
         return df
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(_as_number(column(c))).alias(f"d{i}") for i, c in enumerate(texts)]
-    ).first()
-    numbers = [c for i, c in enumerate(texts) if row["rows"] and row[f"d{i}"] / row["rows"] >= rate]
+    rows, *found = aggregate_row(df, [F.count(F.lit(1))] + [F.count(_as_number(column(c))) for c in texts])
+    numbers = [c for c, n in zip(texts, found) if rows and n / rows >= rate]
     dates = date_columns(df, [c for c in texts if c not in numbers])
     return df.withColumns({
         **{c: _as_number(column(c)) for c in numbers},

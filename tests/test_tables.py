@@ -224,3 +224,13 @@ def test_top_categories_and_missing_keys(spark):
 
 def test_preview(spark):
     assert [r.id for r in profile.preview(spark.range(100).repartition(5), ["id"]).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_wide_tables_are_profiled_in_parts(spark):
+    df = spark.range(50).select("id", *[(F.col("id") * i).alias(f"n{i}") for i in range(1, 130)],
+                                F.when(F.col("id") > 9, "x").alias("s"))
+    missing = {r.column_name: r.n_missing for r in profile.missing_counts(df).collect()}
+    assert len(missing) == 131 and missing["s"] == 10 and missing["n7"] == 0
+    stats = {r.column_name: r for r in profile.describe(df).collect()}
+    assert len(stats) == 130 and stats["n100"].q50 == 2450.0 and stats["n100"]["max"] == 4900.0
+    assert profile.column_info(df, exact=False).count() == 131
