@@ -60,7 +60,7 @@ SECTION_MIN_LENGTH = 10   # shorter section texts are ignored
 SECTION_LINE_LENGTH = 3   # a section line must be longer than this
 
 # Bounds on what may leave the executors or be decided by a sketch
-DIRECT_QUANTILE_ROWS = 50_000      # up to here the value map of `percentile` is small
+DIRECT_QUANTILE_ROWS = 100_000     # up to here the value map of `percentile` is small
 QUANTILE_BUDGET_ROWS = 50_000      # most rows between two bracket ends for the last pick
 PICK_ROWS_PER_PASS = 2_000_000      # most values sorted in one task
 SKETCH_ROWS, SKETCH_MAX_ROWS = 20_000, 20_000_000   # rows a sketch looks at; one in 1000 in between

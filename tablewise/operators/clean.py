@@ -149,12 +149,14 @@ def outlier_condition(name: str, bounds: Bounds) -> str:
     return f"{c} < {sql_number(bounds.lower)} or {c} > {sql_number(bounds.upper)}"
 
 
+def outlier_aggregates(bounds: dict[str, Bounds]) -> list[str]:
+    """The number of values strictly outside the bounds. A missing value is no outlier."""
+    return [f"count_if({outlier_condition(c, b)})" for c, b in bounds.items()]
+
+
 def count_outliers(df: DataFrame, bounds: dict[str, Bounds]) -> dict[str, int]:
-    """Values strictly outside the bounds, all columns in one aggregate. A missing value is no outlier."""
-    if not bounds:
-        return {}
-    counts = aggregate_row(df, [f"count_if({outlier_condition(c, b)})" for c, b in bounds.items()])
-    return dict(zip(bounds, counts))
+    """All columns in one aggregate."""
+    return dict(zip(bounds, aggregate_row(df, outlier_aggregates(bounds))))
 
 
 def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -215,18 +217,19 @@ def fit_text(df: DataFrame, columns: list[str] | None = None) -> dict[str, TextF
     columns = categorical_columns(df) if columns is None else columns
     if not columns:
         return {}
-    rows, few = columns_with_few_values(df, columns)
-    eligible_limit, title_limit = distinct_limits(rows)
+    return fit_few_valued(df, *columns_with_few_values(df, columns))
+
+
+def fit_few_valued(df: DataFrame, rows: int, few: list[str]) -> dict[str, TextFit]:
+    """The same for columns already known to have few values, in a table of ``rows`` rows."""
     if not few:
         return {}
+    eligible_limit, title_limit = distinct_limits(rows)
     found = {r["column_name"]: r for r in text_counts(df, few).collect()}
-    fitted = {}
-    for c in few:
-        if c in found and found[c]["n_unique"] <= eligible_limit:
-            r = found[c]
-            fitted[c] = TextFit(r["n_unique"], r["n_spaced"], r["n_stripped"], r["n_titled"],
-                                r["n_stripped"] < title_limit)
-    return fitted
+    return {
+        c: TextFit(r["n_unique"], r["n_spaced"], r["n_stripped"], r["n_titled"], r["n_stripped"] < title_limit)
+        for c in few if (r := found.get(c)) and r["n_unique"] <= eligible_limit
+    }
 
 
 def tidied(name: str, fit: TextFit) -> Column:

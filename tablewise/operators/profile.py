@@ -209,8 +209,16 @@ def columns_with_few_values(df: DataFrame, columns: list[str],
     The limit is twice every threshold, far outside the error of the sketch; exact counts are then taken
     from what is left.
     """
-    rows, *estimates = aggregate_row(df, ["count(1)"] + [f"approx_count_distinct({quoted(c)})" for c in columns])
-    return rows, [c for c, n in zip(columns, estimates) if n <= limit]
+    rows, *estimates = aggregate_row(df, ["count(1)"] + distinct_sketches(columns))
+    return rows, few_valued(columns, estimates, limit)
+
+
+def distinct_sketches(columns: list[str]) -> list[str]:
+    return [f"approx_count_distinct({quoted(c)})" for c in columns]
+
+
+def few_valued(columns: list[str], estimates: list[int], limit: int = DISTINCT_GATE) -> list[str]:
+    return [c for c, n in zip(columns, estimates) if n <= limit]
 
 
 def column_info(df: DataFrame, exact: bool = True) -> DataFrame:

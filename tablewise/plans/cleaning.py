@@ -22,14 +22,16 @@ from tablewise.operators.clean import (
     MissingFit,
     TextFit,
     capped,
-    count_outliers,
     drop_duplicate_rows,
     fit_bounds,
+    fit_few_valued,
     fit_missing,
-    fit_text,
+    outlier_aggregates,
     replace_columns,
     tidied,
 )
+from tablewise.operators.profile import distinct_sketches, few_valued
+from tablewise.operators.quantiles import aggregate_row
 from tablewise.operators.roles import categorical_columns, numeric_columns
 from tablewise.sources.staging import stage
 
@@ -177,7 +179,11 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     bounds = fit_bounds(unique, numbers, counts=present)
     if options.skip_zero_iqr:
         bounds = {c: b for c, b in bounds.items() if b.q1 < b.q3}
-    outliers = count_outliers(unique, bounds)
+    texts = [c for c in categorical_columns(unique) if c not in keep_missing]
+    # One pass counts the outliers and sketches the distinct values of the texts.
+    counts = aggregate_row(unique, outlier_aggregates(bounds) + distinct_sketches(texts))
+    outliers = dict(zip(bounds, counts))
+    few = few_valued(texts, counts[len(bounds):])
     bounds = {c: b for c, b in bounds.items() if outliers[c]}
     for c, b in bounds.items():
         n = outliers[c]
@@ -186,10 +192,10 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
                               "Extreme values can distort statistical analysis"))
         issues.append((c, "outlier", n))
 
-    texts = fit_text(unique, [c for c in categorical_columns(unique) if c not in keep_missing])
-    actions += _text_actions(texts)
+    tidy = fit_few_valued(unique, rows, few)
+    actions += _text_actions(tidy)
 
-    model = CleaningModel(missing, bounds, texts)
+    model = CleaningModel(missing, bounds, tidy)
     result = CleaningResult(model.cap_and_tidy(unique), model, actions, missing.rows, rows, df.columns, issues)
     if rows == 0:
         result.cleaned = df
