@@ -181,12 +181,10 @@ def _pick_all(df: DataFrame, searches: list[_Search], budget: int) -> None:
     """
     left = [s for s in searches if s.open_ranks]
     for part in chunks(left, max(1, PICK_ROWS_PER_PASS // max(1, budget))):
-        inside = df.selectExpr(*[f"{s.inside()} as s{i}" for i, s in enumerate(part)]).dropna("all")
-        picked = aggregate_row(inside, [
-            f"transform({sql_array([r - s.upto for r in s.open_ranks])}, "
-            f"i -> element_at(sort_array(collect_list(s{i})), int(i + 1)))"
-            for i, s in enumerate(part)
-        ])
+        inside = df.selectExpr(*[f"sort_array(collect_list({s.inside()})) as s{i}" for i, s in enumerate(part)])
+        picked = inside.selectExpr(*[
+            f"array({', '.join(f's{i}[{r - s.upto}]' for r in s.open_ranks)}) as s{i}" for i, s in enumerate(part)
+        ]).first()
         for s, values in zip(part, picked):
             s.found.update(zip(s.open_ranks, values))
 
