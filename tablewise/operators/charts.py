@@ -237,6 +237,13 @@ def _series(df: DataFrame, x: Column, y: str, group: str | None) -> DataFrame:
     )
 
 
+def _bucket(at: Column, unit: str) -> Column:
+    """Start of the bucket. A day is cut by date, which no session time zone can shift."""
+    if unit == "day":
+        return at.cast("date").cast("timestamp_ntz")
+    return F.date_trunc(unit, at).cast("timestamp_ntz")
+
+
 def line_series(df: DataFrame, x: str | Column | None, y: str, group: str | None = None,
                 key: list[str] | None = None) -> DataFrame:
     """x, group_value, y: every row that has an x, in the order of x. Without an x, the row position by
@@ -251,7 +258,7 @@ def line_bucketed(df: DataFrame, x: str | Column, y: str, group: str | None = No
                   unit: str = "day") -> DataFrame:
     """bucket, group_value, n, avg_y, min_y, max_y: the line for a large table."""
     at = column(x) if isinstance(x, str) else x
-    series = _series(df, F.date_trunc(unit, at).cast("timestamp_ntz"), y, group)
+    series = _series(df, _bucket(at, unit), y, group)
     return series.groupBy(F.col("x").alias("bucket"), "group_value").agg(
         F.count("y").alias("n"), F.avg("y").alias("avg_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y")
     )
@@ -260,7 +267,7 @@ def line_bucketed(df: DataFrame, x: str | Column, y: str, group: str | None = No
 def _area(df: DataFrame, x: str | Column, y: str, group: str | None, unit: str | None) -> DataFrame:
     at = column(x) if isinstance(x, str) else x
     if unit:
-        at = F.date_trunc(unit, at).cast("timestamp_ntz")
+        at = _bucket(at, unit)
     return _series(df, at, y, group).groupBy("x", "group_value").agg(F.sum("y").alias("y"))
 
 

@@ -16,10 +16,12 @@ def row_index(df: DataFrame, key: list[str], name: str = "row_index") -> DataFra
 
     A window over the whole table would sort it in one task. Here the rows are range-partitioned by the
     key, sorted and numbered inside their partition, and written once; the partition sizes, a table with
-    one row per partition, then give each partition its offset. Give enough key columns to tell rows
-    apart: the ranges are cut by all of them, so a hot first column is split by the next.
+    one row per partition, then give each partition its offset. The ranges are cut by all key columns and
+    then by a hash of the row, so a hot key is split by the next column or by the rest of its rows.
     """
     order = [column(k).asc_nulls_last() for k in key]
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order.append(F.xxhash64(*[column(c) for c in hashable]))
     ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         "_id", F.monotonically_increasing_id()
     )
