@@ -70,3 +70,27 @@ DISTINCT_GATE = 200                 # every threshold on distinct counts lies at
 # each aggregate several times dearer. More aggregates than this are split over several passes: in a
 # columnar table each pass reads only its own columns.
 AGGREGATES_PER_PASS = 96
+
+# Texts of the action log: (action type, description, justification). Fixed values.
+ACTION_MEDIAN = ("fill_missing", "Filled {n} missing values with median", "Median is robust to outliers")
+ACTION_MODE = ("fill_missing", "Filled {n} missing values with mode: '{value}'",
+               "Mode represents the most common value")
+ACTION_UNKNOWN = ("fill_missing", "Filled {n} missing values with 'Unknown'",
+                  "No mode available, using standard placeholder")
+ACTION_DUPLICATES = ("remove_duplicates", "Removed {n} duplicate rows", "Duplicate rows can skew analysis results")
+ACTION_OUTLIERS = ("handle_outliers", "Capped {n} outliers to 3×IQR boundaries",
+                   "Extreme values can distort statistical analysis")
+ACTION_STRIP = ("standardize_text", "Stripped whitespace from {n} values",
+                "Remove inconsistent whitespace for better matching")
+ACTION_TITLE = ("standardize_text", "Standardized text case, reducing unique values from {before} to {after}",
+                "Consistent case improves grouping of similar values")
+
+# Titles of the standard charts. Fixed values.
+TITLE_HISTOGRAM = "Distribution of {x}"
+TITLE_BAR = "Top values for {x}"
+TITLE_PIE = "Composition of {x}"
+TITLE_SCATTER = "Relationship between {y} and {x}"
+TITLE_BOX = "Box Plot of {y}"
+TITLE_LINE = "Trend of {y} over time"
+TITLE_BY = " by {group}"
+TITLE_HEATMAP = "Correlation Heatmap"

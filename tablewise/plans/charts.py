@@ -12,6 +12,14 @@ from tablewise.constants import (
     STANDARD_GROUP,
     STANDARD_HEATMAP_MIN_NUMERIC,
     STANDARD_PIE,
+    TITLE_BAR,
+    TITLE_BOX,
+    TITLE_BY,
+    TITLE_HEATMAP,
+    TITLE_HISTOGRAM,
+    TITLE_LINE,
+    TITLE_PIE,
+    TITLE_SCATTER,
 )
 from tablewise.functions.dates import parse_date
 from tablewise.operators import charts
@@ -36,8 +44,10 @@ class Chart:
     variant: str | None = None
 
 
-def _by(group: str | None) -> str:
-    return f" by {group}" if group else ""
+def _chart(plot_type: str, title: str, x: str | None = None, y: str | None = None, by: str | None = None,
+           **rest) -> Chart:
+    text = title.format(x=x, y=y) + (TITLE_BY.format(group=by) if by else "")
+    return Chart(plot_type, text, x, y, **rest)
 
 
 def standard_charts(df: DataFrame) -> list[Chart]:
@@ -49,25 +59,22 @@ def standard_charts(df: DataFrame) -> list[Chart]:
     def first_within(limits: tuple[int, int]) -> str | None:
         return next((c for c in categories if limits[0] <= distinct.get(c, limits[1] + 1) <= limits[1]), None)
 
+    pie, colour, group = (first_within(limits) for limits in (STANDARD_PIE, STANDARD_COLOUR, STANDARD_GROUP))
     plan = []
     if numbers:
-        plan.append(Chart("histogram", f"Distribution of {numbers[0]}", x=numbers[0]))
+        plan.append(_chart("histogram", TITLE_HISTOGRAM, numbers[0]))
     if categories and distinct.get(categories[0], 1) > 0:
-        plan.append(Chart("bar", f"Top values for {categories[0]}", x=categories[0]))
-    pie = first_within(STANDARD_PIE)
+        plan.append(_chart("bar", TITLE_BAR, categories[0]))
     if pie:
-        plan.append(Chart("pie", f"Composition of {pie}", x=pie, variant="plain"))
-    colour = first_within(STANDARD_COLOUR)
+        plan.append(_chart("pie", TITLE_PIE, pie, variant="plain"))
     if len(numbers) >= 2:
-        plan.append(Chart("scatter", f"Relationship between {numbers[1]} and {numbers[0]}{_by(colour)}",
-                          numbers[0], numbers[1], colour))
+        plan.append(_chart("scatter", TITLE_SCATTER, numbers[0], numbers[1], by=colour, group=colour))
     if numbers and categories:
-        plan.append(Chart("box", f"Box Plot of {numbers[0]}{_by(colour)}", x=colour, y=numbers[0]))
+        plan.append(_chart("box", TITLE_BOX, colour, numbers[0], by=colour))
     if numbers and dates:
-        group = first_within(STANDARD_GROUP)
-        plan.append(Chart("line", f"Trend of {numbers[0]} over time{_by(group)}", dates[0], numbers[0], group))
+        plan.append(_chart("line", TITLE_LINE, dates[0], numbers[0], by=group, group=group))
     if len(numbers) >= STANDARD_HEATMAP_MIN_NUMERIC:
-        plan.append(Chart("heatmap", "Correlation Heatmap"))
+        plan.append(_chart("heatmap", TITLE_HEATMAP))
     return plan
 
 

@@ -16,7 +16,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tablewise.constants import REPORT_TOP_ACTIONS
+from tablewise.constants import (
+    ACTION_DUPLICATES,
+    ACTION_MEDIAN,
+    ACTION_MODE,
+    ACTION_OUTLIERS,
+    ACTION_STRIP,
+    ACTION_TITLE,
+    ACTION_UNKNOWN,
+    REPORT_TOP_ACTIONS,
+)
 from tablewise.operators.clean import (
     Bounds,
     MissingFit,
@@ -57,6 +66,11 @@ class Action:
     justification: str
 
 
+def _action(name: str, texts: tuple[str, str, str], n_affected: int, note: str = "", **values) -> Action:
+    kind, description, justification = texts
+    return Action(name, kind, n_affected, description.format(**{"n": n_affected, **values}) + note, justification)
+
+
 @dataclass
 class CleaningModel:
     """Everything the fits found."""
@@ -120,23 +134,16 @@ class CleaningResult:
 def _missing_actions(df: DataFrame, fit: MissingFit) -> list[Action]:
     actions = []
     for c in [c for c in numeric_columns(df) if c in fit.medians]:
-        n = fit.missing[c]
         if fit.medians[c] is None:
-            actions.append(Action(c, "fill_missing", 0,
-                                  f"Filled {n} missing values with median (no value to take it from: left missing)",
-                                  "Median is robust to outliers"))
+            actions.append(_action(c, ACTION_MEDIAN, 0, " (no value to take it from: left missing)", n=fit.missing[c]))
         else:
-            actions.append(Action(c, "fill_missing", n, f"Filled {n} missing values with median",
-                                  "Median is robust to outliers"))
+            actions.append(_action(c, ACTION_MEDIAN, fit.missing[c]))
     for c in [c for c in df.columns if c in fit.modes]:
         n, value = fit.missing[c], fit.modes[c]
-        if n == fit.rows:
-            filled = 0 if value is None else n
-            actions.append(Action(c, "fill_missing", filled, f"Filled {n} missing values with 'Unknown'",
-                                  "No mode available, using standard placeholder"))
+        if n < fit.rows:
+            actions.append(_action(c, ACTION_MODE, n, value=value))
         else:
-            actions.append(Action(c, "fill_missing", n, f"Filled {n} missing values with mode: '{value}'",
-                                  "Mode represents the most common value"))
+            actions.append(_action(c, ACTION_UNKNOWN, 0 if value is None else n, n=n))
     return actions
 
 
@@ -144,14 +151,9 @@ def _text_actions(texts: dict[str, TextFit]) -> list[Action]:
     actions = []
     for c, f in texts.items():
         if f.n_spaced:
-            actions.append(Action(c, "standardize_text", f.n_spaced,
-                                  f"Stripped whitespace from {f.n_spaced} values",
-                                  "Remove inconsistent whitespace for better matching"))
+            actions.append(_action(c, ACTION_STRIP, f.n_spaced))
         if f.title_case and f.n_titled < f.n_stripped:
-            actions.append(Action(c, "standardize_text", f.n_stripped - f.n_titled,
-                                  "Standardized text case, reducing unique values from "
-                                  f"{f.n_stripped} to {f.n_titled}",
-                                  "Consistent case improves grouping of similar values"))
+            actions.append(_action(c, ACTION_TITLE, f.n_stripped - f.n_titled, before=f.n_stripped, after=f.n_titled))
     return actions
 
 
@@ -171,9 +173,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     # A number column is complete by now, or was empty from the start.
     present = {c: 0 if missing.medians.get(c, 0) is None else rows for c in numbers}
     if rows < missing.rows:
-        actions.append(Action("all", "remove_duplicates", missing.rows - rows,
-                              f"Removed {missing.rows - rows} duplicate rows",
-                              "Duplicate rows can skew analysis results"))
+        actions.append(_action("all", ACTION_DUPLICATES, missing.rows - rows))
         issues.append(("all", "duplicate", missing.rows - rows))
 
     bounds = fit_bounds(unique, numbers, counts=present)
@@ -187,9 +187,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     bounds = {c: b for c, b in bounds.items() if outliers[c]}
     for c, b in bounds.items():
         n = outliers[c]
-        note = "" if b.q1 < b.q3 else " (the quartiles are equal)"
-        actions.append(Action(c, "handle_outliers", n, f"Capped {n} outliers to 3×IQR boundaries{note}",
-                              "Extreme values can distort statistical analysis"))
+        actions.append(_action(c, ACTION_OUTLIERS, n, "" if b.q1 < b.q3 else " (the quartiles are equal)"))
         issues.append((c, "outlier", n))
 
     tidy = fit_few_valued(unique, rows, few)
