@@ -27,9 +27,12 @@ from tablewise.operators.ordering import row_index, top_categories
 from tablewise.operators.profile import QUARTILES
 from tablewise.operators.quantiles import column_quantiles
 from tablewise.operators.roles import column, numeric_columns
+from tablewise.sources.staging import stage
 
 ALL = "all"          # the group of a chart without groups
 OTHER = "Other"
+BOX_SCHEMA = ("group_value string, n long, q1 double, median double, q3 double, whisker_lo double, "
+              "whisker_hi double, n_outliers long, notch_lo double, notch_hi double")
 
 
 class TooManyCategories(ValueError):
@@ -175,16 +178,21 @@ def box_stats(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
     # One conditional column per group: all groups share the passes of the quantile search.
     parts = {g: F.when(F.col("group_value") == F.lit(g), F.col("y")) for g in counts}
     quartiles = column_quantiles(values, parts, QUARTILES, counts=counts)
-    fitted = df.sparkSession.createDataFrame(
-        [(g, n, *map(float, quartiles[g])) for g, n in counts.items()],
-        "group_value string, n long, q1 double, median double, q3 double",
-    )
+    if not counts:
+        return df.sparkSession.createDataFrame([], BOX_SCHEMA)
+    # At most ten groups: their quartiles enter the next pass as literals.
+    names = ("n", "q1", "median", "q3")
+    fitted = F.coalesce(*[
+        F.when(F.col("group_value") == g, F.struct(*[
+            F.lit(v).cast("long" if name == "n" else "double").alias(name)
+            for name, v in zip(names, (n, *map(float, quartiles[g])))
+        ])) for g, n in counts.items()
+    ])
+    values = values.withColumn("fit", fitted).select("group_value", "y", "fit.*")
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("y") >= low) & (F.col("y") <= high)
-    # At most ten rows are sent to every task.
-    joined = values.join(F.broadcast(fitted), "group_value")
-    whiskers = joined.groupBy("group_value", "n", "q1", "median", "q3").agg(
+    whiskers = values.groupBy("group_value", "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("y"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("y"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"),
@@ -198,7 +206,8 @@ def box_stats(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
 def violin_density(df: DataFrame, y: str, x: str | None = None, nbins: int = 100, points: int = 50) -> DataFrame:
     """group_value, grid, density: a Gaussian density per group on a fixed grid.
 
-    The kernel is summed over bin counts, not rows: rows are read once and become at most groups x bins.
+    The kernel is summed over bin counts, not rows: after the range is known, one pass turns the rows into at
+    most groups x bins, and the spread of each group comes from the same bins.
     The bandwidth is 1.06 sigma n^-1/5. A group without spread has no density.
     """
     values = _grouped_values(df, y, x)
@@ -209,12 +218,17 @@ def violin_density(df: DataFrame, y: str, x: str | None = None, nbins: int = 100
         return df.sparkSession.createDataFrame([], "group_value string, grid double, density double")
     width, step = (high - low) / nbins, (high - low) / (points - 1)
     bins = values.groupBy("group_value", _bin(F.col("y"), low, high, nbins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")
     )
-    spread = values.groupBy("group_value").agg(
-        F.count(F.lit(1)).alias("total"), F.stddev_samp("y").alias("sigma")
-    ).withColumn("h", 1.06 * F.col("sigma") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).where("h > 0")
-    kernels = bins.join(F.broadcast(spread), "group_value").select(
+    # The spread of a group from its bins: inside them and between their means. At most nbins rows per group.
+    of_group = W.partitionBy("group_value")
+    n, m, v = F.col("n"), F.col("m"), F.col("v")
+    bins = bins.withColumn("total", F.sum(n).over(of_group)).withColumn(
+        "mean", F.sum(n * m).over(of_group) / F.col("total")
+    ).withColumn("square", F.sum(n * (v + (m - F.col("mean")) * (m - F.col("mean")))).over(of_group))
+    sigma = F.sqrt(F.try_divide(F.col("square"), F.col("total") - 1))
+    bins = bins.withColumn("h", 1.06 * sigma * F.pow(F.col("total").cast("double"), F.lit(-0.2)))
+    kernels = bins.where("h > 0").select(
         "group_value", "n", "total", "h",
         (low + (F.col("bin") - 0.5) * F.lit(width)).alias("middle"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"),
@@ -324,7 +338,7 @@ def radar(df: DataFrame, group: str, features: list[str]) -> DataFrame:
 def treemap(df: DataFrame, levels: list[str], value: str | None = None) -> DataFrame:
     """level, h1.., total, n, colour, pct_parent, pct_root: every node of the hierarchy.
 
-    Rows are aggregated to the leaves once and the levels above are rolled up from those. The colour is
+    Rows are aggregated to the leaves in one scan and the levels above are rolled up from those. The colour is
     the mean of the value weighted by itself. Rows without a key are left out, so NULL in a level means
     "all of it". Without a value the size is the row count.
     """
@@ -333,9 +347,11 @@ def treemap(df: DataFrame, levels: list[str], value: str | None = None) -> DataF
     keyed = df.dropna(subset=levels).select(
         *[column(c).cast("string").alias(h) for c, h in zip(levels, names)], v.alias("v")
     )
-    leaves = keyed.groupBy(*names).agg(
+    # Written once: the nodes and their parents would otherwise each scan the whole table.
+    leaves = stage(keyed.groupBy(*names).agg(
         F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"), F.sum(F.col("v") * F.col("v")).alias("s2")
-    )
+    ), "tree-leaves")
+    root_total = F.lit(leaves.agg(F.sum("s")).first()[0]).cast("double")
     level = sum((1 - F.grouping(h).cast("int") for h in names), F.lit(0))
     nodes = leaves.rollup(*names).agg(
         level.alias("level"), F.sum("s").alias("total"), F.sum("c").alias("n"),
@@ -349,13 +365,9 @@ def treemap(df: DataFrame, levels: list[str], value: str | None = None) -> DataF
     match = F.col("p_level") == F.col("q_level")
     for h in names:
         match = match & F.col(f"p_{h}").eqNullSafe(F.col(f"q_{h}"))
-    root = nodes.where("level = 0").select(F.col("level").alias("r_level"), F.col("total").alias("root_total"))
-    with_parent = child.join(parent, match, "left")
-    # The root is one row.
-    with_root = with_parent.join(F.broadcast(root), F.col("r_level") == F.lit(0))
-    return with_root.select(
+    return child.join(parent, match, "left").select(
         "level", *names, "total", "n", "colour",
         F.when(F.col("level") == 0, F.lit(1.0)).otherwise(
             F.try_divide(F.col("total"), F.col("parent_total"))).alias("pct_parent"),
-        F.try_divide(F.col("total"), F.col("root_total")).alias("pct_root"),
+        F.try_divide(F.col("total"), root_total).alias("pct_root"),
     )

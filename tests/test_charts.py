@@ -148,3 +148,7 @@ def test_whole_analysis(frame):
     comparison = {r.column_name: r for r in result.comparison.collect()}
     assert comparison["y"].n_missing_before == 300 and comparison["y"].n_missing_after == 0
     assert set(result.original_charts) == set(result.cleaned_charts)
+
+
+def test_box_stats_of_nothing(spark):
+    assert charts.box_stats(spark.createDataFrame([(None,)], "y double"), "y").count() == 0

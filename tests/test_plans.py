@@ -17,7 +17,7 @@ def plan(df) -> str:
 def test_no_python_and_no_product_join(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "Python" not in text and "Pandas" not in text
-    assert "CartesianProduct" not in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def read_columns(text: str) -> set[str]:
@@ -58,3 +58,11 @@ def test_texts_are_planned_without_a_shuffle(spark):
     facts = recommend.TableFacts(["l_quantity", "l_tax"], ["l_returnflag"], [], {"l_returnflag": 3})
     assert "Exchange" not in plan(recommend.chart_plan(sections, facts))
     assert "Exchange" not in plan(recommend.column_mentions(sections, facts))
+
+
+def test_charts_with_fitted_ranges_scan_once(spark):
+    lineitem = table(spark, FOLDER, "lineitem")
+    for df in (charts.histogram(lineitem, "l_tax"), charts.violin_density(lineitem, "l_tax", "l_returnflag"),
+               charts.radar(lineitem, "l_returnflag", ["l_tax"]), charts.crosstab(lineitem, "l_linestatus", "l_returnflag")):
+        assert plan(df).count("FileScan") == 1
+    assert "part.parquet" not in plan(charts.treemap(table(spark, FOLDER, "part"), ["p_type", "p_brand"], "p_size"))
