@@ -6,18 +6,22 @@ it is columnar: every later pass reads only the columns it needs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class StagingFolderError(RuntimeError):
+    """The session names no shared folder for intermediate tables."""
+
+
 def staging_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset (tests), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session: a folder that the driver and all executors share. It must be
+    set when the session is built; a folder of the driver's own would be invisible to the executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tablewise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise StagingFolderError(
+            "set spark.checkpoint.dir to a folder shared by the driver and all executors when building the session")
     return folder.rstrip("/")
 
 

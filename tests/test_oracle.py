@@ -14,10 +14,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, connection, name):
     ours = entry.queries()[name](spark, FOLDER).toPandas()
     theirs = connection.execute(entry.oracle_sql()[name]).df()
