@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.llm.common import documents
+from tablewise.llm.language import UNDETERMINED, identify_languages, learn_languages
 from tablewise.llm.packing import pack
 from tablewise.llm.pieces import encode_pieces
+from tablewise.llm.quality import quality_rules
 from tablewise.llm.token_files import token_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +33,29 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(documents(spark, folder)).drop("row")
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def _remainder(divisor: int):
+    """crc32 of doc_id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = identify_languages(docs, learn_languages(docs.where(_remainder(4) != 2)))
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score",
+                        "accepted")
+
+
 @query
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
