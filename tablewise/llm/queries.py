@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import documents
 from tablewise.llm.language import UNDETERMINED, identify_languages, learn_languages
+from tablewise.llm.ngram_join import ngram_join
 from tablewise.llm.packing import pack
 from tablewise.llm.pieces import encode_pieces
 from tablewise.llm.quality import quality_rules
@@ -33,6 +34,11 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(documents(spark, folder))
+
+
 @query
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder)).drop("row")
