@@ -35,10 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse; kept and enlarged."""
     global _powers
     if len(_powers[0]) < n:
@@ -81,9 +81,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         origin = starts[i]
         j = max(i + 1, int(np.searchsorted(starts, origin + PIECE)))
         piece = data[origin:ends[i:j].max()]
-        power, inverse = _power_tables(len(piece) + 1)
+        power, inverse = power_tables(len(piece) + 1)
         total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[piece] * power[:len(piece)], out=total[1:])
+        np.cumsum(BYTE_VALUES[piece] * power[:len(piece)], out=total[1:])
         s, e = starts[i:j] - origin, ends[i:j] - origin
         out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
         i = j

@@ -14,6 +14,7 @@ from tablewise.llm.ngram_join import ngram_join
 from tablewise.llm.packing import pack
 from tablewise.llm.pieces import encode_pieces
 from tablewise.llm.quality import quality_rules
+from tablewise.llm.suffix_dedup import remove_repeats
 from tablewise.llm.token_files import token_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,12 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder), length=400).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
