@@ -1,8 +1,9 @@
 """Encoding by a table of distinct chunks.
 
-A tokenizer whose tokens never cross the start of a white-space run encodes every chunk (a white-space run and
-the run of other characters after it) on its own. A text is then the ids of its chunks, one after the other, and
-each distinct chunk has to be encoded once only. The table lives in the Python worker and is kept between tasks.
+A tokenizer whose tokens never cross the start of a white-space run, nor the change between plain letters and
+plain punctuation, encodes every chunk between such places on its own. A text is then the ids of its chunks, one
+after the other, and each distinct chunk has to be encoded once only. The table lives in the Python worker and is
+kept between tasks.
 """
 
 from __future__ import annotations
@@ -10,58 +11,87 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
 #: Chunks of a generation of the table. When it is full it becomes the old generation, and what is used again is
 #: taken over from there, so that memory is bounded whatever the number of distinct chunks.
-TABLE_CHUNKS = 250_000
+TABLE_CHUNKS = 400_000
+
+
+class ChunkTable(dict):
+    """Chunk -> its ids as bytes; a chunk that is not in the table is encoded when it is looked up."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = TABLE_CHUNKS):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
 
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            value = packed(self.encode(chunk))
+        self[chunk] = value
+        return value
 
-class ChunkTable:
-    """``encode`` gives a value for each of a list of chunks; ``values`` looks up the chunks of texts."""
+    def ids(self, chunks: list[str]) -> bytes:
+        """The ids of a text's chunks."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, chunks))
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = TABLE_CHUNKS):
-        self.encode, self.most = encode, most
-        self.new: dict[str, object] = {}
-        self.old: dict[str, object] = {}
 
-    def values(self, texts_chunks: list[list[str]]) -> list[list]:
-        missing = set().union(*texts_chunks).difference(self.new)
-        if len(self.new) + len(missing) > self.most:
-            self.old, self.new = self.new, {}
-            missing = set().union(*texts_chunks)
-        taken = missing.intersection(self.old)
-        self.new.update((c, self.old[c]) for c in taken)
-        fresh = list(missing - taken)
-        self.new.update(zip(fresh, self.encode(fresh)))
-        get = self.new.__getitem__
-        return [list(map(get, chunks)) for chunks in texts_chunks]
+def packed(ids: list[int]) -> bytes:
+    """Unsigned 32-bit little-endian integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 #: Fixed value: the characters with the Unicode property White_Space. Python's \\s has a few more.
 WHITE_SPACE = "\\t-\\r \x85\xa0  -     　"
-_WITH_SPACE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-_WITHOUT_SPACE = re.compile(f"[^{WHITE_SPACE}]+")
+_PUNCTUATION, _NO_APOSTROPHE = "!-/:-@\\[-`{-~", "!-&(-/:-@\\[-`{-~"
+#: ASCII letters and digits, and the letters of two Latin blocks but for two that change their length
+_PLAIN = "A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž"
+# A run of plain letters or of punctuation ends a chunk only where the next character cannot belong to its token:
+# punctuation before an apostrophe (which starts contractions) or a rare character stays with what follows.
+_RUN = (f"[{_PLAIN}]++(?![^{WHITE_SPACE}{_PUNCTUATION}])|[{_NO_APOSTROPHE}]++(?![^{WHITE_SPACE}{_PLAIN}])"
+        f"|[^{WHITE_SPACE}]+")
+_WITH_SPACE = re.compile(f"[{WHITE_SPACE}]*(?:{_RUN})|[{WHITE_SPACE}]+")
+_WITHOUT_SPACE = re.compile(_RUN)
+
+
+def byte_letters() -> dict[int, str]:
+    """The public rule of byte-level tokenizers: printable Latin-1 bytes stand for themselves, the others, in
+    order, for the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 @functools.lru_cache(maxsize=4)
 def tokenizer_table(path: str, spaces: bool) -> ChunkTable:
-    """Chunk -> ids as bytes (unsigned 32-bit, little-endian) with the tokenizer in a JSON file.
+    """Chunk -> ids with the byte-level BPE tokenizer in a JSON file.
 
-    ``spaces``: white space is part of the tokens (byte-level BPE), else it only separates them. The texts of
-    special tokens are ordinary text.
+    ``spaces``: white space is part of the tokens, else it only separates them and letters are lower-cased. The
+    texts of special tokens are ordinary text. A chunk of letters is a single word of the model and goes to it
+    directly; everything else goes through the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    whole, word, letters = tokenizer.encode, tokenizer.model.tokenize, byte_letters()
+
+    def encode(chunk: str) -> list[int]:
+        lead = "Ġ" if spaces and chunk[0] == " " else ""
+        body = chunk[1:] if lead else chunk
+        if body.isalpha() and (body.isascii() or max(body) <= "ž"):
+            lower = body if spaces else body.lower()
+            if len(lower) == len(body):     # a letter that becomes two is normalised further
+                if not lower.isascii():
+                    lower = lower.encode().decode("latin-1").translate(letters)
+                return [t.id for t in word(lead + lower)]
+        return whole(chunk, add_special_tokens=False).ids
 
     return ChunkTable(encode)
 
@@ -70,4 +100,4 @@ def token_bytes(texts: list[str], path: str, spaces: bool) -> list[bytes]:
     """The ids of each text as unsigned 32-bit little-endian integers."""
     split = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
     table = tokenizer_table(path, spaces)
-    return [b"".join(v) for v in table.values([split(t) for t in texts])]
+    return [table.ids(split(t)) for t in texts]

@@ -15,7 +15,7 @@ from tablewise.llm.chunk_table import ChunkTable
 from tablewise.llm.common import rows_of, with_text
 
 MARK = "\u2581"
-_MARKED_WORD = re.compile(f"[ {MARK}]+[^ {MARK}]*")
+_FIRST_MARKED = re.compile(f"[ {MARK}]([ {MARK}]*[^ {MARK}]*)")     # a marked word without its first marker
 
 
 @functools.lru_cache(maxsize=4)
@@ -40,13 +40,8 @@ def _word_table(path: str) -> ChunkTable | None:
     processor = _processor(path)
     if not words_are_independent(processor):
         return None
-    alone = np.array([processor.piece_to_id(MARK)], "<u4").tobytes()  # a marker at the end of a text
-
-    def encode(words: list[str]) -> list[bytes]:
-        found = processor.encode(words, num_threads=1)
-        return [np.array(ids, "<u4").tobytes() if w else alone for w, ids in zip(words, found)]
-
-    return ChunkTable(encode)
+    alone = [processor.piece_to_id(MARK)]      # a marker at the end of a text
+    return ChunkTable(lambda word: processor.encode(word) if word else alone)
 
 
 def piece_bytes(texts: list[str], path: str) -> list[bytes]:
@@ -54,8 +49,7 @@ def piece_bytes(texts: list[str], path: str) -> list[bytes]:
     table = _word_table(path)
     if table is None:
         return [np.array(i, "<u4").tobytes() for i in _processor(path).encode(texts, num_threads=1)]
-    words = [[w[1:] for w in _MARKED_WORD.findall(" " + t)] if t else [] for t in texts]
-    return [b"".join(v) for v in table.values(words)]
+    return [table.ids(_FIRST_MARKED.findall(" " + t) if t else []) for t in texts]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, ends: bool, decode: bool) -> Iterator[pa.RecordBatch]:
