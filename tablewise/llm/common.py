@@ -54,3 +54,13 @@ def rows_of(batches: Iterable[pa.RecordBatch], bytes_most: int = 2 << 20) -> Ite
 def utf8(text: str) -> bytes:
     """UTF-8, also of a text with lone surrogates."""
     return text.encode("utf-8", "surrogatepass")
+
+
+#: Rows of a few numbers that may be broadcast: some 50 MB.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The side of a join, marked for broadcast if it has few rows; beyond that Spark joins by shuffle. ``df`` is a
+    written table, so that counting is cheap."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import documents
+from tablewise.llm.common import documents, table
+from tablewise.llm.fingerprints import compare_with_edited, digest
 from tablewise.llm.language import UNDETERMINED, identify_languages, learn_languages
 from tablewise.llm.ngram_join import ngram_join
 from tablewise.llm.packing import pack
@@ -16,6 +17,7 @@ from tablewise.llm.pieces import encode_pieces
 from tablewise.llm.quality import quality_rules
 from tablewise.llm.suffix_dedup import remove_repeats
 from tablewise.llm.token_files import token_digest
+from tablewise.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +29,11 @@ def query(build: Query) -> Query:
     return build
 
 
+def _remainder(divisor: int):
+    """crc32 of doc_id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(documents(spark, folder), length=400).select(
@@ -46,6 +53,13 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(documents(spark, folder))
 
 
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(documents(spark, folder), table(spark, folder, "labels"), train=_remainder(5) != 0)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
+
+
 @query
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder)).drop("row")
@@ -56,11 +70,6 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
-def _remainder(divisor: int):
-    """crc32 of doc_id as text, modulo ``divisor``."""
-    return F.crc32(F.col("doc_id").cast("string")) % divisor
-
-
 @query
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
@@ -69,6 +78,14 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
                         "accepted")
 
 
+@query
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_with_edited(documents(spark, folder)).select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        digest("fingerprint").alias("fingerprint"), digest("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 @query
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
