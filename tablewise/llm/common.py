@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a batch between the JVM and a Python worker. Documents are long; the default of 10,000 rows may be
 #: gigabytes.
@@ -64,3 +65,30 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """The side of a join, marked for broadcast if it has few rows; beyond that Spark joins by shuffle. ``df`` is a
     written table, so that counting is cheap."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+_CARRIED = "carried_"
+
+
+def with_carried(df: DataFrame, carry: list[str], taken: list[str], *columns) -> DataFrame:
+    """``columns`` and the columns to carry along, these under names that clash with nothing."""
+    if clash := {c.lower() for c in carry} & set(taken):
+        raise ValueError(f"columns called like a result cannot be carried: {sorted(clash)}")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in carry]
+    return df.select(*columns, *[F.col(q).alias(f"{_CARRIED}{i}") for i, q in enumerate(quoted)])
+
+
+def carried_names(rows: pa.RecordBatch) -> list[str]:
+    return [n for n in rows.schema.names if n.startswith(_CARRIED)]
+
+
+def carried(rows: pa.RecordBatch) -> list[pa.Array]:
+    return [rows.column(n) for n in carried_names(rows)]
+
+
+def carried_schema(results: str, df: DataFrame) -> T.StructType:
+    return T.StructType(T.StructType.fromDDL(results).fields + [f for f in df.schema.fields if f.name.startswith(_CARRIED)])
+
+
+def back_to_names(df: DataFrame, carry: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({f"{_CARRIED}{i}": c for i, c in enumerate(carry)})

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of
+from tablewise.llm.common import rows_of, small
 from tablewise.llm.grams import mix, shingles, word_hashes
 from tablewise.sources.staging import stage
 
@@ -25,7 +25,7 @@ LINE_DOCS, LINE_SHARE, UNRELATED = 10, 0.002, 1 / 3
 #: A document is depleted if less than this share of its words is left without boilerplate.
 LEFT_SHARE = 0.3
 
-RULES = ("row bigint, doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, "
+RULES = ("row bigint, doc_id bigint, digest bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, "
          "n_dup_lines bigint, n_repeat_words bigint, sketch bigint, lines array<struct<h:bigint,words:int>>")
 
 
@@ -85,16 +85,21 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         [{"h": h, "words": n} for h, n in lines.items()]))
         chars, symbols, duplicates, sketch, lines = zip(*out)
         yield pa.record_batch(
-            [rows.column("row"), rows.column("doc_id"), rows.column("host"), pa.array(np.diff(first)),
+            [rows.column("row"), rows.column("doc_id"), rows.column("digest"), rows.column("host"), pa.array(np.diff(first)),
              pa.array(chars, pa.int64()), pa.array(symbols, pa.int64()), pa.array(duplicates, pa.int64()),
              pa.array(repeated), pa.array(sketch, pa.int64()), pa.array(lines, line_type)],
-            names=["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+            names=["row", "doc_id", "digest", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                    "sketch", "lines"])
 
 
+def text_digest(text_col: str) -> Column:
+    """Tells documents that share an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """One row per document: row, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    """One row per document: row, doc_id, digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_boilerplate_words, depleted, kept.
 
     Lines are normalised (lower case, single spaces) and hashed; the distinct documents of each host that have a
@@ -110,7 +115,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(F.col(id_col).alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                       F.col(host_col).cast("string").alias("host"),
-                      F.monotonically_increasing_id().alias("row"))
+                      F.monotonically_increasing_id().alias("row"), text_digest(text_col).alias("digest"))
     rules = stage(texts.mapInArrow(_rules, RULES), "quality-rules")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
     lines = rules.select("row", host, "sketch", F.explode("lines").alias("line")).select(
@@ -126,6 +131,15 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = left < F.lit(LEFT_SHARE) * F.col("n_words")
     return rules.drop("lines", "sketch", "host").join(removed, "row", "left").fillna(0, ["n_boilerplate_words"]).select(
-        "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row", "doc_id", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), "n_boilerplate_words", depleted.alias("depleted"),
         (~base_failed & ~depleted).alias("kept"))
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents, with all their columns, that ``quality_rules`` keeps. What is joined are the rejected ids."""
+    rules = quality_rules(df, id_col, text_col, host_col).where("not kept")
+    rejected = stage(rules.select(F.col("doc_id").alias("rejected_id"), F.col("digest").alias("rejected_text"))
+                     .distinct(), "quality-rejected")
+    same = F.col(id_col).eqNullSafe(F.col("rejected_id")) & (text_digest(text_col) == F.col("rejected_text"))
+    return df.join(small(rejected), same, "left_anti")

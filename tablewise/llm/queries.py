@@ -13,6 +13,7 @@ from tablewise.llm.fingerprints import compare_with_edited, digest
 from tablewise.llm.language import UNDETERMINED, identify_languages, learn_languages
 from tablewise.llm.ngram_join import ngram_join
 from tablewise.llm.packing import pack
+from tablewise.llm.pii import replace_pii
 from tablewise.llm.pieces import encode_pieces
 from tablewise.llm.quality import quality_rules
 from tablewise.llm.suffix_dedup import remove_repeats
@@ -40,6 +41,15 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+#: A key of the queries; a user passes a secret one
+PII_KEY = b"key of the registered query"
+
+
+@query
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_pii(documents(spark, folder), PII_KEY)
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,7 +72,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules(documents(spark, folder)).drop("row")
+    return quality_rules(documents(spark, folder)).drop("row", "digest")
 
 
 @query
