@@ -4,8 +4,9 @@
 2. Each class lists the prefix of its set in one global order, the shingles of very many documents last. Two
    sets that are similar enough share a shingle of their prefixes, so the classes listed under one shingle are
    the only candidates.
-3. The classes under a shingle are compared with the least one of them, then, where they do not all fall into one
-   component, with each other in tiles of classes of like size.
+3. The classes under a shingle are compared with one hub among them, the class whose shingles are shared most (the
+   original of a group of copies, if there is one); then, where they do not all fall into one component, with each
+   other in tiles of classes of like size.
 4. A comparison first bounds the overlap from above by the bit counts of two hashed bitmaps, and only if that
    leaves a chance counts the intersection of the two sorted sets.
 
@@ -23,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of, with_text
+from tablewise.llm.common import rows_of, small, with_text
 from tablewise.llm.components import connected_components
 from tablewise.llm.grams import mix, shingles, word_hashes
 from tablewise.sources.staging import stage
@@ -31,13 +32,13 @@ from tablewise.sources.staging import stage
 SHINGLE_WORDS = 5
 #: Jaccard similarity as a fraction; the overlap of sets of a and b elements must be UP / (UP + DOWN) of a + b.
 UP, DOWN = 3, 4
-#: A shingle is frequent if so many documents, and one in so many, have it. Frequent shingles come last in the
+#: A shingle is frequent if so many documents have it; the most frequent are used. Frequent shingles come last in the
 #: order and are salted; which shingles are found frequent changes the work, not the result.
-FREQUENT_DOCS, FREQUENT_SHARE, MOST_FREQUENT = 64, 1000, 2_000_000
-COUNTED_TOGETHER, COUNTED_LEAST = 4_000_000, 4   # shingles of a task counted at once; least count that is passed on
+FREQUENT_DOCS, MOST_FREQUENT = 32, 2_000_000
+COUNTED_TOGETHER, COUNTED_LEAST = 4_000_000, 2   # shingles of a task counted at once; least count that is passed on
 SALTS = 64
 TILE = 512
-BROADCAST_IDS = 1_000_000    # beyond so many documents to look up again, an ordinary join does it
+TILE_FOLDS = 1      # a tile compares bitmaps folded so often: they tell unrelated sets apart, and travel with each row
 
 PROFILE = "doc_id bigint, n bigint, node bigint, bits binary, token bigint, df bigint"
 
@@ -57,8 +58,8 @@ def class_of(members: np.ndarray) -> int:
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of 64-bit words, twice to four times as many bits as members; halves can be folded."""
-    width = 1 << max(6, int(2 * len(members) - 1).bit_length())
+    """Hashed bitmap of 64-bit words, four to eight times as many bits as members; halves can be folded."""
+    width = 1 << max(6, int(4 * len(members) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(mix(members) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -124,7 +125,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prefix(members: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, which are frequent): the first of the set in the global order, one more than a partner can miss."""
     size = len(members) - -(-UP * len(members) // DOWN) + 1
-    hot = np.isin(members, frequent, assume_unique=True) if len(frequent) else np.zeros(len(members), bool)
+    hot = np.zeros(len(members), bool)
+    if len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] == members
     order = np.concatenate([np.flatnonzero(~hot), np.flatnonzero(hot)])[:size]
     return members[order], hot[order]
 
@@ -187,10 +190,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tile(rows: pa.Table) -> pa.Table:
     """The pairs of a tile that sizes and bit counts leave. Left out: pairs of one component, and those with the
-    least class of the shingle, which are compared already. ``side`` 0 are the rows and columns of a tile on the
+    hub of the shingle, which are compared already. ``side`` 0 are the rows and columns of a tile on the
     diagonal, or its rows; side 1 its columns."""
     rows = rows.sort_by([("n", "ascending"), ("node", "ascending")])
-    node, n, root, pivot, side = (rows.column(c).to_numpy() for c in ("node", "n", "root", "pivot", "side"))
+    node, n, root, hub, side = (rows.column(c).to_numpy() for c in ("node", "n", "root", "hub", "side"))
     bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
     width = np.array([len(b) for b in bits])
     square = not side.any()
@@ -203,7 +206,7 @@ def _tile(rows: pa.Table) -> pa.Table:
             at_width[w] = among, np.stack([folded(bits[j], w) for j in among])
         among, matrix = at_width[w]
         near = (among > i) & (DOWN * n[i] >= UP * n[among]) & (root[among] != root[i])
-        near &= (pivot[among] != node[i]) & (node[among] != pivot[i])
+        near &= (hub[among] != node[i]) & (node[among] != hub[i])
         if not square:
             near &= side[among] != side[i]
         if near.any():
@@ -213,6 +216,14 @@ def _tile(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pairs([(int(a), int(b)) for a, b in kept])])
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
+        bits = [folded(b, max(1, len(b) >> TILE_FOLDS)).tobytes() for b in bits]
+        yield pa.record_batch([rows.column("node"), rows.column("n"), pa.array(bits, pa.binary())],
+                              names=["node", "n", "bits"])
+
+
 class ShingleJoin:
     """The steps of the join over a table of documents (doc_id, text), each written to the shared folder."""
 
@@ -222,31 +233,36 @@ class ShingleJoin:
         self.of_docs = self.profile.where("token is null").drop("token", "df", "bits")
 
     def frequent(self) -> np.ndarray:
-        """The frequent shingles. At most FREQUENT_SHARE times the mean number of shingles of a document reach
-        the limit, and MOST_FREQUENT of them are used: 16 MB."""
-        least = max(FREQUENT_DOCS, self.of_docs.count() // FREQUENT_SHARE)
+        """The frequent shingles, at most MOST_FREQUENT of them: 16 MB."""
         shared = self.profile.where("token is not null").groupBy("token").agg(F.sum("df").alias("df"))
-        found = shared.where(F.col("df") >= least).orderBy(F.desc("df"), "token").limit(MOST_FREQUENT)
+        found = shared.where(F.col("df") >= FREQUENT_DOCS).orderBy(F.desc("df"), "token").limit(MOST_FREQUENT)
         return np.sort(found.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
     def members(self) -> DataFrame:
-        """(token, node, pivot, size, hot) of the shingles that two classes or more list. The shingles known as
-        frequent are salted; others are listed by FREQUENT_SHARE-ths of the classes at most."""
+        """(token, node) of the shingles that two classes or more list. The shingles known as frequent are salted."""
         frequent = self.docs.sparkSession.sparkContext.broadcast(self.frequent())
         listed = self.docs.mapInArrow(partial(_prefixes, frequent=frequent), "token bigint, node bigint, hot boolean")
         salt = F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(-1))
         group = Window.partitionBy("token", "salt")
         gathered = listed.withColumn("salt", salt).withColumns({
-            "pivot": F.min("node").over(group), "last": F.max("node").over(group), "size": F.count(F.lit(1)).over(group)})
-        return stage(gathered.where(F.col("hot") | (F.col("pivot") < F.col("last"))).drop("salt", "last"),
+            "low": F.min("node").over(group), "high": F.max("node").over(group)})
+        return stage(gathered.where(F.col("hot") | (F.col("low") < F.col("high"))).select("token", "node"),
                      "shingle-members")
 
+    def with_hubs(self, members: DataFrame, signatures: DataFrame) -> DataFrame:
+        """(token, node, hub, size): the hub of a shingle is the class with the largest share of shared shingles.
+        Counts and maxima are taken before the shuffle as well, whatever the size of a group."""
+        shared = members.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+        score = stage(shared.join(signatures.select("node", "n"), "node").select(
+            "node", (F.col("shared") / F.col("n")).alias("score")), "shingle-scores")
+        hubs = members.join(small(score), "node").groupBy("token").agg(
+            F.max_by("node", "score").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        return stage(members.join(hubs, "token"), "shingle-hubs")
+
     def stars(self, members: DataFrame) -> DataFrame:
-        """Pairs with the least class of each shingle; over the salts of a frequent one, of their least classes."""
-        near = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        tops = members.where("hot").select("token", "pivot").distinct()
-        far = tops.withColumn("a", F.min("pivot").over(Window.partitionBy("token"))).where("a <> pivot")
-        return near.union(far.select("a", F.col("pivot").alias("b"))).distinct()
+        """Pairs with the hub of each shingle."""
+        return members.where("node <> hub").select(
+            F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
     def signatures(self, members: DataFrame) -> DataFrame:
         """(node, doc_id, n, bits) of the classes that are candidates, with the least document of each."""
@@ -260,8 +276,7 @@ class ShingleJoin:
         pairs = stage(pairs, "shingle-pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = stage(signatures.join(nodes, "node", "left_semi").select("doc_id").distinct(), "shingle-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = stage(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, members binary")
+        sets = stage(self.docs.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, members binary")
                      .dropDuplicates(["node"]), "shingle-sets")
         side = {s: sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}")) for s in "ab"}
         return stage(pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "members_a", "members_b")
@@ -277,19 +292,20 @@ class ShingleJoin:
 
     def rest(self, members: DataFrame, signatures: DataFrame, roots: DataFrame) -> DataFrame:
         """Candidate pairs of different components under shingles that the stars did not settle, in tiles."""
-        several = members.where("size > 2 or hot").select("token", "node", "pivot")
+        several = members.where("size > 2").select("token", "node", "hub")
         root = F.coalesce("root", "node").alias("root")
-        placed = several.join(roots, "node", "left").select("token", "node", "pivot", root)
+        placed = several.join(small(roots), "node", "left").select("token", "node", "hub", root)
         shape = placed.groupBy("token").agg(
             F.count(F.lit(1)).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"),
             F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"), F.min("node").alias("first"))
         # shingles of one passage are listed by the same classes: one of them is enough
         open_ = shape.where("low < high").groupBy("all", "mark", "first").agg(F.min("token").alias("token"))
-        small = signatures.select("node", "n", "bits")
-        rows = placed.join(open_.select("token", "all"), "token").join(small, "node")
+        with_bits = stage(signatures.select("node", "n", "bits").mapInArrow(
+            _folded, "node bigint, n bigint, bits binary"), "shingle-tile-bits")
+        rows = placed.join(open_.select("token", "all"), "token").join(with_bits, "node")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DOWN / UP))).cast("int")
         narrow = rows.where(F.col("all") <= TILE).select(
-            "token", *[F.lit(0).alias(c) for c in ("band", "row", "column", "side", "next")], "node", "pivot", "root",
+            "token", *[F.lit(0).alias(c) for c in ("band", "row", "column", "side", "next")], "node", "hub", "root",
             "n", "bits")
         wide = rows.where(F.col("all") > TILE).withColumn("band", band)
         bands = wide.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
@@ -303,7 +319,7 @@ class ShingleJoin:
             at = F.sequence(F.lit(0), F.col(last) - 1)
             return wide.where(F.col(last) > 0).withColumn("i", F.explode(at)).selectExpr(
                 "token", f"{band} as band", f"cast({row} as int) as row", f"cast({column} as int) as column",
-                f"cast({side} as int) as side", f"{next_} as next", "node", "pivot", "root", "n", "bits")
+                f"cast({side} as int) as side", f"{next_} as next", "node", "hub", "root", "n", "bits")
 
         own = tiles("tiles", "least(i, tile)", "greatest(i, tile)", "if(tile > i, 1, 0)", 0)
         up = tiles("tiles_above", "tile", "i", "0", 1)
@@ -332,9 +348,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     join = ShingleJoin(with_text(df, id_col, text_col))
     members = join.members()
     signatures = join.signatures(members)
+    members = join.with_hubs(members, signatures)
     links = join.verify(join.bounded(join.stars(members), signatures), signatures)
     roots = stage(connected_components(links), "shingle-roots")
-    more = join.verify(join.rest(members, signatures, roots), signatures)
+    more = join.verify(join.bounded(stage(join.rest(members, signatures, roots), "shingle-tile-pairs"), signatures),
+                       signatures)
     roots = stage(connected_components(links.union(more)), "shingle-roots")
 
     named = join.of_docs.where("node is not null and doc_id is not null").join(roots, "node", "left").select(
@@ -344,3 +362,18 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = join.of_docs.where("node is null or doc_id is null").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, less those that links join to a document of a lower id; of rows that
+    share an id one stays. Documents without id stay."""
+    joined = stage(ngram_join(df, id_col, text_col).select("doc_id", "component_id"), "shingle-components")
+    dropped = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    kept = df.join(small(stage(dropped, "shingle-dropped")), F.col(id_col) == F.col("dropped_id"), "left_anti")
+    ids = joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("repeated_id")).count().where("count > 1")
+    repeated = stage(ids.select("repeated_id"), "shingle-repeated")
+    if repeated.isEmpty():
+        return kept
+    again = F.col(id_col) == F.col("repeated_id")
+    return kept.join(repeated, again, "left_anti").unionByName(
+        kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
