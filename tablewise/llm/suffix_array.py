@@ -66,18 +66,23 @@ def _sorted_small(symbols: np.ndarray, small: np.ndarray, n_ends: int) -> np.nda
     chunk = 1
     items = np.flatnonzero(length >= _SYMBOLS)      # also those that end with the key: the others go on
     while len(items):
-        _refine(rank, items, _dense(key(items, chunk)))
+        _refine(rank, items, _dense(key(items, chunk)), m)
         chunk += 1
         items = items[length[items] >= chunk * _SYMBOLS]
     # ends inside substrings: an end is the last symbol of a substring and the next item, whose rank decides
     ends = np.flatnonzero(symbols[at] < n_ends)
     rank[ends] = symbols[at[ends]]
+    # ranks of ``step`` substrings in a row: the ranks of two or three stretches side by side are those of as many more
     step = 1
     items = _tied(rank, np.arange(m))
     while len(items):
-        follow = np.minimum(items + step, m - 1)
-        _refine(rank, items, rank[follow].copy())
-        step *= 2
+        follow = rank[np.minimum(items + step, m - 1)]
+        if m < 1 << 21:
+            _refine(rank, items, follow * m + rank[np.minimum(items + 2 * step, m - 1)], m * m)
+            step *= 3
+        else:
+            _refine(rank, items, follow, m)
+            step *= 2
         items = _tied(rank, items)
     out = np.empty(m, np.int64)
     out[rank] = at
@@ -103,13 +108,13 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return _ranks(np.argsort(keys), keys)
 
 
-def _refine(rank: np.ndarray, items: np.ndarray, keys: np.ndarray) -> None:
-    """Split the items of equal rank, all of which are given, by a second key below len(rank)."""
-    both = rank[items] * len(rank) + keys
+def _refine(rank: np.ndarray, items: np.ndarray, keys: np.ndarray, below: int) -> None:
+    """Split the items of equal rank, all of which are given, by a second key ``below`` a bound."""
+    both = rank[items] * below + keys
     order = np.argsort(both)
     both = both[order]
     place = np.arange(len(items))
-    group = both // len(rank)
+    group = rank[items[order]]
     head = np.concatenate([[True], group[1:] != group[:-1]])
     split = np.concatenate([[True], both[1:] != both[:-1]])
     start = np.maximum.accumulate(np.where(head, place, 0))

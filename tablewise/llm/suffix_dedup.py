@@ -1,11 +1,11 @@
 """Removal of every byte that a long repeated string covers.
 
-1. Of every 400 consecutive bytes, one 64-byte gram is chosen by its hash alone (the least of the window, the
-   rightmost of equals): its place is an anchor. Two equal strings of 400 bytes choose the same gram at the same
-   distance, so that a repeat lies within the surroundings of two anchors of one gram.
-2. Anchors of a gram that the corpus has once are dropped. Equal surroundings are one context with a count.
-3. Contexts of a gram with several go to the same bucket. A task sorts all suffixes of a bucket's contexts and
-   takes the common prefixes of neighbours; 400 bytes or more are a repeat.
+1. Of every window of 400 bytes, one gram of 48 bytes is chosen by its hash alone (the least, the rightmost of
+   equals): its place is the window's anchor. Equal windows choose the same gram at the same distance, and the windows
+   of one anchor are consecutive: an anchor with the bytes of its windows is a context.
+2. Contexts whose gram the corpus has once are dropped; equal contexts are one, with a count.
+3. All contexts of a gram go to the same bucket. A task sorts all suffixes of a bucket's contexts and takes the
+   common prefixes of neighbours; 400 bytes or more are a repeat.
 4. Grams of more contexts than a bucket may hold are cut further: by ranges of distances from the anchor, with the
    part that all windows of a range share, and what that leaves open by single windows.
 """
@@ -21,21 +21,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of, with_text
+from tablewise.llm.common import (
+    back_to_names,
+    carried,
+    carried_names,
+    carried_schema,
+    rows_of,
+    with_carried,
+    with_text,
+)
 from tablewise.llm.grams import BYTE_VALUES, layout, mix, power_tables
 from tablewise.llm.suffix_array import common_prefixes, joined, suffix_array
 from tablewise.sources.staging import stage
 
 LENGTH = 400
-GRAM = 64
+GRAM = 48
 PIECE = 1 << 19          # bytes whose anchors are chosen at once
 BUCKET_CONTEXTS = 1500   # contexts of a bucket on average: 1 MB of text
 MOST_CONTEXTS = 1500     # contexts of one gram in a bucket; beyond, the gram is cut further
 RANGE = 16               # distances of a range
-BROADCAST_ROWS = 500_000  # beyond so many documents to look up again, an ordinary join does it
+OWN_BUCKET = 150         # a gram with more contexts has a bucket of its own
+BROADCAST_ROWS = 1_500_000   # 64 MB of contexts or spans; beyond that an ordinary join brings them to their documents
 
 ANCHORS = "doc_id bigint, h bigint, digest bigint, at bigint"
-#: ``at`` is position << 20 | bytes to the left << 10 | bytes to the right of an anchor
+#: ``at`` is position of the anchor << 20 | bytes from its first window's start to it << 10 | number of its windows
 _POSITION, _LEFT = 20, 10
 
 
@@ -60,15 +69,18 @@ def window_least(keys: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(left[:n - size + 1], right[size - 1:n])
 
 
-def anchors(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams chosen by the windows of ``length`` bytes that start where ``valid``."""
+def anchors(data: np.ndarray, valid: np.ndarray, length: int, gram: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, first windows, numbers of windows) of the anchors of the windows of ``length`` bytes that
+    start where ``valid``."""
     hashes = gram_hashes(data, gram)
     width = np.uint64(max(1, len(hashes) - 1).bit_length())
     mask = (np.uint64(1) << width) - np.uint64(1)
     keys = (hashes & ~mask) | (mask - np.arange(len(hashes), dtype=np.uint64))
-    chosen = (mask - (window_least(keys, length - gram + 1) & mask)).astype(np.int64)[valid[:len(data) - length + 1]]
-    chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
-    return chosen, hashes[chosen]
+    start = np.flatnonzero(valid[:len(data) - length + 1])
+    chosen = (mask - (window_least(keys, length - gram + 1)[start] & mask)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    return chosen[head], hashes[chosen[head]], start[head], np.diff(np.append(head, len(start)))
 
 
 def _pieces(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -91,68 +103,58 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
     for rows in rows_of(batches):
         data, bounds = layout(rows.column("text"))
-        found = [(start + p, h) for start, stop, valid in _pieces(data, bounds, length)
-                 for p, h in [anchors(data[start:stop], valid, length, gram)]]
+        found = []
+        for start, stop, valid in _pieces(data, bounds, length):
+            at, h, first, n = anchors(data[start:stop], valid, length, gram)
+            found.append((at + start, h, first + start, n))
         if not found:
             continue
-        at, h = (np.concatenate(x) for x in zip(*found))
-        fresh = np.concatenate([[True], at[1:] != at[:-1]])     # chosen on both sides of a cut
-        at, h = at[fresh], h[fresh]
+        at, h, first, n = (np.concatenate(x) for x in zip(*found))
         text = np.searchsorted(bounds, at, side="right") - 1
-        left = np.minimum(length - gram, at - bounds[text])
-        right = np.minimum(length, bounds[text + 1] - at)
+        left = at - first
         view = memoryview(np.ascontiguousarray(data))
         digest = np.array([xxh3_64_intdigest(view[a:b], seed) for a, b, seed in
-                           zip((at - left).tolist(), (at + right).tolist(), left.tolist())], np.uint64)
-        packed = (at - bounds[text] << _POSITION) + (left << _LEFT) + right
+                           zip(first.tolist(), (first + n + length - 1).tolist(), left.tolist())], np.uint64)
+        packed = (at - bounds[text] << _POSITION) + (left << _LEFT) + n
         yield pa.record_batch([rows.column("doc_id").take(pa.array(text)), pa.array(h.view(np.int64)),
                                pa.array(digest.view(np.int64)), pa.array(packed)],
                               names=["doc_id", "h", "digest", "at"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that the rows (doc_id, text, wanted) list."""
     for rows in rows_of(batches):
         out = []
-        for doc_id, text, wanted in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+        for text, wanted in zip(rows.column("text").to_pylist(), rows.column("wanted").to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
             for w in wanted:
-                at, left, right = w["at"] >> _POSITION, w["at"] >> _LEFT & 1023, w["at"] & 1023
-                out.append((w["h"], w["digest"], w["copies"], doc_id, at, left, data[at - left:at + right]))
+                at, left, n = w["at"] >> _POSITION, w["at"] >> _LEFT & 1023, w["at"] & 1023
+                context = data[at - left:at - left + n + length - 1]
+                out.append((w["h"], w["digest"], w["copies"], w["bucket"], left, context))
         if out:
-            names = ["h", "digest", "copies", "doc_id", "position", "left", "context"]
-            types = [*[pa.int64()] * 6, pa.binary()]
+            names = ["h", "digest", "copies", "bucket", "left", "context"]
+            types = [*[pa.int64()] * 5, pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
-CONTEXTS = "h bigint, digest bigint, copies bigint, doc_id bigint, position bigint, left bigint, context binary"
+CONTEXTS = "h bigint, digest bigint, copies bigint, bucket bigint, left bigint, context binary"
 SPANS = "h bigint, digest bigint, first bigint, last bigint"
-RANGES = ("h bigint, digest bigint, range bigint, first bigint, last bigint, inner bigint, outer bigint, "
-          "part bigint")
+RANGES = "h bigint, digest bigint, range bigint, first bigint, last bigint, inner bigint, outer bigint"
 
 
-def repeated_windows(contexts: list[bytes], texts: np.ndarray, positions: np.ndarray, copies: np.ndarray,
-                     length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of the windows of ``length`` bytes that occur at two places of the corpus.
-
-    ``texts`` and ``positions`` say where the first byte of each context lies: two contexts may cover the same place of
-    one document, which is no repeat. A context with several copies is at several places by itself.
-    """
+def repeated_windows(contexts: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of the windows of ``length`` bytes that two contexts have, or one has twice, or one that
+    stands for several copies. No two contexts hold the same window of a document."""
     symbols, starts, ends = joined(contexts)
     order = suffix_array(symbols, len(contexts))
     context = np.repeat(np.arange(len(contexts)), ends - starts + 1)
     data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     common = common_prefixes(data, symbols, order, ends[context])
-    head = common < length                      # a run of neighbours that share a window starts here
-    run = np.cumsum(head) - 1
+    first = np.flatnonzero(common < length)         # neighbours that share a window are a run; a run starts here
+    size = np.diff(np.append(first, len(order)))
     of = context[order]
-    place = positions[of] + order - starts[of]
-    first = np.flatnonzero(head)
-    several = np.maximum.reduceat(copies[of], first) > 1
-    for values in (texts[of], place):
-        several |= np.minimum.reduceat(values, first) != np.maximum.reduceat(values, first)
-    whole = ends[of] - order >= length
-    hit = order[several[run] & whole]
+    several = (size > 1) | (np.maximum.reduceat(copies[of], first) > 1)
+    hit = order[np.repeat(several, size) & (ends[of] - order >= length)]
     return context[hit], hit - starts[context[hit]]
 
 
@@ -167,47 +169,42 @@ def _spans(context: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _search(rows: pa.Table, length: int) -> pa.Table:
     rows = rows.sort_by([("h", "ascending"), ("digest", "ascending")])
-    columns = {c: rows.column(c).to_numpy() for c in ("h", "digest", "copies", "doc_id", "position", "left")}
-    _, texts = np.unique(columns["doc_id"], return_inverse=True)
-    context, offset = repeated_windows(rows.column("context").to_pylist(), texts,
-                                       columns["position"] - columns["left"], columns["copies"], length)
+    context, offset = repeated_windows(rows.column("context").to_pylist(), rows.column("copies").to_numpy(), length)
     names = [c.split()[0] for c in SPANS.split(", ")]
     if not len(context):
         return pa.table([pa.array([], pa.int64())] * 4, names=names)
     context, first, last = _spans(context, offset)
-    left = columns["left"][context]
-    return pa.table([pa.array(columns["h"][context]), pa.array(columns["digest"][context]),
-                     pa.array(first - left), pa.array(last - left)], names=names)
+    h, digest, left = (rows.column(c).to_numpy()[context] for c in ("h", "digest", "left"))
+    return pa.table([pa.array(h), pa.array(digest), pa.array(first - left), pa.array(last - left)], names=names)
+
+
+def _ranges(left: int, windows: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, last): the distances of a context's windows, cut at multiples of RANGE."""
+    first, highest = -left, windows - 1 - left
+    while first <= highest:
+        number = first // RANGE
+        last = min(highest, number * RANGE + RANGE - 1)
+        yield number, first, last
+        first = last + 1
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts -> a row for each range of distances at which a window can start: digests of the part that all its
-    windows share and of all its bytes, and whether the context ends within the range."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts -> a row for each range of distances: a digest of the part that all windows of the whole range share,
+    whichever of them the context has, and one of all bytes of the windows that it has."""
     from xxhash import xxh3_64_intdigest
 
     names = [c.split()[0] for c in RANGES.split(", ")]
     for rows in batches:
         out = []
         for h, digest, left, context in zip(*(rows.column(c).to_pylist() for c in ("h", "digest", "left", "context"))):
-            for first, last in _ranges(left, len(context), length):
-                number = first // RANGE
-                inner = xxh3_64_intdigest(context[left + last:left + first + length], 1)
+            for number, first, last in _ranges(left, len(context) - length + 1):
+                at = left + number * RANGE
+                inner = xxh3_64_intdigest(context[at + RANGE - 1:at + length], 1)
                 outer = xxh3_64_intdigest(context[left + first:left + last + length], 2)
-                part = first > max(gram - length, number * RANGE) or last < min(0, number * RANGE + RANGE - 1)
-                out.append((h, digest, number, first, last, inner - (1 << 63), outer - (1 << 63), int(part)))
+                out.append((h, digest, number, first, last, inner - (1 << 63), outer - (1 << 63)))
         yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(names))], names=names)
 
 
-def _ranges(left: int, size: int, length: int) -> Iterator[tuple[int, int]]:
-    """The distances from the anchor at which windows of a context can start, cut at multiples of RANGE."""
-    lowest, highest = -left, min(0, size - left - length)
-    first = lowest
-    while first <= highest:
-        last = min(highest, first // RANGE * RANGE + RANGE - 1)
-        yield first, last
-        first = last + 1
-
-
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Contexts with a list of open ranges -> (h, digest, distance, window): a digest of each window."""
     from xxhash import xxh3_64_intdigest
@@ -217,15 +214,15 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         out = []
         for h, digest, left, context, open_ in zip(*(rows.column(c).to_pylist() for c in (
                 "h", "digest", "left", "context", "open"))):
-            for first, last in _ranges(left, len(context), length):
-                if first // RANGE in open_:
+            for number, first, last in _ranges(left, len(context) - length + 1):
+                if number in open_:
                     for d in range(first, last + 1):
                         window = xxh3_64_intdigest(context[left + d:left + d + length])
                         out.append((h, digest, d, window - (1 << 63)))
         yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=names)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     for rows in rows_of(batches):
         out = []
         for text, spans in zip(rows.column("text").to_pylist(), rows.column("spans").to_pylist()):
@@ -240,15 +237,17 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
             out.append((len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in runs], kept))
         n, removed, runs, kept = zip(*out)
+        shown = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(
+            kept, pa.binary())
         yield pa.record_batch(
             [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
              pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-             pa.array(kept, pa.binary()), pa.array([sha256(k).hexdigest() for k in kept])],
-            names=["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"])
+             shown, pa.array([sha256(k).hexdigest() for k in kept]), *carried(rows)],
+            names=["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256", *carried_names(rows)])
 
 
 KEPT = ("doc_id bigint, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, "
-        "kept binary, kept_sha256 string")
+        "kept {kind}, kept_sha256 string")
 
 
 class RepeatSearch:
@@ -276,19 +275,22 @@ class RepeatSearch:
 
     def with_bytes(self, contexts: DataFrame) -> DataFrame:
         lists = stage(contexts.groupBy("doc_id").agg(
-            F.collect_list(F.struct("h", "digest", "copies", "at")).alias("wanted")), "contexts-wanted")
+            F.collect_list(F.struct("h", "digest", "copies", "bucket", "at")).alias("wanted")), "contexts-wanted")
         wanted = F.broadcast(lists) if contexts.count() <= BROADCAST_ROWS else lists
-        return self.docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, CONTEXTS)
+        return self.docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(
+            partial(_contexts, length=self.length), CONTEXTS)
 
     def sorted_spans(self, contexts: DataFrame) -> DataFrame:
-        """Repeats among contexts by suffix sorting; a gram's contexts are in one bucket."""
+        """Repeats among contexts by suffix sorting. A gram's contexts are in one bucket, which a gram with many has for
+        itself, so that no bucket has many more contexts than ``most_contexts``."""
         buckets = max(1, contexts.count() // self.bucket_contexts)
         length = self.length
 
         def searched(rows: pa.Table) -> pa.Table:
             return _search(rows, length)
 
-        rows = self.with_bytes(contexts).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+        bucket = F.when(F.col("kinds") > OWN_BUCKET, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(buckets)))
+        rows = self.with_bytes(contexts.withColumn("bucket", bucket))
         return rows.groupBy("bucket").applyInArrow(searched, SPANS)
 
     def cut_spans(self, contexts: DataFrame) -> DataFrame:
@@ -296,31 +298,29 @@ class RepeatSearch:
 
         Contexts with equal bytes in a range repeat in all its windows. Where contexts of a gram agree in the part
         that the windows of a range share, but not in all of it, the windows of one context of each kind are counted
-        one by one; so are those of every context in a range in which a document begins or ends."""
-        rows = stage(self.with_bytes(contexts), "contexts-hot")
-        cut = stage(rows.mapInArrow(partial(_cut, length=self.length, gram=self.gram), RANGES), "ranges")
+        one by one. All counts are summed up before the shuffle as well."""
+        rows = stage(self.with_bytes(contexts.withColumn("bucket", F.lit(0).cast("bigint"))), "contexts-hot")
+        cut = stage(rows.mapInArrow(partial(_cut, length=self.length), RANGES), "ranges")
         by = ["h", "range", "inner"]
-        kinds = cut.groupBy(*by, "outer").agg(F.count(F.lit(1)).alias("same"), F.min("digest").alias("digest"))
+        kinds = cut.groupBy(*by, "first", "last", "outer").agg(
+            F.count(F.lit(1)).alias("same"), F.min("digest").alias("digest"))
         mixed = kinds.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        parts = cut.where("part = 1").select("h", "range").distinct()
-        open_ = kinds.join(mixed, by).select("h", "digest", "range").union(
-            cut.join(parts, ["h", "range"]).select("h", "digest", "range"))
-        whole = cut.join(kinds.where("same > 1").select(*by, "outer"), [*by, "outer"]).select(
+        whole = cut.join(kinds.where("same > 1").drop("same", "digest"), [*by, "first", "last", "outer"]).select(
             "h", "digest", "first", "last")
-        lists = open_.groupBy("h", "digest").agg(F.collect_set("range").alias("open"))
+        lists = kinds.join(mixed, by).groupBy("h", "digest").agg(F.collect_set("range").alias("open"))
         windows = stage(rows.join(lists, ["h", "digest"]).select("h", "digest", "left", "context", "open").mapInArrow(
             partial(_windows, length=self.length), "h bigint, digest bigint, distance bigint, window bigint"), "windows")
         again = windows.groupBy("h", "distance", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         single = windows.join(again, ["h", "distance", "window"]).select(
             "h", "digest", F.col("distance").alias("first"), F.col("distance").alias("last"))
-        return whole.union(single)
+        return merged(whole.union(single), ["h", "digest"])
 
     def spans(self, candidates: DataFrame) -> DataFrame:
         """(h, digest, first, last): distances from the anchor at which repeated windows of a context start."""
         contexts = self.contexts(candidates)
-        left, right = F.shiftright("at", _LEFT).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
+        left, windows = F.shiftright("at", _LEFT).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
         copied = contexts.where("copies > 1").select(
-            "h", "digest", (-left).alias("first"), F.least(F.lit(0), right - self.length).alias("last"))
+            "h", "digest", (-left).alias("first"), (windows - 1 - left).alias("last"))
         compared = contexts.where("kinds > 1")
         few = self.sorted_spans(compared.where(F.col("kinds") <= self.most_contexts))
         found = copied.union(few)
@@ -334,34 +334,40 @@ class RepeatSearch:
         position = F.shiftright("at", _POSITION)
         placed = candidates.join(spans, ["h", "digest"]).select(
             "doc_id", (position + F.col("first")).alias("first"), (position + F.col("last")).alias("last"))
-        return stage(merged(placed).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")),
-                     "document-spans")
+        return stage(merged(placed, ["doc_id"]).groupBy("doc_id").agg(
+            F.collect_list(F.struct("first", "last")).alias("spans")), "document-spans")
 
 
-def merged(placed: DataFrame) -> DataFrame:
-    """Runs of window starts of a document, overlapping ones made one."""
-    order = Window.partitionBy("doc_id").orderBy("first", "last")
+def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, first, last): runs of window starts, overlapping and adjacent ones made one."""
+    order = Window.partitionBy(*keys).orderBy("first", "last")
     before: Column = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = placed.distinct().withColumn("new", F.coalesce((F.col("first") > before + 1).cast("int"), F.lit(1)))
+    runs = spans.withColumn("new", F.coalesce((F.col("first") > before + 1).cast("int"), F.lit(1)))
     numbered = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return numbered.groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, removed, kept, kept_sha256): each document without the bytes that a string of
-    ``length`` bytes covers which starts at another place too, of the same document or any other.
+def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                   carry: list[str] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, removed, kept, kept_sha256, *carry): each document without the bytes that a
+    string of ``length`` bytes covers which starts at another place too, of the same document or any other.
 
     Texts are UTF-8 bytes; ``removed`` are the maximal runs as [start, end), ``kept`` the other bytes, which may
-    begin or end within a character. No gram, context or document is left out; a gram with more contexts than a
-    bucket holds takes another, exact way. Only anchors (one in about 170 bytes) and contexts of repeated
-    grams travel.
+    begin or end within a character; ``as_text`` gives the whole characters among them instead. No gram, context or document is left out; a gram with more contexts than a
+    bucket holds takes another, exact way. Only anchors (one in about 180 bytes) and contexts of repeated
+    grams travel. ``carry`` names columns that come along unchanged; those called like a result column are refused.
 
-    Defined results: a missing text is empty; repeated rows need ids of their own, as a place is an id and a
-    position: rows that share an id count as one place; a document without id keeps all its bytes; texts below
-    ``length`` bytes keep all; an empty table gives no rows.
+    Defined results: a missing text is empty; repeated rows are documents of their own, and repeat each other, but
+    different texts need different ids; a document without id takes no part and keeps all its bytes, and so does a
+    text below ``length`` bytes; an empty table gives no rows.
     """
-    docs = with_text(df, id_col, text_col)
-    spans = RepeatSearch(docs, length).of_documents()
-    lists = F.broadcast(spans) if spans.select(F.sum(F.size("spans"))).first()[0] in range(BROADCAST_ROWS) else spans
-    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
-        partial(_kept, length=length), KEPT)
+    spans = RepeatSearch(with_text(df, id_col, text_col), length).of_documents()
+    size = spans.select(F.sum(F.size("spans"))).first()[0] or 0
+    lists = F.broadcast(spans) if size <= BROADCAST_ROWS else spans
+    docs = with_carried(df, carry, ["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"],
+                        F.col(id_col).alias("doc_id"),
+                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    cleaned = docs.join(lists, "doc_id", "left").mapInArrow(
+        partial(_kept, length=length, as_text=as_text),
+        carried_schema(KEPT.format(kind="string" if as_text else "binary"), docs))
+    return back_to_names(cleaned, carry)
