@@ -12,6 +12,7 @@ UNKNOWN = "Unknown"
 # Dates
 DATE_SAMPLE_SIZE, DATE_SAMPLE_NEEDED = 5, 3
 DATE_RATE = 0.8
+DATE_HEAD_ROWS = 200     # rows in which the sample of most columns is found
 
 # Top-k sizes
 PREVIEW_ROWS = 5

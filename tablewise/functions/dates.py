@@ -15,8 +15,12 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+# A time of day, with AM or PM, or with a zone. The zone is dropped: the result is the local time as written.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?[AaPp][Mm])?(?: ?(?:Z|[+-]\d{2}:?(?:\d{2})?))?)?"
 _YEAR, _MONTH, _DAY = r"(\d{4})", r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+_NAMES = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+          "|nov(?:ember)?|dec(?:ember)?")
+_NAME = rf"((?i:{_NAMES}))\.?"
 _MAX_BYTES = 40
 
 
@@ -36,8 +40,11 @@ DATE_FORMATS: tuple[DateFormat, ...] = (
     DateFormat("d/M/yyyy", "/", f"^{_DAY}/{_MONTH}/{_YEAR}({_TIME})$", "$3-$2-$1$4"),
     DateFormat("yyyy/M/d", "/", f"^{_YEAR}/{_MONTH}/{_DAY}({_TIME})$", "$1-$2-$3$4"),
     DateFormat("d.M.yyyy", ".", rf"^{_DAY}\.{_MONTH}\.{_YEAR}({_TIME})$", "$3-$2-$1$4"),
-    DateFormat("MMM d, yyyy", " ", f"^([A-Za-z]{{3}})[a-z]* {_DAY},? {_YEAR}$", "$3-$1-$2", True),
-    DateFormat("d MMM yyyy", " -", f"^{_DAY}[ -]([A-Za-z]{{3}})[a-z]*[ -]{_YEAR}$", "$3-$2-$1", True),
+    DateFormat("MMM d, yyyy", " ", f"^{_NAME} {_DAY},? {_YEAR}$", "$3-$1-$2", True),
+    DateFormat("d MMM yyyy", " -", f"^{_DAY}[ -]{_NAME}[ -]{_YEAR}$", "$3-$2-$1", True),
+    DateFormat("M/d/yy", "/", rf"^{_MONTH}/{_DAY}/(\d{{2}})({_TIME})$", "$3-$1-$2$4"),
+    DateFormat("d/M/yy", "/", rf"^{_DAY}/{_MONTH}/(\d{{2}})({_TIME})$", "$3-$2-$1$4"),
+    DateFormat("yyyyMMdd", "", r"^((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "$1-$2-$3"),
 )
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -54,15 +61,31 @@ def parse_date(col: Column, fmt: DateFormat) -> Column:
     iso = F.regexp_replace(col, fmt.shape, fmt.rewrite)
     if fmt.month_names:
         month = F.array_position(
-            F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.regexp_extract(iso, "-([A-Za-z]{3})-", 1))
+            F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.regexp_extract(iso, "-([A-Za-z]{3})[A-Za-z]*-", 1))
         )
         iso = F.concat(
             F.substring(iso, 1, 5), F.nullif(month, F.lit(0)).cast("string"), F.lit("-"),
             F.regexp_extract(iso, r"-(\d{1,2})$", 1),
         )
-    marked = reduce(or_, [col.contains(mark) for mark in fmt.marks])
-    plausible = (F.octet_length(col) <= _MAX_BYTES) & marked & col.rlike(fmt.shape)
-    return F.when(plausible, iso.try_cast("timestamp_ntz"))
+    elif fmt.name.endswith("/yy"):      # the usual window: 1969 to 2068
+        century = F.when(F.substring(iso, 1, 2) >= "69", "19").otherwise("20")
+        iso = F.concat(century, iso)
+    if "(?: ?[AaPp][Mm])" in fmt.shape:
+        iso = F.when(col.rlike("[AaPp][Mm]"), _of_24_hours(iso)).otherwise(iso)
+    cheap = F.octet_length(col) <= _MAX_BYTES
+    if fmt.marks:
+        cheap &= reduce(or_, [col.contains(mark) for mark in fmt.marks])
+    return F.when(cheap & col.rlike(fmt.shape), iso.try_cast("timestamp_ntz"))
+
+
+def _of_24_hours(iso: Column) -> Column:
+    """``y-M-d h:mm:ss PM`` with the hour from 0 to 23; NULL if the hour is not one of 1 to 12."""
+    def part(i: int) -> Column:
+        return F.regexp_extract(iso, r"^(\S+?)[ T](\d{1,2})(:[\d:.]+) ?([AaPp])[Mm]", i)
+
+    hour = part(2).try_cast("int")
+    late = F.when(F.upper(part(4)) == "P", 12).otherwise(0)
+    return F.when(hour.between(1, 12), F.concat(part(1), F.lit(" "), (hour % 12 + late).cast("string"), part(3)))
 
 
 def parse_any_date(col: Column) -> Column:

@@ -26,8 +26,7 @@ from tablewise.constants import (
 from tablewise.operators.ordering import row_index, top_categories
 from tablewise.operators.profile import QUARTILES
 from tablewise.operators.quantiles import column_quantiles
-from tablewise.operators.roles import column, numeric_columns
-from tablewise.sources.staging import stage
+from tablewise.operators.roles import column, numeric_columns, with_values
 
 ALL = "all"          # the group of a chart without groups
 OTHER = "Other"
@@ -105,9 +104,9 @@ def crosstab(df: DataFrame, name: str, group: str) -> DataFrame:
     """value and one count column per group value; rows with either missing are left out."""
     category_values(df, name, CROSSTAB_MAX_VALUES)
     groups = category_values(df, group, CROSSTAB_MAX_GROUPS)
-    present = df.dropna(subset=[name, group])
-    counts = present.groupBy(column(name).alias("value")).pivot(group, groups).agg(F.count(F.lit(1)))
-    return counts.na.fill(0)
+    present = with_values(df, [name, group]).select(column(name).alias("value"), column(group).alias("group_value"))
+    counts = present.groupBy("value").pivot("group_value", groups).agg(F.count(F.lit(1)))
+    return counts.select("value", *[F.coalesce(column(c), F.lit(0)).alias(c) for c in counts.columns[1:]])
 
 
 # --- two and three numbers ----------------------------------------------------------------------
@@ -116,14 +115,14 @@ def crosstab(df: DataFrame, name: str, group: str) -> DataFrame:
 def scatter_points(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFrame:
     """x, y, colour: every row that has both numbers."""
     group = column(colour).cast("string") if colour else F.lit(None).cast("string")
-    return df.dropna(subset=[x, y]).select(
+    return with_values(df, [x, y]).select(
         column(x).cast("double").alias("x"), column(y).cast("double").alias("y"), group.alias("colour")
     )
 
 
 def scatter_density(df: DataFrame, x: str, y: str, nbins: int = 40) -> DataFrame:
     """xbin, ybin, n: at most nbins squared rows in place of the points."""
-    present = df.dropna(subset=[x, y])
+    present = with_values(df, [x, y])
     (x0, x1), (y0, y1) = _range(present, x, y)
     if x0 is None:
         x0 = x1 = y0 = y1 = 0.0
@@ -145,7 +144,7 @@ def bubble_points(df: DataFrame, x: str | None = None, y: str | None = None, siz
     numbers = numeric_columns(df)
     x, y, size = x or numbers[0], y or numbers[1], size or numbers[2]
     largest = df.agg(F.max(column(size).cast("double"))).first()[0]
-    points = df.dropna(subset=[x, y, size])
+    points = with_values(df, [x, y, size])
     group = column(colour).cast("string") if colour else F.lit(None).cast("string")
     return points.select(
         column(x).cast("double").alias("x"), column(y).cast("double").alias("y"), group.alias("colour"),
@@ -153,6 +152,22 @@ def bubble_points(df: DataFrame, x: str | None = None, y: str | None = None, siz
     )
 
 
+def bubble_bins(df: DataFrame, x: str | None = None, y: str | None = None, size: str | None = None,
+                colour: str | None = None, nbins: int = 40) -> DataFrame:
+    """xbin, ybin, colour, n, size (mean, as a share of the largest): the bubble chart for a large table."""
+    numbers = numeric_columns(df)
+    x, y, size = x or numbers[0], y or numbers[1], size or numbers[2]
+    points = with_values(df, [x, y, size])
+    (x0, x1), (y0, y1), (_, largest) = _range(points, x, y, size)
+    if x0 is None:
+        x0 = x1 = y0 = y1 = 0.0
+    group = column(colour).cast("string") if colour else F.lit(None).cast("string")
+    return points.groupBy(
+        _bin(column(x).cast("double"), x0, x1, nbins).alias("xbin"),
+        _bin(column(y).cast("double"), y0, y1, nbins).alias("ybin"), group.alias("colour"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.avg(column(size).cast("double")), F.lit(largest)).alias("size"))
+
+
 # --- distributions by category ------------------------------------------------------------------
 
 
@@ -162,7 +177,7 @@ def _grouped_values(df: DataFrame, y: str, x: str | None) -> DataFrame:
     return df.select(group.alias("group_value"), column(y).cast("double").alias("y")).dropna()
 
 
-def box_stats(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
+def box_stats(df: DataFrame, y: str, x: str | None = None, **limits) -> DataFrame:
     """group_value, n, q1, median, q3, whisker_lo, whisker_hi, n_outliers, notch_lo, notch_hi.
 
     Whiskers reach to the last value inside 1.5 IQR, the notch is median +/- 1.57 IQR / sqrt(n).
@@ -177,7 +192,7 @@ def box_stats(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
         raise TooManyCategories(f"{x} has more than {most} values")
     # One conditional column per group: all groups share the passes of the quantile search.
     parts = {g: F.when(F.col("group_value") == F.lit(g), F.col("y")) for g in counts}
-    quartiles = column_quantiles(values, parts, QUARTILES, counts=counts)
+    quartiles = column_quantiles(values, parts, QUARTILES, counts=counts, **limits)
     if not counts:
         return df.sparkSession.createDataFrame([], BOX_SCHEMA)
     # At most ten groups: their quartiles enter the next pass as literals.
@@ -285,21 +300,32 @@ def _area(df: DataFrame, x: str | Column, y: str, group: str | None, unit: str |
     return _series(df, at, y, group).groupBy("x", "group_value").agg(F.sum("y").alias("y"))
 
 
-def area(df: DataFrame, x: str | Column, y: str, unit: str | None = "day") -> DataFrame:
-    """x, group_value ('all'), y: the sum per bucket."""
+def area(df: DataFrame, x: str | Column | None, y: str, unit: str | None = "day", key: list[str] | None = None
+         ) -> DataFrame:
+    """x, group_value ('all'), y: the sum per bucket. Without an x, the row position by ``key`` takes its place."""
+    if x is None:
+        df, x, unit = row_index(df, key, "_position"), "_position", None
     return _area(df, x, y, None, unit)
 
 
-def area_stacked(df: DataFrame, x: str | Column, y: str, group: str, unit: str | None = "day") -> DataFrame:
-    """x, group_value, y, y_top: each group on top of those before it. Missing groups are left out."""
+def area_stacked(df: DataFrame, x: str | Column | None, y: str, group: str, unit: str | None = "day",
+                 key: list[str] | None = None) -> DataFrame:
+    """x, group_value, y, y_top: each group on top of those before it. Missing groups are left out. Without an x,
+    the row position by ``key`` takes its place, as in ``area``."""
+    if x is None:
+        df, x, unit = row_index(df, key, "_position"), "_position", None
     below = W.partitionBy("x").orderBy("group_value").rowsBetween(W.unboundedPreceding, 0)
-    sums = _area(df.dropna(subset=[group]), x, y, group, unit)
+    sums = _area(with_values(df, [group]), x, y, group, unit)
     return sums.withColumn("y_top", F.sum("y").over(below))
 
 
-def area_share(df: DataFrame, x: str | Column, y: str, group: str, unit: str | None = "day") -> DataFrame:
-    """x, group_value, y, share: the part of each group in the total at x."""
-    sums = _area(df.dropna(subset=[group]), x, y, group, unit)
+def area_share(df: DataFrame, x: str | Column | None, y: str, group: str, unit: str | None = "day",
+               key: list[str] | None = None) -> DataFrame:
+    """x, group_value, y, share: the part of each group in the total at x. Without an x, the row position by
+    ``key`` takes its place, as in ``area``."""
+    if x is None:
+        df, x, unit = row_index(df, key, "_position"), "_position", None
+    sums = _area(with_values(df, [group]), x, y, group, unit)
     return sums.withColumn("share", F.try_divide(F.col("y"), F.sum("y").over(W.partitionBy("x"))))
 
 
@@ -338,36 +364,31 @@ def radar(df: DataFrame, group: str, features: list[str]) -> DataFrame:
 def treemap(df: DataFrame, levels: list[str], value: str | None = None) -> DataFrame:
     """level, h1.., total, n, colour, pct_parent, pct_root: every node of the hierarchy.
 
-    Rows are aggregated to the leaves in one scan and the levels above are rolled up from those. The colour is
-    the mean of the value weighted by itself. Rows without a key are left out, so NULL in a level means
-    "all of it". Without a value the size is the row count.
+    One scan: rows are aggregated to the leaves, the leaves rolled up to all nodes; the total of a parent is that of the only row without the
+    next level in the window of its path. The colour is the mean of the value weighted by itself. Rows without a key are
+    left out, so NULL in a level means "all of it". Without a value the size is the row count.
     """
     names = [f"h{i + 1}" for i in range(len(levels))]
     v = column(value).cast("double") if value else F.lit(1.0)
-    keyed = df.dropna(subset=levels).select(
+    keyed = with_values(df, levels).select(
         *[column(c).cast("string").alias(h) for c, h in zip(levels, names)], v.alias("v")
     )
-    # Written once: the nodes and their parents would otherwise each scan the whole table.
-    leaves = stage(keyed.groupBy(*names).agg(
-        F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"), F.sum(F.col("v") * F.col("v")).alias("s2")
-    ), "tree-leaves")
-    root_total = F.lit(leaves.agg(F.sum("s")).first()[0]).cast("double")
     level = sum((1 - F.grouping(h).cast("int") for h in names), F.lit(0))
+    leaves = keyed.groupBy(*names).agg(
+        F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"), F.sum(F.col("v") * F.col("v")).alias("s2"))
     nodes = leaves.rollup(*names).agg(
         level.alias("level"), F.sum("s").alias("total"), F.sum("c").alias("n"),
         F.try_divide(F.sum("s2"), F.sum("s")).alias("colour"),
     )
-    child = nodes.select("*", *[
-        F.when(F.col("level") > i + 1, F.col(h)).alias(f"p_{h}") for i, h in enumerate(names)
-    ]).withColumn("p_level", F.col("level") - 1)
-    parent = nodes.select(F.col("level").alias("q_level"), F.col("total").alias("parent_total"),
-                          *[F.col(h).alias(f"q_{h}") for h in names])
-    match = F.col("p_level") == F.col("q_level")
-    for h in names:
-        match = match & F.col(f"p_{h}").eqNullSafe(F.col(f"q_{h}"))
-    return child.join(parent, match, "left").select(
+    # Nodes are few (at most 20 values a level): one window per level and one over all of them.
+    parent = F.lit(None).cast("double")
+    for i in range(len(names)):
+        path = W.partitionBy(*names[:i]) if i else W.partitionBy()
+        above = F.max(F.when(F.col("level") == i, F.col("total"))).over(path)
+        parent = F.when(F.col("level") == i + 1, above).otherwise(parent)
+    root = F.max(F.when(F.col("level") == 0, F.col("total"))).over(W.partitionBy())
+    return nodes.select(
         "level", *names, "total", "n", "colour",
-        F.when(F.col("level") == 0, F.lit(1.0)).otherwise(
-            F.try_divide(F.col("total"), F.col("parent_total"))).alias("pct_parent"),
-        F.try_divide(F.col("total"), root_total).alias("pct_root"),
+        F.when(F.col("level") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("total"), parent)).alias("pct_parent"),
+        F.try_divide(F.col("total"), root).alias("pct_root"),
     )

@@ -5,7 +5,8 @@ What a fit brings to the driver is one small row per column: counts, medians, mo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +43,20 @@ class MissingFit:
     missing: dict[str, int]            # only columns with missing values
     medians: dict[str, float | None]
     modes: dict[str, object]           # UNKNOWN where a column has no value
+    spare: dict[str, object] = field(default_factory=dict)   # fills of complete columns, for further rows
 
     def expressions(self, df: DataFrame) -> dict[str, Column]:
         fills = {c: F.lit(v) for c, v in {**self.medians, **self.modes}.items() if v is not None}
         return {c: F.coalesce(column(c), v) for c, v in fills.items()}
 
+    def spare_expressions(self, df: DataFrame) -> dict[str, Column]:
+        """The same for columns that were complete, which keep their type."""
+        return {c: F.coalesce(column(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in self.spare.items()
+                if v is not None and c in df.columns}
 
-def fit_missing(df: DataFrame, columns: list[str] | None = None) -> MissingFit:
-    """Count what is missing, then fit medians and modes of only the columns that need one."""
+
+def fit_missing(df: DataFrame, columns: list[str] | None = None, spare: bool = False, **limits) -> MissingFit:
+    """Count what is missing, then fit medians and modes of only the columns that need one; with ``spare`` of all."""
     booleans = boolean_columns(df)
     fillable = [
         c for c in numeric_columns(df) + categorical_columns(df) + booleans
@@ -58,9 +65,10 @@ def fit_missing(df: DataFrame, columns: list[str] | None = None) -> MissingFit:
     rows, *present = aggregate_row(df, ["count(1)"] + [f"count({quoted(c)})" for c in fillable])
     counts = dict(zip(fillable, present))
     missing = {c: rows - n for c, n in counts.items() if n < rows}
-    numbers = [c for c in numeric_columns(df) if c in missing]
-    medians = exact_quantiles(df, numbers, [0.5], counts={c: counts[c] for c in numbers})
-    texts = [c for c in df.columns if c in missing and c not in numbers]
+    wanted = fillable if spare else list(missing)
+    numbers = [c for c in numeric_columns(df) if c in wanted]
+    medians = exact_quantiles(df, numbers, [0.5], counts={c: counts[c] for c in numbers}, **limits)
+    texts = [c for c in df.columns if c in wanted and c not in numbers]
     with_values = [c for c in texts if counts[c]]
     found = {}
     if with_values:
@@ -69,7 +77,10 @@ def fit_missing(df: DataFrame, columns: list[str] | None = None) -> MissingFit:
     for c in booleans:
         if fills.get(c) is not None:
             fills[c] = fills[c] == "true"
-    return MissingFit(rows, missing, {c: m[0] for c, m in medians.items()}, fills)
+    fitted = {c: m[0] for c, m in medians.items()}
+    return MissingFit(rows, missing, {c: v for c, v in fitted.items() if c in missing},
+                      {c: v for c, v in fills.items() if c in missing},
+                      {c: v for c, v in {**fitted, **fills}.items() if c not in missing})
 
 
 def impute_median(df: DataFrame) -> DataFrame:
@@ -88,8 +99,13 @@ def impute_mode(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """One of each group of equal rows. Copies collapse on the map side before the shuffle."""
-    return df.dropDuplicates()
+    """One of each group of equal rows. Copies collapse on the map side before the shuffle. A map counts as equal to
+    one with the same entries in another order."""
+    maps = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+    if not maps:
+        return df.dropDuplicates()
+    entries = replace_columns(df, {c: F.array_sort(F.map_entries(column(c))) for c in maps})
+    return replace_columns(entries.dropDuplicates(), {c: F.map_from_entries(column(c)) for c in maps})
 
 
 def drop_duplicate_wide_rows(df: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -125,11 +141,11 @@ class Bounds:
 
 
 def fit_bounds(df: DataFrame, columns: list[str] | None = None, counts: dict[str, int] | None = None,
-               factor: float = OUTLIER_IQR_FACTOR) -> dict[str, Bounds]:
+               factor: float = OUTLIER_IQR_FACTOR, **limits) -> dict[str, Bounds]:
     """Q1 - 3 IQR and Q3 + 3 IQR of every numeric column that has a value."""
     columns = numeric_columns(df) if columns is None else columns
     fitted = {}
-    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75], counts=counts).items():
+    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75], counts=counts, **limits).items():
         if q1 is not None:
             q1, q3 = float(q1), float(q3)
             fitted[c] = Bounds(q1, q3, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
@@ -171,6 +187,16 @@ def capped(name: str, bounds: Bounds) -> Column:
     return F.when(c < bounds.lower, bounds.lower).when(c > bounds.upper, bounds.upper).otherwise(c)
 
 
+def capped_in_type(df: DataFrame, name: str, bounds: Bounds) -> Column:
+    """The same in the type of the column: a whole number moves to the next whole number within the bounds."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.IntegralType):
+        low, high = math.ceil(max(bounds.lower, -(2.0 ** 62))), math.floor(min(bounds.upper, 2.0 ** 62))
+        c = column(name)
+        return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c).cast(dtype)
+    return capped(name, bounds).cast(dtype)
+
+
 def cap_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Values outside the bounds become the bound; only columns with such a value change type to DOUBLE."""
     bounds = fit_bounds(df, columns)

@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tablewise.constants import AGGREGATES_PER_PASS
 from tablewise.operators.quantiles import aggregate_row, chunks, sql_number
 from tablewise.operators.roles import numeric_columns, quoted
 
-PAIRS_PER_PASS = 12   # three aggregates of up to six sums each: keeps the generated code small
-
-
-def _pair_with_missing(x: str, y: str) -> str:
-    # corr() raises on a constant column under ANSI rules; this gives NULL.
-    return f"try_divide(regr_sxy({y}, {x}), sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})))"
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each pair of columns of the partition: how many rows have both values, and the sums of both, of
+    their squares and of their products over those rows. Missing values are 0 beside an indicator that is 0."""
+    total = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+        values = np.stack(columns, 1) if batch.num_rows else np.zeros((0, batch.num_columns))
+        present = (~np.isnan(values)).astype(float)
+        values = np.where(present > 0, values, 0.0)
+        squares = values * values
+        part = np.stack([present.T @ present, values.T @ present, present.T @ values, squares.T @ present,
+                         present.T @ squares, values.T @ values])
+        total = part if total is None else total + part
+    if total is not None:
+        a, b = np.triu_indices(total.shape[1], 1)
+        yield pa.record_batch([pa.array(a), pa.array(b), *[pa.array(t[a, b]) for t in total]], names=["a", "b", *_SUMS])
+
+
+def _pairs_with_missing(values: DataFrame) -> dict[tuple[str, str], float]:
+    """r for every pair, from one scan whatever the number of columns: each partition gives one small matrix, and Spark
+    adds them up. ``values`` are centred, so the sums lose nothing to cancellation."""
+    schema = "a bigint, b bigint, " + ", ".join(f"{c} double" for c in _SUMS)
+    sums = values.mapInArrow(_products, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    names, found = values.columns, {}
+    for r in sums.collect():
+        pair = names[r["a"]], names[r["b"]]
+        if not r["n"]:
+            found[pair] = None
+            continue
+        saa, sbb = (r[s + s[-1]] - r[s] * r[s] / r["n"] for s in ("sa", "sb"))
+        # what rounding leaves of a column that is constant over these rows is no spread
+        scale = max(0.0, saa) ** 0.5 * max(0.0, sbb) ** 0.5
+        flat = saa <= 1e-14 * r["saa"] or sbb <= 1e-14 * r["sbb"]
+        found[pair] = None if flat or not scale else (r["sab"] - r["sa"] * r["sb"] / r["n"]) / scale
+    return found
 
 
 def _complete_pairs(df: DataFrame, columns: list[str], rows: int) -> dict[tuple[str, str], float]:
@@ -44,9 +81,9 @@ def _complete_pairs(df: DataFrame, columns: list[str], rows: int) -> dict[tuple[
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """col_x, col_y, r for every ordered pair, over the rows where both are present.
 
-    One pass takes counts, ranges and means. Columns without missing values then share one pass of plain
-    sums around their means; pairs with a column that has some are aggregated pair by pair. Only the
-    upper triangle is computed. NULL where a column is constant or empty.
+    One pass takes counts, ranges and means. A few columns without missing values share one pass of plain sums around
+    their means; otherwise one more pass multiplies all columns with each other, so that the number of scans does not
+    grow with the pairs. NULL where a column is constant or empty.
     """
     columns = numeric_columns(df) if columns is None else columns
     values = df.selectExpr(*[f"double({quoted(c)}) as c{i}" for i, c in enumerate(columns)])
@@ -59,12 +96,13 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     complete = [c for c in varying if counts[c][0] == rows]
 
     found: dict[tuple[str, str], float] = {}
-    if len(complete) > 1:
-        centred = values.selectExpr(*[f"{c} - {sql_number(float(counts[c][3]))} as {c}" for c in complete])
-        found.update(_complete_pairs(centred, complete, rows))
-    others = [p for p in combinations(varying, 2) if p not in found]
-    for block in chunks(others, PAIRS_PER_PASS):
-        found.update(zip(block, aggregate_row(values, [_pair_with_missing(a, b) for a, b in block])))
+    if len(varying) > 1:
+        centred = values.selectExpr(*[f"{c} - {sql_number(float(counts[c][3]))} as {c}" for c in varying])
+        k = len(varying)
+        if len(complete) == k and 2 * k + k * (k - 1) // 2 <= AGGREGATES_PER_PASS:
+            found = _complete_pairs(centred, varying, rows)
+        else:
+            found = _pairs_with_missing(centred)
 
     def r(a: str, b: str):
         if a == b:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tablewise.constants import DATE_RATE, DATE_SAMPLE_NEEDED, DATE_SAMPLE_SIZE
+from tablewise.constants import DATE_HEAD_ROWS, DATE_RATE, DATE_SAMPLE_NEEDED, DATE_SAMPLE_SIZE
 from tablewise.functions.dates import DATE_FORMATS, DateFormat, parse_any_date, parse_date
 from tablewise.operators.profile import columns_with_few_values, value_counts
 from tablewise.operators.quantiles import aggregate_row, chunks
@@ -17,19 +17,37 @@ from tablewise.operators.roles import categorical_columns, column
 def detect_by_sample(df: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
     """column_name, n_sampled, n_parsed, is_date: do 3 of the first 5 present values parse?
 
-    "First" is by ``key``. Each column is a top-5 over (key, column): every task keeps five rows.
+    "First" is by ``key``. The first rows of the table hold five values of most columns: one scan in which every task
+    keeps those rows. Columns that are mostly missing there share a second scan, with five rows for each column and task.
     """
     columns = categorical_columns(df) if columns is None else columns
-    result = None
-    for name in columns:
-        sample = df.where(column(name).isNotNull()).orderBy(*key).limit(DATE_SAMPLE_SIZE)
-        part = sample.agg(
-            F.lit(name).alias("column_name"),
-            F.count(F.lit(1)).alias("n_sampled"),
-            F.count(parse_any_date(column(name))).alias("n_parsed"),
-        )
-        result = part if result is None else result.unionByName(part)
-    return result.withColumn("is_date", F.col("n_parsed") >= DATE_SAMPLE_NEEDED)
+    empty = df.sparkSession.createDataFrame([], "column_name string, value string")
+    if not columns:
+        return _judged(empty, [])
+    order = [column(k).asc_nulls_last() for k in key]
+    head = df.orderBy(*order).limit(DATE_HEAD_ROWS).select(*[column(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = head.collect()       # a bounded number of rows of texts
+    first = {c: [r[i] for r in rows if r[i] is not None][:DATE_SAMPLE_SIZE] for i, c in enumerate(columns)}
+    rest = [c for c in columns if len(first[c]) < DATE_SAMPLE_SIZE] if len(rows) == DATE_HEAD_ROWS else []
+    sample = df.sparkSession.createDataFrame(
+        [(c, v) for c, values in first.items() if c not in rest for v in values], empty.schema)
+    if rest:
+        keyed = df.select(F.struct(*[column(k) for k in key]).alias("_key"),
+                          *[column(c).cast("string").alias(c) for c in rest])
+        long = keyed.unpivot("_key", [column(c) for c in rest], "column_name", "value").where("value is not null")
+        ranked = long.withColumn("n", F.row_number().over(
+            W.partitionBy("column_name").orderBy(F.col("_key").asc_nulls_last())))
+        sample = sample.union(ranked.where(F.col("n") <= DATE_SAMPLE_SIZE).select("column_name", "value"))
+    return _judged(sample, columns)
+
+
+def _judged(sample: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each column, also one without any value."""
+    counts = sample.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_sampled"), F.count(parse_any_date(F.col("value"))).alias("n_parsed"))
+    names = sample.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(F.broadcast(counts), "column_name", "left").fillna(0, ["n_sampled", "n_parsed"]).withColumn(
+        "is_date", F.col("n_parsed") >= DATE_SAMPLE_NEEDED)
 
 
 @dataclass(frozen=True)

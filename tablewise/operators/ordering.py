@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tablewise.operators.roles import column
+from tablewise.operators.roles import column, with_values
 from tablewise.sources.staging import stage
 
 _PARTITION_BITS = 33   # monotonically_increasing_id keeps the position in the partition in the low bits
@@ -51,4 +51,4 @@ def keep_top_categories(df: DataFrame, name: str, k: int) -> DataFrame:
 
 def drop_missing_key(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows in which every key column is present."""
-    return df.dropna(subset=key)
+    return with_values(df, key)

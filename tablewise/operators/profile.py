@@ -22,6 +22,7 @@ from tablewise.operators.quantiles import aggregate_row, chunks, exact_quantiles
 from tablewise.operators.roles import categorical_columns, column, numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
+STATS_SCHEMA = "column_name string, cnt bigint, mean double, std double, min double, max double"
 
 
 def sql_text(value: str) -> str:
@@ -35,8 +36,12 @@ def stack_rows(df: DataFrame, rows: list[list[str]], names: list[str]) -> DataFr
     return df.selectExpr(f"stack({len(rows)}, {cells}) as ({', '.join(names)})")
 
 
-def _in_parts(columns: list[str], size: int, build: Callable[[list[str]], DataFrame]) -> DataFrame:
-    """The table of ``build`` over groups of columns, so that a wide table keeps its generated code."""
+def _in_parts(df: DataFrame, columns: list[str], size: int, build: Callable[[list[str]], DataFrame], schema: str
+              ) -> DataFrame:
+    """The table of ``build`` over groups of columns, so that a wide table keeps its generated code. Without columns
+    it is the empty table of ``schema``."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, [build(part) for part in chunks(columns, size)])
 
 
@@ -46,7 +51,7 @@ def _one_per_column(df: DataFrame, columns: list[str], aggregate: str, name: str
         values = df.selectExpr(*[f"{aggregate.format(quoted(c))} as n{i}" for i, c in enumerate(chosen)])
         return stack_rows(values, [[sql_text(c), f"n{i}"] for i, c in enumerate(chosen)], ["column_name", name])
 
-    return _in_parts(columns, AGGREGATES_PER_PASS, part)
+    return _in_parts(df, columns, AGGREGATES_PER_PASS, part, f"column_name string, {name} bigint")
 
 
 def preview(df: DataFrame, key: list[str] | None = None, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -75,7 +80,8 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             rows.append([sql_text(name), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"hi{i}"])
         return stack_rows(df.selectExpr(*aggregates), rows, names)
 
-    return _in_parts(columns, AGGREGATES_PER_PASS // 8, part)   # eight sums and extremes per column
+    # eight sums and extremes per column
+    return _in_parts(df, columns, AGGREGATES_PER_PASS // 8, part, STATS_SCHEMA)
 
 
 def describe(df: DataFrame, columns: list[str] | None = None, **limits) -> DataFrame:
@@ -115,6 +121,8 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     value that fills the table arrives as one row per task.
     """
     columns = categorical_columns(df) if columns is None else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n bigint")
     return _frequencies(df, columns).where("value is not null")
 
 
@@ -241,7 +249,8 @@ def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
             rows.append([sql_text(name), sql_text(dtype), f"c{i}", f"m{i}", f"u{i}"])
         return stack_rows(df.selectExpr(*aggregates), rows, names)
 
-    return _in_parts(columns, AGGREGATES_PER_PASS // 3, part)
+    return _in_parts(df, columns, AGGREGATES_PER_PASS // 3, part,
+                     "column_name string, dtype string, non_null bigint, n_null bigint, n_unique bigint")
 
 
 def group_means(df: DataFrame, group: str, features: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ Spark's ``percentile`` ends in one task that holds a value -> count map per colu
 2. one aggregate over all rows counts the values below and up to each end, which gives the exact ranks of
    the ends: a wanted rank may be an end itself, lie between the ends, or have been missed, in which case
    that side stays open and the next sketch is taken wider,
-3. brackets with more than ``budget`` rows between their ends go back to step 1, on their inside only,
+3. brackets with more than ``budget`` rows between their ends go back to step 1, on their inside only; one that
+   the sketch did not narrow is halved by value,
 4. the rows inside the other brackets, known to be few, are sorted and picked from.
 
 Every step is a partially aggregated scan of the wanted columns; only counts and ends reach the driver.
@@ -18,7 +19,8 @@ as an end of a bracket, so its rows are counted and never collected.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import struct
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
@@ -72,7 +74,21 @@ def sql_array(values: list) -> str:
 
 
 def interpolate(low: float, high: float, at: float) -> float:
-    return low + (high - low) * (at - math.floor(at))
+    """Between the values at the ranks around ``at``, by the formula of Spark's ``percentile``, bit for bit."""
+    if low == high or at == math.floor(at):
+        return low
+    return (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
+def midpoint(low, high):
+    """A value from ``low`` on and below ``high``, half way: integers by value, doubles by their order as bits, so that
+    64 steps part any two."""
+    if isinstance(low, int) and isinstance(high, int):
+        return (low + high) // 2
+    bits = [struct.unpack("<q", struct.pack("<d", float(v)))[0] for v in (low, high)]
+    places = [b if b >= 0 else -(b & (1 << 63) - 1) for b in bits]     # ascending with the value
+    middle = sum(places) // 2
+    return struct.unpack("<d", struct.pack("<q", middle if middle >= 0 else -middle - (1 << 63)))[0]
 
 
 @dataclass
@@ -87,7 +103,9 @@ class _Search:
     low: object = None             # None: open
     high: object = None
     slack: int = 1
-    found: dict = field(default_factory=dict)
+    found: dict = field(default_factory=dict)   # rank -> value
+    stuck: bool = False            # the last sketch brought nothing: halve the bracket instead
+    parted: bool = False           # its ranks are searched for one by one
 
     @property
     def rows(self) -> int:
@@ -95,7 +113,13 @@ class _Search:
 
     @property
     def open_ranks(self) -> list[int]:
-        return [r for r in self.ranks if r not in self.found]
+        return [] if self.parted else [r for r in self.ranks if r not in self.found]
+
+    def part(self) -> list[_Search]:
+        """A search for each rank, from the same bracket on, that puts what it finds here."""
+        parts = [replace(self, ranks=[r]) for r in self.open_ranks]
+        self.parted = True
+        return parts
 
     def inside(self) -> str:
         ends = []
@@ -115,6 +139,11 @@ class _Search:
 
     def narrow(self, low, high, below: dict, upto: dict) -> None:
         """Take new ends, given for each end how many values of the column lie below and up to it."""
+        before = len(self.open_ranks), self.upto, self.until
+        self._take(low, high, below, upto)
+        self.stuck = (len(self.open_ranks), self.upto, self.until) == before
+
+    def _take(self, low, high, below: dict, upto: dict) -> None:
         if low is None or high is None:
             self.slack *= 8
             return
@@ -163,10 +192,24 @@ def _count_around(df: DataFrame, searches: list[_Search], ends: list[tuple]) ->
     return dict(zip(points, chunks(counts, 2)))
 
 
+def _halve(df: DataFrame, searches: list[_Search]) -> list[tuple]:
+    """The middle between the least and the largest value inside each bracket, as both ends."""
+    found = aggregate_row(df, [f"{f}({s.inside()})" for s in searches for f in ("min", "max")])
+    return [(midpoint(low, high),) * 2 for low, high in chunks(found, 2)]
+
+
 def _narrow_all(df: DataFrame, searches: list[_Search], budget: int) -> None:
+    """Narrow every bracket to ``budget`` rows. A sketch works in doubles and may propose the same ends for ever,
+    where many rows have one value beyond 2^53; then the bracket is halved, at most 64 times for each rank."""
     wide = [s for s in searches if s.open_ranks and s.rows > budget]
     while wide:
-        ends = _propose(df, wide)
+        for s in [s for s in wide if s.stuck and len(s.open_ranks) > 1]:
+            searches += s.part()
+        wide = [s for s in searches if s.open_ranks and s.rows > budget]
+        halved = [s for s in wide if s.stuck]
+        sketched = [s for s in wide if not s.stuck]
+        wide = halved + sketched
+        ends = (_halve(df, halved) if halved else []) + (_propose(df, sketched) if sketched else [])
         counts = _count_around(df, wide, ends)
         for s, (low, high) in zip(wide, ends):
             known = {e: counts[s.name, e] for e in (low, high) if e is not None}
@@ -199,8 +242,9 @@ def _searched(df: DataFrame, cols: dict[str, Column], probs: list[float], counts
                 at = p * (counts[name] - 1)
                 ranks = sorted({math.floor(at), math.ceil(at)})
                 searches[name, p] = _Search(name, f"q{i}", ranks, 0, counts[name])
-    _narrow_all(df, list(searches.values()), budget)
-    _pick_all(df, list(searches.values()), budget)
+    pool = list(searches.values())
+    _narrow_all(df, pool, budget)
+    _pick_all(df, pool, budget)
 
     def value(name: str, p: float):
         s = searches.get((name, p))

@@ -80,14 +80,15 @@ def numbered_sections(texts: DataFrame, doc: str = "doc_id", text: str = "text")
 def chart_types(sections: DataFrame) -> DataFrame:
     """Add plot_type: the first chart in match order with a word in the text, NULL without one.
     Sections that are too short are left out."""
-    lowered = F.lower("description")
+    lowered = F.col("_low")
     kind = None
     for plot_type, words in CHART_WORDS:
         found = lowered.contains(words[0])
         for word in words[1:]:
             found = found | lowered.contains(word)
         kind = F.when(found, plot_type) if kind is None else kind.when(found, plot_type)
-    return sections.where(F.length("description") >= SECTION_MIN_LENGTH).withColumn("plot_type", kind)
+    long = sections.where(F.length("description") >= SECTION_MIN_LENGTH)
+    return long.withColumn("_low", F.lower("description")).withColumn("plot_type", kind).drop("_low")
 
 
 def _list(names: list[str]) -> str:

@@ -65,6 +65,16 @@ def boolean_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
 
 
+def with_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows in which every one of the columns is present (NaN is missing too). Any column name will do."""
+    for name in names:
+        present = column(name).isNotNull()
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+            present &= ~F.isnan(column(name))
+        df = df.where(present)
+    return df
+
+
 def project_role(df: DataFrame, role: str) -> DataFrame:
     """The columns of one role, in schema order."""
     return df.select(*[column(c) for c in columns_with_role(df, role)])

@@ -92,27 +92,32 @@ def _time_axis(df: DataFrame, name: str) -> Column | None:
     return parse_date(column(name), formats[name]) if name in formats else None
 
 
-def _area_table(df: DataFrame, chart: Chart) -> DataFrame:
-    if chart.x == INDEX:
-        raise ValueError("an area over row positions needs a key: use charts.line_series")
-    time = _time_axis(df, chart.x)
-    at, unit = (chart.x, None) if time is None else (time, "day")
+def _area_table(df: DataFrame, chart: Chart, key: list[str] | None) -> DataFrame:
+    if chart.x == INDEX and INDEX not in df.columns:
+        at, unit = None, None
+    else:
+        time = _time_axis(df, chart.x)
+        at, unit = (chart.x, None) if time is None else (time, "day")
+    key = key or df.columns
     if chart.variant == "stacked":
-        return charts.area_stacked(df, at, chart.y, chart.group, unit)
+        return charts.area_stacked(df, at, chart.y, chart.group, unit, key)
     if chart.variant == "share":
-        return charts.area_share(df, at, chart.y, chart.group, unit)
-    return charts.area(df, at, chart.y, unit)
+        return charts.area_share(df, at, chart.y, chart.group, unit, key)
+    return charts.area(df, at, chart.y, unit, key)
 
 
-def _line_table(df: DataFrame, chart: Chart, key: list[str] | None) -> DataFrame:
+def _line_table(df: DataFrame, chart: Chart, key: list[str] | None, binned: bool) -> DataFrame:
     if chart.x == INDEX and INDEX not in df.columns:
         return charts.line_series(df, None, chart.y, chart.group, key=key or df.columns)
     time = _time_axis(df, chart.x)
+    if binned and time is not None:
+        return charts.line_bucketed(df, time, chart.y, chart.group)
     return charts.line_series(df, chart.x if time is None else time, chart.y, chart.group)
 
 
-def chart_table(df: DataFrame, chart: Chart, key: list[str] | None = None) -> DataFrame:
-    """The table behind one chart."""
+def chart_table(df: DataFrame, chart: Chart, key: list[str] | None = None, binned: bool = False) -> DataFrame:
+    """The table behind one chart. ``binned`` gives the small form of a scatter, a bubble and a line over time in
+    place of all points."""
     kind = chart.plot_type
     if kind == "histogram":
         return charts.histogram(df, chart.x)
@@ -121,19 +126,21 @@ def chart_table(df: DataFrame, chart: Chart, key: list[str] | None = None) -> Da
     if kind == "pie":
         return charts.composition(df, chart.x, fold=chart.variant != "plain")
     if kind == "scatter":
+        if binned:
+            return charts.scatter_density(df, chart.x, chart.y)
         return charts.scatter_points(df, chart.x, chart.y, chart.group)
     if kind == "box":
         return charts.box_stats(df, chart.y, chart.x)
     if kind == "violin":
         return charts.violin_density(df, chart.y, chart.x)
     if kind == "line":
-        return _line_table(df, chart, key)
+        return _line_table(df, chart, key, binned)
     if kind == "area":
-        return _area_table(df, chart)
+        return _area_table(df, chart, key)
     if kind == "heatmap":
         return correlation(df)
     if kind == "bubble":
-        return charts.bubble_points(df, colour=chart.group)
+        return charts.bubble_bins(df, colour=chart.group) if binned else charts.bubble_points(df, colour=chart.group)
     if kind == "radar":
         return charts.radar(df, chart.group, chart.x.split(", "))
     if kind == "treemap":
@@ -153,7 +160,8 @@ def recommended_charts(df: DataFrame, text: str) -> list[Chart]:
     return plan or standard_charts(df)
 
 
-def chart_tables(df: DataFrame, plan: list[Chart] | None = None, key: list[str] | None = None) -> dict[str, DataFrame]:
+def chart_tables(df: DataFrame, plan: list[Chart] | None = None, key: list[str] | None = None, binned: bool = False
+                 ) -> dict[str, DataFrame]:
     """Name -> table for every chart of a plan; by default the standard set."""
     plan = standard_charts(df) if plan is None else plan
-    return {f"{i}_{c.plot_type}": chart_table(df, c, key) for i, c in enumerate(plan, start=1)}
+    return {f"{i}_{c.plot_type}": chart_table(df, c, key, binned) for i, c in enumerate(plan, start=1)}

@@ -31,6 +31,7 @@ from tablewise.operators.clean import (
     MissingFit,
     TextFit,
     capped,
+    capped_in_type,
     drop_duplicate_rows,
     fit_bounds,
     fit_few_valued,
@@ -55,6 +56,8 @@ class CleaningOptions:
     skip_zero_iqr: bool = False         # leave columns alone whose quartiles are equal
     impute_dates: bool = True           # fill date texts with the most common date, like any category
     date_columns: tuple[str, ...] = ()  # the date texts meant by ``impute_dates``
+    quantile_limits: dict[str, int] = field(default_factory=dict)   # direct_rows and budget of the quantiles
+    reusable: bool = False              # fit fills of complete columns too, for ``CleaningModel.transform``
 
 
 @dataclass(frozen=True)
@@ -76,8 +79,9 @@ class CleaningModel:
     """Everything the fits found."""
 
     missing: MissingFit
-    bounds: dict[str, Bounds]
+    bounds: dict[str, Bounds]       # of the columns that had outliers
     texts: dict[str, TextFit]
+    quiet_bounds: dict[str, Bounds] = field(default_factory=dict)    # of those that had none, for further rows
 
     def impute(self, df: DataFrame) -> DataFrame:
         return replace_columns(df, self.missing.expressions(df))
@@ -88,8 +92,14 @@ class CleaningModel:
         return replace_columns(df, expressions)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Clean further rows with what was fitted here."""
-        return self.cap_and_tidy(drop_duplicate_rows(self.impute(df)))
+        """Clean further rows with what was fitted here. Every bounded column is capped, also one without outliers
+        in the fitted table, which keeps its type. Values that only the further rows lack are filled if the
+        model was fitted with ``CleaningOptions(reusable=True)``."""
+        imputed = self.impute(df)
+        imputed = replace_columns(imputed, self.missing.spare_expressions(imputed))
+        unique = drop_duplicate_rows(imputed)
+        quiet = {c: capped_in_type(unique, c, b) for c, b in self.quiet_bounds.items() if c in unique.columns}
+        return self.cap_and_tidy(replace_columns(unique, quiet))
 
 
 @dataclass
@@ -161,7 +171,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     """Fit and apply the whole cleaning. Errors are raised, not swallowed."""
     options = options or CleaningOptions()
     keep_missing = () if options.impute_dates else options.date_columns
-    missing = fit_missing(df, [c for c in df.columns if c not in keep_missing])
+    missing = fit_missing(df, [c for c in df.columns if c not in keep_missing], options.reusable, **options.quantile_limits)
     actions = _missing_actions(df, missing)
     issues = [(c, "missing", n) for c, n in missing.missing.items()]
 
@@ -176,7 +186,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
         actions.append(_action("all", ACTION_DUPLICATES, missing.rows - rows))
         issues.append(("all", "duplicate", missing.rows - rows))
 
-    bounds = fit_bounds(unique, numbers, counts=present)
+    bounds = fit_bounds(unique, numbers, counts=present, **options.quantile_limits)
     if options.skip_zero_iqr:
         bounds = {c: b for c, b in bounds.items() if b.q1 < b.q3}
     texts = [c for c in categorical_columns(unique) if c not in keep_missing]
@@ -184,6 +194,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     counts = aggregate_row(unique, outlier_aggregates(bounds) + distinct_sketches(texts))
     outliers = dict(zip(bounds, counts))
     few = few_valued(texts, counts[len(bounds):])
+    quiet = {c: b for c, b in bounds.items() if not outliers[c]}
     bounds = {c: b for c, b in bounds.items() if outliers[c]}
     for c, b in bounds.items():
         n = outliers[c]
@@ -193,7 +204,7 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
     tidy = fit_few_valued(unique, rows, few)
     actions += _text_actions(tidy)
 
-    model = CleaningModel(missing, bounds, tidy)
+    model = CleaningModel(missing, bounds, tidy, quiet)
     result = CleaningResult(model.cap_and_tidy(unique), model, actions, missing.rows, rows, df.columns, issues)
     if rows == 0:
         result.cleaned = df

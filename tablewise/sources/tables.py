@@ -18,7 +18,7 @@ from tablewise.operators.quantiles import aggregate_row, chunks
 from tablewise.operators.roles import categorical_columns, column
 from tablewise.sources.staging import stage
 
-_INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _INFINITE = r"^\s*[+-]?[iI]nf(?:inity)?\s*$"
 _BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -67,7 +67,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     rows, *counts = aggregate_row(df, [F.count(F.lit(1))] + [
         a for c in map(column, texts) for a in (
-            F.count(c), F.count_if(c.rlike(_INTEGER)), F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")),
+            F.count(c), F.count_if(c.rlike(_INTEGER) & F.trim(c).try_cast("bigint").isNotNull()), F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")),
             F.count_if(c.isin(*_BOOLEANS)))
     ])
     casts = {}
@@ -82,17 +82,48 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
+class BrokenCsvError(ValueError):
+    """A CSV file whose rows do not fit its header."""
+
+
+def refuse_broken(spark: SparkSession, path: str | list[str], settings: dict) -> None:
+    """Raise for rows with surplus fields, files with differing headers and quotes left open at a line's end."""
+    if not settings["multiLine"]:
+        quote = settings.get("quote", '"')
+        n_quotes = F.length("value") - F.length(F.replace("value", F.lit(quote)))
+        open_ = spark.read.text(path).where(n_quotes % 2 == 1).select("value", F.input_file_name().alias("file"))
+        if found := open_.first():
+            raise BrokenCsvError(f"a quote is not closed in {found['file']}: {found['value'][:80]!r}; "
+                                 "a line break inside quotes needs multi_line=True")
+    names = spark.read.options(**settings).csv(path).columns
+    fields = [T.StructField(n, T.StringType()) for n in names]
+    corrupt = "_corrupt_record" + "_" * max(map(len, names), default=0)
+    reader = spark.read.schema(T.StructType([*fields, T.StructField(corrupt, T.StringType())])).options(
+        **settings, enforceSchema=False, columnPruning=False, columnNameOfCorruptRecord=corrupt)
+    shape = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    parsed = {k: str(v) for k, v in settings.items() if k not in ("header", "multiLine")}
+    surplus = reader.csv(path).where(F.col(corrupt).isNotNull()).where(
+        F.from_csv(corrupt, shape, parsed)[f"c{len(names)}"].isNotNull()).select(corrupt, column(names[0]))
+    if found := surplus.first():
+        raise BrokenCsvError(f"a row has more than the {len(names)} fields of the header: {found[0][:80]!r}")
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
              tokens: tuple[str, ...] = MISSING_TOKENS, multi_line: bool = False, staged: bool = False,
-             **options) -> DataFrame:
+             checked: bool = True, **options) -> DataFrame:
     """A CSV file with a header row, its missing tokens folded and its types inferred or given.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of files that cannot be split.
+    ``multi_line`` allows line breaks inside quotes, at the price of files that cannot be split. Nothing is lost
+    or misplaced in silence: a row with more fields than the header, a file with another header and a line break inside
+    quotes without ``multi_line`` raise ``BrokenCsvError`` or Spark's error for the file (``checked=False`` saves the
+    passes for files known to be sound). A row with fewer fields has missing values at its end.
     ``staged`` writes the typed table once, columnar, for the many passes of a profile or a cleaning: each
     of them would otherwise parse the whole text again.
     """
-    reader = spark.read.options(header=True, escape='"', multiLine=multi_line, **options)
-    folded = normalize_missing(reader.csv(path), tokens)
+    settings = {"header": True, "escape": '"', "multiLine": multi_line, **options}
+    if checked:
+        refuse_broken(spark, path, settings)
+    folded = normalize_missing(spark.read.options(**settings).csv(path), tokens)
     if schema is None:
         typed = infer_types(folded)
     else:

@@ -156,14 +156,18 @@ def parsed(spark, text, fmt=None):
     ("2024-02-29", (2024, 2, 29)), ("2/29/2024", (2024, 2, 29)), ("31/12/2023", (2023, 12, 31)),
     ("2023/1/5", (2023, 1, 5)), ("5.1.2023", (2023, 1, 5)), ("Jan 5, 2023", (2023, 1, 5)),
     ("5 January 2023", (2023, 1, 5)), ("05-MAR-2023", (2023, 3, 5)), ("2024-01-02 03:04:05", (2024, 1, 2, 3, 4, 5)),
-    ("1/2/2024 3:04", (2024, 1, 2, 3, 4)),
+    ("1/2/2024 3:04", (2024, 1, 2, 3, 4)), ("2024-01-05T10:00:00Z", (2024, 1, 5, 10)),
+    ("2024-01-05T10:00:00+02:00", (2024, 1, 5, 10)), ("1/5/2024 3:04 PM", (2024, 1, 5, 15, 4)),
+    ("1/5/2024 12:04:05 am", (2024, 1, 5, 0, 4, 5)), ("20240105", (2024, 1, 5)), ("1/5/24", (2024, 1, 5)),
+    ("1/5/71", (1971, 1, 5)), ("31/5/24", (2024, 5, 31)), ("JANUARY 5, 2024", (2024, 1, 5)), ("5 sept 2024", (2024, 9, 5)),
 ])
 def test_dates_parse(spark, text, expected):
     assert parsed(spark, text) == datetime.datetime(*expected)
 
 
 @pytest.mark.parametrize("text", [
-    "2023-02-29", "13/32/2023", "T1018", "2023", "12:30", "junk", "", None, "Foo 5, 2023", "1/2/24", "x" * 5000,
+    "2023-02-29", "13/32/2023", "T1018", "2023", "12:30", "junk", "", None, "Foo 5, 2023", "Mayor 5, 2020", "Marble 3, 2021", "13/45/24", "20241340", "12345678",
+    "1/5/2024 13:04 PM", "1/5/2024 0:04 AM", "x" * 5000,
 ])
 def test_no_dates(spark, text):
     assert parsed(spark, text) is None

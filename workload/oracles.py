@@ -557,3 +557,57 @@ select doc_id, section, name as column_name, role,
     "q_chart_plan": _PLAN,
 }
 ORACLES["q_quantiles_searched"] = ORACLES["q_quantiles"]
+ORACLES["q_clean_table_searched"] = ORACLES["q_clean_table"]
+ORACLES["q_box_stats_searched"] = ORACLES["q_box_stats"]
+ORACLES["q_odd_names"] = ORACLES["q_crosstab"]
+ORACLES["q_csv_long_ids"] = "select o_orderkey + 1790000000000000000 as id, o_orderpriority from orders"
+ORACLES["q_csv_multiline"] = """select o_orderkey as id, o_orderstatus || chr(10) || '"' || o_orderpriority || '"' as note
+from orders"""
+ORACLES["q_quantiles_hot_key"] = """with k as (select case when l_orderkey % 3 = 0 then 1152921504606847677
+  else l_orderkey * 1000003 + 1152921504606846976 end as key from lineitem),
+p as (select unnest([0.1, 0.5, 0.9]::double[]) as q)
+select 'key' as column_name, q, round(case q when 0.1 then (select quantile_cont(key::double, 0.1) from k)
+  when 0.5 then (select quantile_cont(key::double, 0.5) from k)
+  else (select quantile_cont(key::double, 0.9) from k) end / 1e9) as value from p"""
+ORACLES["q_correlation_missing"] = correlation("dirty", DIRTY_NUMBERS, f"with {DIRTY_SQL} ")
+ORACLES["q_bubble_bins"] = """with r as (select min(l_quantity) as x0, max(l_quantity) as x1, min(l_tax) as y0,
+  max(l_tax) as y1, max(l_extendedprice) as most from lineitem)
+select cast(least(floor((l_quantity - x0) / ((x1 - x0) / 40)) + 1, 40) as int) as xbin,
+  cast(least(floor((l_tax - y0) / ((y1 - y0) / 40)) + 1, 40) as int) as ybin, l_returnflag as colour, count(*) as n,
+  round(avg(l_extendedprice) / any_value(most), 6) as size from lineitem, r group by 1, 2, 3"""
+ORACLES["q_date_formats"] = """select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as iso_zone,
+  strftime(o_orderdate, '%-m/%-d/%Y %-I:%M %p') as us_time, strftime(o_orderdate, '%-m/%-d/%y') as short_year,
+  strftime(o_orderdate, '%Y%m%d') as compact, upper(strftime(o_orderdate, '%B %-d, %Y')) as name,
+  strftime(o_orderdate, '%-d.%-m.%Y') as dotted,
+  date_trunc('second', o_orderdate::timestamp) as iso_zone_date, date_trunc('minute', o_orderdate::timestamp) as us_time_date,
+  date_trunc('day', o_orderdate)::timestamp as short_year_date, date_trunc('day', o_orderdate)::timestamp as compact_date,
+  date_trunc('day', o_orderdate)::timestamp as name_date, date_trunc('day', o_orderdate)::timestamp as dotted_date
+from orders"""
+ORACLES["q_before_after_texts"] = "with before as (select text, lang, source from documents), " + f"""
+after as (select distinct * from before), sides as ({union([
+    f"select '{c}' as column_name, '{side}' as side, count(*) - count({c}) as n_missing, count(distinct {c}) as n_unique "
+    f"from {side}" for c in ("text", "lang", "source") for side in ("before", "after")])})
+select b.column_name, b.n_missing as n_missing_before, a.n_missing as n_missing_after,
+  b.n_unique as n_unique_before, a.n_unique as n_unique_after, {", ".join(
+    f"null::double as {c}_{side}" for c in ("mean", "std", "min", "max") for side in ("before", "after"))}
+from sides b join sides a using (column_name) where b.side = 'before' and a.side = 'after'"""
+
+
+def _transformed(c: str, dtype: str) -> str:
+    """A value of an odd order moved into the bounds of the even ones; whole numbers to whole numbers."""
+    lo, hi = (f"(select {end} from bounds where c = '{c}')" for end in ("lo", "hi"))
+    if dtype != "double":
+        return f"cast(greatest(ceil({lo}), least(floor({hi}), {c})) as {dtype}) as {c}"
+    return f"round(greatest({lo}, least({hi}, {c})), 6) as {c}"
+
+
+_MODEL_COLUMNS = {"l_orderkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double"}
+_FILLED = ", ".join("coalesce(l_quantity, (select median(l_quantity) from even)) as l_quantity" if c == "l_quantity" else c
+                    for c in _MODEL_COLUMNS)
+ORACLES["q_model_transform"] = f"""with {DIRTY_SQL}, even as (select * from dirty where l_orderkey % 2 = 0),
+fitted as (select distinct {_FILLED} from even),
+bounds as (select c, q1 - 3 * (q3 - q1) as lo, q3 + 3 * (q3 - q1) as hi from ({union([
+    f"select '{c}' as c, quantile_cont(cast({c} as double), 0.25) as q1, quantile_cont(cast({c} as double), 0.75) as q3 "
+    f"from fitted" for c in _MODEL_COLUMNS])})),
+rest as (select distinct {_FILLED} from dirty where l_orderkey % 2 = 1)
+select {", ".join(_transformed(c, t) for c, t in _MODEL_COLUMNS.items())} from rest"""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablewise.operators import charts, clean, dates, ordering, profile, quantiles, recommend, roles
 from tablewise.operators.correlation import correlation
 from tablewise.plans.charts import manifest
-from tablewise.plans.cleaning import clean_table
+from tablewise.plans.cleaning import CleaningOptions, clean_table
 from tablewise.plans.compare import before_after
 from tablewise.sources.staging import new_path
 from tablewise.sources.tables import convert_types, normalize_missing, read_csv, write_csv
@@ -51,6 +51,25 @@ def csv_ingest(spark, folder):
     return read_csv(spark, path)
 
 
+@query
+def csv_long_ids(spark, folder):
+    """Whole numbers of 19 digits stay whole numbers."""
+    path = new_path(spark, "long-ids-csv")
+    orders = table(spark, folder, "orders").selectExpr(
+        "cast(o_orderkey + 1790000000000000000 as string) as id", "o_orderpriority")
+    write_csv(orders, path)
+    return read_csv(spark, path)
+
+
+@query
+def csv_multiline(spark, folder):
+    path = new_path(spark, "multiline-csv")
+    orders = table(spark, folder, "orders").selectExpr(
+        "cast(o_orderkey as string) as id", "concat(o_orderstatus, '\\n', '\"', o_orderpriority, '\"') as note")
+    write_csv(orders, path)
+    return read_csv(spark, path, multi_line=True)
+
+
 @query
 def normalize_missing_(spark, folder):
     untidy = table(spark, folder, "lineitem").selectExpr(
@@ -91,6 +110,17 @@ def date_materialize(spark, folder):
     return dates.materialize_dates(dirty_dates(spark, folder))
 
 
+@query
+def date_formats(spark, folder):
+    """One column for each of the forms that exports use most."""
+    texts = table(spark, folder, "orders").selectExpr(
+        "o_orderkey", "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as iso_zone",
+        "date_format(o_orderdate, 'M/d/yyyy h:mm a') as us_time", "date_format(o_orderdate, 'M/d/yy') as short_year",
+        "date_format(o_orderdate, 'yyyyMMdd') as compact", "upper(date_format(o_orderdate, 'MMMM d, yyyy')) as name",
+        "date_format(o_orderdate, 'd.M.yyyy') as dotted")
+    return dates.materialize_dates(texts)
+
+
 @query
 def convert_types_(spark, folder):
     texts = dirty_dates(spark, folder).selectExpr(
@@ -193,6 +223,15 @@ def quantiles_searched(spark, folder):
     ))
 
 
+@query
+def quantiles_hot_key(spark, folder):
+    """64-bit keys beyond what a double can tell apart, a third of them equal, by the search; in units of 10^9."""
+    keys = table(spark, folder, "lineitem").selectExpr(
+        "if(l_orderkey % 3 = 0, 1152921504606847677L, l_orderkey * 1000003L + 1152921504606846976L) as key")
+    found = quantiles.quantile_table(keys, ["key"], [0.1, 0.5, 0.9], direct_rows=0, budget=1000)
+    return found.withColumn("value", F.round(F.col("value") / 1e9))
+
+
 @query
 def group_means(spark, folder):
     features = ["l_quantity", "l_extendedprice"]
@@ -204,6 +243,11 @@ def correlation_(spark, folder):
     return rounded(correlation(table(spark, folder, "lineitem")))
 
 
+@query
+def correlation_missing(spark, folder):
+    return rounded(correlation(dirty_lineitem(spark, folder)))
+
+
 @query
 def correlation_constant(spark, folder):
     columns = ["l_quantity", "l_extendedprice", "l_linenumber", "same"]
@@ -294,6 +338,31 @@ def clean_table_(spark, folder):
     return rounded(clean_table(dirty_lineitem(spark, folder)).cleaned)
 
 
+SEARCHED = {"direct_rows": 0, "budget": 1000}
+
+
+@query
+def clean_table_searched(spark, folder):
+    """The same with every quantile searched for, as in a large table."""
+    options = CleaningOptions(quantile_limits=SEARCHED)
+    return rounded(clean_table(dirty_lineitem(spark, folder), options).cleaned)
+
+
+@query
+def model_transform(spark, folder):
+    """Fitted on the orders with an even key, applied to the others."""
+    numbers = dirty_lineitem(spark, folder).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    model = clean_table(numbers.where("l_orderkey % 2 = 0"), CleaningOptions(reusable=True)).model
+    return rounded(model.transform(numbers.where("l_orderkey % 2 = 1")))
+
+
+@query
+def before_after_texts(spark, folder):
+    """A table without numbers."""
+    texts = table(spark, folder, "documents").select("text", "lang", "source")
+    return before_after(texts, clean.drop_duplicate_wide_rows(texts))
+
+
 @query
 def before_after_(spark, folder):
     dirty = dirty_lineitem(spark, folder)
@@ -313,6 +382,13 @@ def crosstab(spark, folder):
     return charts.crosstab(dirty_lineitem(spark, folder), "l_linestatus", "l_returnflag")
 
 
+@query
+def odd_names(spark, folder):
+    """Column names with a dot, a space and a back tick."""
+    odd = dirty_lineitem(spark, folder).withColumnsRenamed({"l_linestatus": "l.line`status", "l_returnflag": "l returnflag"})
+    return charts.crosstab(odd, "l.line`status", "l returnflag")
+
+
 @query
 def composition(spark, folder):
     return rounded(charts.composition(table(spark, folder, "part"), "p_type"))
@@ -348,6 +424,12 @@ def box_stats(spark, folder):
     return rounded(charts.box_stats(dirty_lineitem(spark, folder), "l_extendedprice", "l_returnflag"))
 
 
+@query
+def box_stats_searched(spark, folder):
+    dirty = dirty_lineitem(spark, folder)
+    return rounded(charts.box_stats(dirty, "l_extendedprice", "l_returnflag", **SEARCHED))
+
+
 @query
 def box_stats_ungrouped(spark, folder):
     return rounded(charts.box_stats(table(spark, folder, "events"), "value"))
@@ -383,6 +465,12 @@ def bubble_points(spark, folder):
     return rounded(charts.bubble_points(table(spark, folder, "events"), colour="event_type"), 6)
 
 
+@query
+def bubble_bins(spark, folder):
+    return rounded(charts.bubble_bins(table(spark, folder, "lineitem"), "l_quantity", "l_tax", "l_extendedprice",
+                                      "l_returnflag"))
+
+
 @query
 def violin_density(spark, folder):
     density = charts.violin_density(table(spark, folder, "lineitem"), "l_extendedprice", "l_returnflag")
