@@ -6,6 +6,8 @@ the last return the columns of documents, with ``n_chars`` counted anew where th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +26,15 @@ REPEAT_BYTES = 400
 SEQUENCE_TOKENS = 1024
 
 
-def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    counted = df.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in columns else df
-    return counted.select(*columns)
-
-
-def _others(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c not in ("doc_id", "text")]
+def _new_texts(docs: DataFrame, change: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``docs`` with the texts that ``change`` gives them, whatever their other columns are called."""
+    names = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    plain = docs.select(*[F.col(q).alias(names.get(c, c)) for q, c in zip(quoted, docs.columns)])
+    changed = change(plain, list(names.values()))
+    if "n_chars" in names:
+        changed = changed.withColumn(names["n_chars"], F.char_length("text").cast("bigint"))
+    return changed.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +52,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of REPEAT_BYTES that start at two places go. A character of which only some bytes go, goes."""
     small_batches(spark)
-    cleaned = remove_repeats(docs, length=REPEAT_BYTES, carry=_others(docs), as_text=True)
-    return _with_text(cleaned.withColumnRenamed("kept", "text"), docs.columns)
+    return _new_texts(docs, lambda plain, others: remove_repeats(
+        plain, length=REPEAT_BYTES, carry=others, as_text=True).withColumnRenamed("kept", "text"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes surrogates."""
     small_batches(spark)
-    return _with_text(replace_pii(docs, PII_KEY, carry=_others(docs)), docs.columns)
+    return _new_texts(docs, lambda plain, others: replace_pii(plain, PII_KEY, carry=others))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
