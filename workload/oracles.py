@@ -611,3 +611,25 @@ bounds as (select c, q1 - 3 * (q3 - q1) as lo, q3 + 3 * (q3 - q1) as hi from ({u
     f"from fitted" for c in _MODEL_COLUMNS])})),
 rest as (select distinct {_FILLED} from dirty where l_orderkey % 2 = 1)
 select {", ".join(_transformed(c, t) for c, t in _MODEL_COLUMNS.items())} from rest"""
+
+
+def _bins(source: str, c: str, seq: int) -> str:
+    return f"""select {seq} as seq, 'histogram' as plot_type, bin::varchar as key, count(*)::double as value
+from (select cast(least(floor(({c} - lo) / ((hi - lo) / 30)) + 1, 30) as int) as bin from {source},
+  (select min({c})::double as lo, max({c})::double as hi from {source})) group by bin"""
+
+
+ORACLES["q_standard_charts"] = f"""{_bins('events', 'event_id', 1)}
+union all select 2, 'bar', event_type, count(*)::double from events group by event_type
+union all select 3, 'pie', event_type, round(count(*) / sum(count(*)) over (), 4) from events group by event_type
+union all select 4, 'scatter', event_id || '|' || event_type, user_id::double from events
+union all select 5, 'box', event_type, round(quantile_cont(event_id::double, 0.5), 4) from events group by event_type
+union all select 6, 'line', strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || event_type, event_id::double from events
+union all select 7, 'heatmap', col_x || '|' || col_y, round(r, 4)
+  from ({correlation('events', ['event_id', 'user_id', 'value'])})"""
+ORACLES["q_recommended_charts"] = f"""with {SALES_SQL}, k as (select tax_bucket as value, count(*) as n,
+  row_number() over (order by count(*) desc, tax_bucket) as rnk, count(*) over () as m from sales group by 1)
+{_bins('sales', 'l_extendedprice', 1)}
+union all select 2, 'pie', case when m <= 8 or rnk <= 7 then value else 'Other' end,
+  round(sum(n) / (select count(*) from sales), 4) from k group by 3
+union all select 3, 'box', l_returnflag, round(quantile_cont(l_quantity, 0.5), 4) from sales group by l_returnflag"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablewise.operators import charts, clean, dates, ordering, profile, quantiles, recommend, roles
 from tablewise.operators.correlation import correlation
-from tablewise.plans.charts import manifest
+from tablewise.plans.charts import chart_tables, manifest, recommended_charts
 from tablewise.plans.cleaning import CleaningOptions, clean_table
 from tablewise.plans.compare import before_after
 from tablewise.sources.staging import new_path
@@ -493,6 +494,38 @@ def standard_manifest(spark, folder):
     return manifest(table(spark, folder, "events"))
 
 
+#: What a row of a chart's table says, as (key columns, value column)
+_LONG = {"histogram": (["bin"], "n"), "bar": (["value"], "n"), "pie": (["value"], "pct"), "box": (["group_value"], "median"),
+         "scatter": (["cast(x as bigint)", "colour"], "y"), "heatmap": (["col_x", "col_y"], "r"),
+         "line": (["date_format(x, 'yyyy-MM-dd HH:mm:ss')", "group_value"], "y")}
+
+
+def _long_form(tables: dict[str, DataFrame]) -> DataFrame:
+    """seq, plot_type, key, value: all tables of a chart plan in one."""
+    parts = []
+    for name, df in tables.items():
+        seq, kind = name.split("_", 1)
+        keys, value = _LONG[kind]
+        parts.append(df.selectExpr(f"{seq} as seq", f"'{kind}' as plot_type", f"concat_ws('|', {', '.join(keys)}) as key",
+                                   f"round(cast({value} as double), 4) as value"))
+    return reduce(DataFrame.union, parts)
+
+
+@query
+def standard_charts(spark, folder):
+    """Every table of the standard set."""
+    return _long_form(chart_tables(table(spark, folder, "events")))
+
+
+@query
+def recommended_charts_(spark, folder):
+    """A written recommendation down to the tables of its charts."""
+    df = sales(spark, folder)
+    text = ("Look at this:\n1. Histogram of l_extendedprice\n2. Pie chart of tax_bucket\n"
+            "3. Boxplot of l_quantity for each l_returnflag\n4. nothing to draw here")
+    return _long_form(chart_tables(df, recommended_charts(df, text)))
+
+
 # --- written recommendations ----------------------------------------------------------------------
 
 
