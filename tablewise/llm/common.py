@@ -52,11 +52,6 @@ def rows_of(batches: Iterable[pa.RecordBatch], bytes_most: int = 2 << 20) -> Ite
             yield batch.slice(start)
 
 
-def utf8(text: str) -> bytes:
-    """UTF-8, also of a text with lone surrogates."""
-    return text.encode("utf-8", "surrogatepass")
-
-
 #: Rows of a few numbers that may be broadcast: some 50 MB.
 SMALL_ROWS = 1_000_000
 

@@ -85,11 +85,11 @@ class Classifier:
                    key=itemgetter(0))[1]
 
 
-_classifiers: dict[int, Classifier] = {}
+_classifiers: dict[tuple, Classifier] = {}      # the last model of this worker
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    key = id(model.value)
+    key = tuple(model.value.items())
     if key not in _classifiers:
         _classifiers.clear()
         _classifiers[key] = Classifier(model.value)

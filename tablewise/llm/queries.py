@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import documents, table
 from tablewise.llm.fingerprints import compare_with_edited, digest
-from tablewise.llm.language import UNDETERMINED, identify_languages, learn_languages
+from tablewise.llm.language import identify_languages, learn_languages
 from tablewise.llm.ngram_join import ngram_join
 from tablewise.llm.packing import pack
 from tablewise.llm.pii import replace_pii
@@ -99,3 +99,37 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+#: Windows of 400 bytes as hexadecimal text; a window repeats if its hash does (64 bits)
+ORACLES["op1_suffix_dedup"] = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, hash(substr(h, 2 * i + 1, 800)) as k
+  from (select doc_id, h, unnest(range(0, length(h) // 2 - 399)) as i from d where length(h) >= 800)),
+s as (select doc_id, i from w where k in (select k from w group by k having count(*) > 1)),
+b as (select *, i > lag(i) over (partition by doc_id order by i) + 400 as fresh from s),
+n as (select *, count(*) filter (where fresh) over (partition by doc_id order by i) as run from b),
+r as (select doc_id, run, min(i) as a, max(i) + 400 as z from n group by doc_id, run),
+p as (select r.*, h, coalesce(lag(z) over (partition by doc_id order by a), 0) as before from r join d using (doc_id)),
+k as (select doc_id, sum(z - a) as removed, count(*) as spans,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) as kept
+  from p group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed,
+  coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join k using (doc_id)"""
+
+ORACLES["op4_ngram_join"] = """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+g as (select doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, least(len(words), 1) + 1)),
+    lambda i: array_to_string(words[i:i + 4], ' '))) as grams from w),
+sizes as (select doc_id, len(grams) as n from g),
+classes as (select doc_id, min(doc_id) over (partition by list_sort(grams)) as class from g where len(grams) > 0),
+e as (select class, unnest(grams) as gram from classes join g on g.doc_id = class where classes.doc_id = class),
+shared as (select x.class as a, y.class as b, count(*) as k from e x join e y on x.gram = y.gram and x.class < y.class
+  group by 1, 2),
+links as (select a, b from shared join sizes s on s.doc_id = a join sizes t on t.doc_id = b
+  where 100 * k >= 75 * (s.n + t.n - k)),
+either as (select a, b from links union all select b, a from links),
+reach(a, b) as (select class, class from (select distinct class from classes)
+  union select reach.a, either.b from reach join either on either.a = reach.b)
+select sizes.doc_id, n as n_shingles, coalesce(root, sizes.doc_id) as component_id
+from sizes left join classes using (doc_id) left join (select a, min(b) as root from reach group by a) on a = class"""

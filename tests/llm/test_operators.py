@@ -414,3 +414,11 @@ def test_pipeline(docs, rows, spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    from tests.compare import database, difference
+
+    ours = queries.QUERIES[name](spark, FOLDER).toPandas()
+    assert difference(ours, database(FOLDER).execute(queries.ORACLES[name]).df()) is None
