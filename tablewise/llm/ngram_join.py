@@ -291,40 +291,39 @@ class ShingleJoin:
             _bounded, "a bigint, b bigint")
 
     def rest(self, members: DataFrame, signatures: DataFrame, roots: DataFrame) -> DataFrame:
-        """Candidate pairs of different components under shingles that the stars did not settle, in tiles."""
-        several = members.where("size > 2").select("token", "node", "hub")
+        """Candidate pairs of different components under shingles that the stars did not settle, in tiles: the classes
+        of a hub in one, or, if they are many, by size bands and parts of these, each with itself and the next band."""
+        # Shingles with one hub are settled together: their classes are mostly the same, and a pair comes out once.
+        several = members.where("size > 2").select("hub", "node").distinct()
         root = F.coalesce("root", "node").alias("root")
-        placed = several.join(small(roots), "node", "left").select("token", "node", "hub", root)
-        shape = placed.groupBy("token").agg(
-            F.count(F.lit(1)).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"),
-            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"), F.min("node").alias("first"))
-        # shingles of one passage are listed by the same classes: one of them is enough
-        open_ = shape.where("low < high").groupBy("all", "mark", "first").agg(F.min("token").alias("token"))
+        placed = stage(several.join(small(roots), "node", "left").select("hub", "node", root), "shingle-placed")
+        open_ = placed.groupBy("hub").agg(
+            F.count(F.lit(1)).alias("all"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         with_bits = stage(signatures.select("node", "n", "bits").mapInArrow(
             _folded, "node bigint, n bigint, bits binary"), "shingle-tile-bits")
-        rows = placed.join(open_.select("token", "all"), "token").join(with_bits, "node")
+        rows = placed.join(open_.select("hub", "all"), "hub").join(with_bits, "node")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DOWN / UP))).cast("int")
         narrow = rows.where(F.col("all") <= TILE).select(
-            "token", *[F.lit(0).alias(c) for c in ("band", "row", "column", "side", "next")], "node", "hub", "root",
+            "hub", *[F.lit(0).alias(c) for c in ("band", "row", "column", "side", "next")], "node", "root",
             "n", "bits")
         wide = rows.where(F.col("all") > TILE).withColumn("band", band)
-        bands = wide.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-        wide = wide.join(bands, ["token", "band"]).withColumn(
+        bands = wide.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+        wide = wide.join(bands, ["hub", "band"]).withColumn(
             "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        above = bands.select("token", (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_above"))
-        below = bands.select("token", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
-        wide = wide.join(above, ["token", "band"], "left").join(below, ["token", "band"], "left")
+        above = bands.select("hub", (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_above"))
+        below = bands.select("hub", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
+        wide = wide.join(above, ["hub", "band"], "left").join(below, ["hub", "band"], "left")
 
         def tiles(last: str, row: str, column: str, side: str, next_: int, band: str = "band"):
             at = F.sequence(F.lit(0), F.col(last) - 1)
             return wide.where(F.col(last) > 0).withColumn("i", F.explode(at)).selectExpr(
-                "token", f"{band} as band", f"cast({row} as int) as row", f"cast({column} as int) as column",
-                f"cast({side} as int) as side", f"{next_} as next", "node", "hub", "root", "n", "bits")
+                "hub", f"{band} as band", f"cast({row} as int) as row", f"cast({column} as int) as column",
+                f"cast({side} as int) as side", f"{next_} as next", "node", "root", "n", "bits")
 
         own = tiles("tiles", "least(i, tile)", "greatest(i, tile)", "if(tile > i, 1, 0)", 0)
         up = tiles("tiles_above", "tile", "i", "0", 1)
         down = tiles("tiles_below", "i", "tile", "1", 1, "band - 1")
-        key = ["token", "band", "row", "column", "next"]
+        key = ["hub", "band", "row", "column", "next"]
 
         def compared(rows: pa.Table) -> pa.Table:
             return _tile(rows)
