@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of, small, with_text
+from tablewise.llm.common import claim_worker, rows_of, small, with_text
 from tablewise.llm.components import connected_components
 from tablewise.llm.grams import mix, shingles, word_hashes
 from tablewise.sources.staging import stage
@@ -35,7 +35,7 @@ UP, DOWN = 3, 4
 #: A shingle is frequent if so many documents have it; the most frequent are used. Frequent shingles come last in the
 #: order and are salted; which shingles are found frequent changes the work, not the result.
 FREQUENT_DOCS, MOST_FREQUENT = 32, 2_000_000
-COUNTED_TOGETHER, COUNTED_LEAST = 4_000_000, 2   # shingles of a task counted at once; least count that is passed on
+COUNTED_TOGETHER, COUNTED_LEAST = 2_000_000, 2   # shingles of a task counted at once; least count that is passed on
 SALTS = 64
 TILE = 512
 TILE_FOLDS = 1      # a tile compares bitmaps folded so often: they tell unrelated sets apart, and travel with each row
@@ -90,6 +90,7 @@ def _int64(values: np.ndarray) -> pa.Array:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and (token, df) rows of shingles that several documents of a task share."""
+    claim_worker("ngram_join")
     names = [c.split()[0] for c in PROFILE.split(", ")]
     seen: set[int] = set()
     waiting: list[np.ndarray] = []
@@ -133,6 +134,7 @@ def prefix(members: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+    claim_worker("ngram_join")
     seen: set[int] = set()      # a class once for each task, as far as memory goes
     for rows in rows_of(batches):
         tokens, hots, nodes = [], [], []
@@ -170,6 +172,7 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim_worker("ngram_join")
     for rows in rows_of(batches):
         sets = [s for s in sets_of(rows.column("text")) if len(s)]
         yield pa.record_batch([pa.array([class_of(s) for s in sets], pa.int64()),
@@ -356,7 +359,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     named = join.of_docs.where("node is not null and doc_id is not null").join(roots, "node", "left").select(
         "doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written first, so that Spark can split the rows of a large component when it joins them
+    least = stage(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "shingle-component-ids")
     linked = named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = join.of_docs.where("node is null or doc_id is null").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
