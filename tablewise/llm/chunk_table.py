@@ -3,17 +3,18 @@
 A tokenizer whose tokens never cross the start of a white-space run, nor the change between plain letters and
 plain punctuation, encodes every chunk between such places on its own. A text is then the ids of its chunks, one
 after the other, and each distinct chunk has to be encoded once only. The table lives in the Python worker and is
-kept between tasks.
+kept between tasks of one operator.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
 from collections.abc import Callable
 
+from tablewise.llm.common import worker_cache
+
 #: Chunks of a generation of the table. When it is full it becomes the old generation, and what is used again is
 #: taken over from there, so that memory is bounded whatever the number of distinct chunks.
 TABLE_CHUNKS = 400_000
@@ -57,6 +58,8 @@ _RUN = (f"[{_PLAIN}]++(?![^{WHITE_SPACE}{_PUNCTUATION}])|[{_NO_APOSTROPHE}]++(?!
         f"|[^{WHITE_SPACE}]+")
 _WITH_SPACE = re.compile(f"[{WHITE_SPACE}]*(?:{_RUN})|[{WHITE_SPACE}]+")
 _WITHOUT_SPACE = re.compile(_RUN)
+#: A text without other characters than these two Latin blocks, less one that becomes two, may be lower-cased as a whole
+_RARE = re.compile("[^\x00-įı-ž]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -67,7 +70,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-@functools.lru_cache(maxsize=4)
+@worker_cache(maxsize=2)
 def tokenizer_table(path: str, spaces: bool) -> ChunkTable:
     """Chunk -> ids with the byte-level BPE tokenizer in a JSON file.
 
@@ -98,6 +101,8 @@ def tokenizer_table(path: str, spaces: bool) -> ChunkTable:
 
 def token_bytes(texts: list[str], path: str, spaces: bool) -> list[bytes]:
     """The ids of each text as unsigned 32-bit little-endian integers."""
-    split = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
     table = tokenizer_table(path, spaces)
-    return [table.ids(split(t)) for t in texts]
+    if spaces:
+        return [table.ids(_WITH_SPACE.findall(t)) for t in texts]
+    lower = (t.lower() if t.isascii() or not _RARE.search(t) else t for t in texts)
+    return [table.ids(_WITHOUT_SPACE.findall(t)) for t in lower]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +35,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_owner = ""
+_caches: list = []
+
+
+def worker_cache(maxsize: int):
+    """A cache in the Python worker, kept between the tasks of one operator."""
+    def cached(function):
+        _caches.append(found := functools.lru_cache(maxsize)(function))
+        return found
+
+    return cached
+
+
+def claim_worker(operator: str) -> None:
+    """Called by the first lines of a task: when the worker served another operator before, its caches are dropped and
+    the memory goes back, so that the stages of a pipeline do not add up."""
+    global _owner
+    if _owner != operator:
+        for cache in _caches:
+            cache.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # where the C library has it
+            trim(0)
+    _owner = operator
+
+
 def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with '' for a missing text."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

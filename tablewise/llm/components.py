@@ -38,7 +38,7 @@ def connected_components(links: DataFrame) -> DataFrame:
                 "links")
     before, after = None, mark(now)
     while before != after and after[0]:
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "links")
+        now = stage(_small_star(_large_star(now)).distinct(), "links")
         before, after = after, mark(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

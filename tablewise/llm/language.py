@@ -13,9 +13,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of, with_text
+from tablewise.llm.common import claim_worker, rows_of, with_text
 
-#: Bounds of what is learned: documents and characters of each for one language, bytes of a dictionary, languages.
+#: Bounds of what is learned: documents and characters of each for one language, bytes of a dictionary, languages
 LEARN_DOCS, LEARN_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 300, 1000, 110 * 1024, 1000
 LEVEL = 9
 PIECE = 512              # bytes encoded together: longer pieces would learn from themselves, not the dictionary
@@ -89,6 +89,7 @@ _classifiers: dict[tuple, Classifier] = {}      # the last model of this worker
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+    claim_worker("language")
     key = tuple(model.value.items())
     if key not in _classifiers:
         _classifiers.clear()
@@ -107,9 +108,9 @@ def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], id_col: st
     the lead over the second language is narrow.
 
     Defined results: a text without a letter (missing, empty) is ``und``, score 0, not accepted, and so is every
-    text if nothing was learned; ties of a
-    short text go by its single words, other ties to the language with more learned rows, and are not accepted; rows may repeat. The dictionaries (at most
-    110 KB for each language) are broadcast; no row moves between tasks.
+    text if nothing was learned; ties of a short text go by its single words, other ties to the language with more
+    learned rows, and are not accepted; rows may repeat. The dictionaries (at most 110 KB for each language) are
+    broadcast; no row moves between tasks.
     """
     spark: SparkSession = df.sparkSession
     model = spark.sparkContext.broadcast(dict(dictionaries))

@@ -355,7 +355,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = stage(connected_components(links), "shingle-roots")
     more = join.verify(join.bounded(stage(join.rest(members, signatures, roots), "shingle-tile-pairs"), signatures),
                        signatures)
-    roots = stage(connected_components(links.union(more)), "shingle-roots")
+    if not more.isEmpty():      # the components so far are links themselves
+        roots = stage(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)),
+                      "shingle-roots")
 
     named = join.of_docs.where("node is not null and doc_id is not null").join(roots, "node", "left").select(
         "doc_id", "n", F.coalesce("root", "node").alias("root"))

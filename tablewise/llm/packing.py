@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.chunk_table import token_bytes
-from tablewise.llm.common import rows_of, with_text
+from tablewise.llm.common import claim_worker, rows_of, with_text
 
 GROUP_DOCS = 4096
 CODED = "doc_id bigint, ids binary, g bigint"
@@ -109,6 +109,7 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    claim_worker("packing")
     end = np.array([end_id], "<u4").tobytes()
     for rows in rows_of(batches):
         coded = token_bytes(rows.column("text").to_pylist(), path, spaces=True)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tablewise.llm.chunk_table import ChunkTable
-from tablewise.llm.common import rows_of, with_text
+from tablewise.llm.common import claim_worker, rows_of, with_text, worker_cache
 
 MARK = "\u2581"
 _FIRST_MARKED = re.compile(f"[ {MARK}]([ {MARK}]*[^ {MARK}]*)")     # a marked word without its first marker
@@ -34,7 +34,7 @@ def words_are_independent(processor) -> bool:
             and processor.normalize(probe) == MARK + probe.replace(" ", MARK))
 
 
-@functools.lru_cache(maxsize=4)
+@worker_cache(maxsize=2)
 def _word_table(path: str) -> ChunkTable | None:
     """Marked word, without its first marker -> ids as bytes. The processor puts the first marker back."""
     processor = _processor(path)
@@ -53,6 +53,7 @@ def piece_bytes(texts: list[str], path: str) -> list[bytes]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, ends: bool, decode: bool) -> Iterator[pa.RecordBatch]:
+    claim_worker("pieces")
     processor = _processor(path)
     begin, end = (np.array([i], "<u4").tobytes() if ends else b"" for i in (processor.bos_id(), processor.eos_id()))
     for rows in rows_of(batches):

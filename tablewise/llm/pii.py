@@ -25,6 +25,7 @@ from tablewise.llm.common import (
     carried,
     carried_names,
     carried_schema,
+    claim_worker,
     rows_of,
     small,
     with_carried,
@@ -249,6 +250,7 @@ def replace_entities(text: str, key: bytes, others: dict[tuple[str, str], str] |
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim_worker("pii")
     for rows in rows_of(batches):
         out = [(d, *x) for d, t in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())
                for x in sorted({(m.kind, m.form) for m in mentions(t)})]
@@ -289,6 +291,7 @@ def choose_surrogates(found: DataFrame, key: bytes) -> DataFrame:
 
 
 def _replace(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
+    claim_worker("pii")
     for rows in rows_of(batches):
         texts, counts = [], []
         for text, others in zip(rows.column("text").to_pylist(), rows.column("others").to_pylist()):

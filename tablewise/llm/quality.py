@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of, small
+from tablewise.llm.common import claim_worker, rows_of, small
 from tablewise.llm.grams import mix, shingles, word_hashes
 from tablewise.sources.staging import stage
 
@@ -65,6 +65,7 @@ def line_hashes(text: str, digest) -> tuple[int, dict[int, int]]:
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim_worker("quality")
     import xxhash
 
     def digest(line: str) -> int:

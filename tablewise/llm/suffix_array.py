@@ -1,8 +1,8 @@
 """Suffix array by two-stage sorting, and common prefixes of neighbours, in numpy.
 
 Stage one sorts only the suffixes that are smaller than their successors: they cut the text into substrings,
-each substring is named by its order, and the names are doubled until all suffixes differ. Stage two scans the
-buckets of first symbols from the smallest on; each suffix met puts the suffix before it, if that is larger than
+each substring is named by its order, and names are joined side by side until all suffixes differ. Stage two scans
+the buckets of first symbols from the smallest on; each suffix met puts the suffix before it, if that is larger than
 its successor, at the next free place of its own bucket.
 
 Several texts, none of them empty, are sorted together. Each is followed by an end of its own, smaller than any byte, so that no

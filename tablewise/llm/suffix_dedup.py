@@ -26,6 +26,7 @@ from tablewise.llm.common import (
     carried,
     carried_names,
     carried_schema,
+    claim_worker,
     rows_of,
     with_carried,
     with_text,
@@ -37,8 +38,8 @@ from tablewise.sources.staging import stage
 LENGTH = 400
 GRAM = 48
 PIECE = 1 << 19          # bytes whose anchors are chosen at once
-BUCKET_CONTEXTS = 1500   # contexts of a bucket on average: 1 MB of text
-MOST_CONTEXTS = 1500     # contexts of one gram in a bucket; beyond, the gram is cut further
+BUCKET_CONTEXTS = 1000   # contexts of a bucket on average: 600 KB of text
+MOST_CONTEXTS = 1000     # contexts of one gram in a bucket; beyond, the gram is cut further
 RANGE = 16               # distances of a range
 OWN_BUCKET = 150         # a gram with more contexts has a bucket of its own
 BROADCAST_ROWS = 1_500_000   # 64 MB of contexts or spans; beyond that an ordinary join brings them to their documents
@@ -99,6 +100,7 @@ def _pieces(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    claim_worker("suffix_dedup")
     from xxhash import xxh3_64_intdigest
 
     for rows in rows_of(batches):
@@ -123,6 +125,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that the rows (doc_id, text, wanted) list."""
+    claim_worker("suffix_dedup")
     for rows in rows_of(batches):
         out = []
         for text, wanted in zip(rows.column("text").to_pylist(), rows.column("wanted").to_pylist()):
@@ -168,6 +171,7 @@ def _spans(context: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _search(rows: pa.Table, length: int) -> pa.Table:
+    claim_worker("suffix_dedup")
     rows = rows.sort_by([("h", "ascending"), ("digest", "ascending")])
     context, offset = repeated_windows(rows.column("context").to_pylist(), rows.column("copies").to_numpy(), length)
     names = [c.split()[0] for c in SPANS.split(", ")]
@@ -353,9 +357,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     string of ``length`` bytes covers which starts at another place too, of the same document or any other.
 
     Texts are UTF-8 bytes; ``removed`` are the maximal runs as [start, end), ``kept`` the other bytes, which may
-    begin or end within a character; ``as_text`` gives the whole characters among them instead. No gram, context or document is left out; a gram with more contexts than a
-    bucket holds takes another, exact way. Only anchors (one in about 180 bytes) and contexts of repeated
-    grams travel. ``carry`` names columns that come along unchanged; those called like a result column are refused.
+    begin or end within a character; ``as_text`` gives the whole characters among them instead. No gram, context or
+    document is left out; a gram with more contexts than a bucket holds takes another, exact way. Only anchors (one in
+    about 180 bytes) and contexts of repeated grams travel. ``carry`` names columns that come along unchanged; those
+    called like a result column are refused.
 
     Defined results: a missing text is empty; repeated rows are documents of their own, and repeat each other, but
     different texts need different ids; a document without id takes no part and keeps all its bytes, and so does a

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.llm.chunk_table import token_bytes
-from tablewise.llm.common import rows_of, with_text
+from tablewise.llm.common import claim_worker, rows_of, with_text
 from tablewise.sources.staging import new_path, stage
 
 MAGIC = b"PFORIDS1"
@@ -142,6 +142,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, spaces: bool, end_
            ) -> Iterator[pa.RecordBatch]:
     """Write the documents of a partition, in their order; one row for each file. The names are new for each
     attempt of a task: only those that the manifest lists count."""
+    claim_worker("token_files")
     system, root = _filesystem(folder)
     part, seq = TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()

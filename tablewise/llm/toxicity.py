@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import rows_of, small, with_text
+from tablewise.llm.common import claim_worker, rows_of, small, with_text
 from tablewise.llm.grams import LETTER, LOWER, hash_spans, layout, mix, spans
 from tablewise.sources.staging import stage
 
@@ -64,6 +64,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim_worker("toxicity")
     waiting: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in LEVELS]
     size, total = 0, [0, 0]
 
@@ -178,6 +179,7 @@ def segments(places: list[int], weights: list[float], drift: float = DRIFT) -> l
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+    claim_worker("toxicity")
     learned: Model = model.value
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()),
                                ("evidence", pa.float64())]))
@@ -240,9 +242,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, train: Column, id_col: str
     are scored each; an empty table gives no rows. The model has ``MOST_WEIGHTS`` weights at most (3 MB, broadcast);
     its counts cover all labelled rows.
     """
-    known = stage(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
-                  .agg(F.max(F.col(label_col)).cast("int").alias("toxic")).withColumnRenamed("doc_id", id_col)
-                  .where(train).withColumnRenamed(id_col, "doc_id"), "labels")
+    given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(train)
+    known = stage(given.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic")), "labels")
     side = small(known)
     model = learn_weights(with_text(df, id_col, text_col).join(side, "doc_id"))
     scored = stage(find_passages(df, model, id_col, text_col), "passages")
