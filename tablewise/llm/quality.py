@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import claim_worker, rows_of, small
 from tablewise.llm.grams import mix, shingles, word_hashes
+from tablewise.llm.ngram_join import ngram_join
 from tablewise.sources.staging import stage
 
 #: Fixed values
@@ -19,14 +20,13 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 LEAST_WORDS, MOST_REPEATED = 10, 20     # base rules: words, per cent of words in repeated windows
 WINDOW = 5
 
-#: A line is boilerplate of a host if at least so many documents and so large a share of its documents have it,
-#: and if those documents are mostly unrelated.
-LINE_DOCS, LINE_SHARE, UNRELATED = 10, 0.002, 1 / 3
+#: A line is boilerplate of a host if at least so many unrelated documents, and so large a share of its documents, have it.
+LINE_DOCS, LINE_SHARE = 10, 0.002
 #: A document is depleted if less than this share of its words is left without boilerplate.
 LEFT_SHARE = 0.3
 
 RULES = ("row bigint, doc_id bigint, digest bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, "
-         "n_dup_lines bigint, n_repeat_words bigint, sketch bigint, lines array<struct<h:bigint,words:int>>")
+         "n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h:bigint,words:int>>")
 
 
 def repeated_words(grams: np.ndarray, gram_first: np.ndarray, first: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -76,21 +76,18 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first = word_hashes(rows.column("text"))
         grams, gram_first = shingles(words, first, WINDOW)
         repeated = repeated_words(grams, gram_first, first)
-        spread = mix(grams).astype(np.int64)
         out = []
-        for i, text in enumerate(rows.column("text").to_pylist()):
+        for text in rows.column("text").to_pylist():
             duplicates, lines = line_hashes(text, digest)
-            own = spread[gram_first[i]:gram_first[i + 1]]
             out.append((len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicates,
-                        int(own.min()) if len(own) else 0,
                         [{"h": h, "words": n} for h, n in lines.items()]))
-        chars, symbols, duplicates, sketch, lines = zip(*out)
+        chars, symbols, duplicates, lines = zip(*out)
         yield pa.record_batch(
             [rows.column("row"), rows.column("doc_id"), rows.column("digest"), rows.column("host"), pa.array(np.diff(first)),
              pa.array(chars, pa.int64()), pa.array(symbols, pa.int64()), pa.array(duplicates, pa.int64()),
-             pa.array(repeated), pa.array(sketch, pa.int64()), pa.array(lines, line_type)],
+             pa.array(repeated), pa.array(lines, line_type)],
             names=["row", "doc_id", "digest", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                   "sketch", "lines"])
+                   "lines"])
 
 
 def text_digest(text_col: str) -> Column:
@@ -98,20 +95,36 @@ def text_digest(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def boilerplate_lines(lines: DataFrame, texts: DataFrame, line_docs: int) -> DataFrame:
+    """(host, h, docs): the lines that ``line_docs`` or more unrelated documents of a host have, and their number."""
+    carriers = lines.groupBy("host", "h", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    shared = stage(carriers.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= line_docs)
+                   .select("host", "h"), "quality-shared-lines")
+    carriers = stage(carriers.join(small(shared), ["host", "h"]).select("host", "h", "digest"), "quality-carriers")
+    if carriers.isEmpty():
+        return shared.select("host", "h", F.lit(0).alias("docs"))
+    digests = stage(carriers.select("digest").distinct(), "quality-carrying-texts")
+    joined = ngram_join(texts.join(small(digests), "digest", "left_semi"), "digest", "text")
+    kinds = stage(joined.groupBy(F.col("doc_id").alias("digest")).agg(F.min("component_id").alias("kind")), "quality-kinds")
+    unrelated = carriers.join(small(kinds), "digest").groupBy("host", "h", "kind").agg(F.count(F.lit(1)).alias("texts"))
+    return unrelated.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= line_docs)
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """One row per document: row, doc_id, digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_boilerplate_words, depleted, kept.
 
-    Lines are normalised (lower case, single spaces) and hashed; the distinct documents of each host that have a
-    line are counted in Spark, by (host, line, sketch) first, so that a line of every document is summed up before
-    it is gathered. The sketch is the least hash of the document's word windows: copies and near copies share it,
-    and a line that only related documents share is no boilerplate, or a group of copies would lose all its
-    members. A document is depleted if its boilerplate leaves less than ``LEFT_SHARE`` of its words.
+    Lines are normalised (lower case, single spaces) and hashed. What counts for a line is the number of unrelated
+    documents of the host that have it: the distinct components of ``ngram_join`` (Jaccard similarity 3/4) among them, or
+    a group of copies or near copies would lose all its members. Equal texts are counted once first; only texts with a
+    line that enough different ones share go to the join, so that components are those among these texts. A document is
+    depleted if its boilerplate leaves less than ``LEFT_SHARE`` of its words.
 
     Defined results: a missing or empty text has no words and fails the base rules; a missing host is a host of
-    its own; repeated rows are documents of their own (``row`` tells them apart); an empty table gives no rows. Every
-    document is read once; of the texts only line hashes travel.
+    its own; repeated rows are documents of their own (``row`` tells them apart); an empty table gives no rows.
+    Texts are read twice. They do not move while those to join are few enough to broadcast their digests; beyond that
+    the semi join shuffles.
     """
     texts = df.select(F.col(id_col).alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -119,19 +132,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.monotonically_increasing_id().alias("row"), text_digest(text_col).alias("digest"))
     rules = stage(texts.mapInArrow(_rules, RULES), "quality-rules")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
-    lines = rules.select("row", host, "sketch", F.explode("lines").alias("line")).select(
-        "row", "host", "sketch", "line.h", "line.words")
-    related = lines.groupBy("host", "h", "sketch").agg(F.count(F.lit(1)).alias("docs"))
-    counted = related.groupBy("host", "h").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds"))
+    lines = rules.select("row", "digest", host, F.explode("lines").alias("line")).select(
+        "row", "digest", "host", "line.h", "line.words")
+    boilerplate = boilerplate_lines(lines, texts, line_docs)
     hosts = rules.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"))
-    boilerplate = counted.where(F.col("docs") >= line_docs).join(hosts, "host").where(
-        (F.col("docs") >= line_share * F.col("host_docs")) & (F.col("kinds") >= UNRELATED * F.col("docs")))
+    boilerplate = boilerplate.join(hosts, "host").where(F.col("docs") >= line_share * F.col("host_docs"))
     removed = lines.join(boilerplate.select("host", "h"), ["host", "h"]).groupBy("row").agg(
         F.sum("words").alias("n_boilerplate_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = left < F.lit(LEFT_SHARE) * F.col("n_words")
-    return rules.drop("lines", "sketch", "host").join(removed, "row", "left").fillna(0, ["n_boilerplate_words"]).select(
+    return rules.drop("lines", "host").join(removed, "row", "left").fillna(0, ["n_boilerplate_words"]).select(
         "row", "doc_id", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), "n_boilerplate_words", depleted.alias("depleted"),
         (~base_failed & ~depleted).alias("kept"))

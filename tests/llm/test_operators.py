@@ -338,6 +338,23 @@ def test_boilerplate_lines(spark):
     assert all(found[i]["kept"] and found[i]["n_boilerplate_words"] == 0 for i in [*range(200, 240), *range(300, 340)])
 
 
+def test_template_pages_with_little_text_of_their_own(spark):
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    rows, hosts = [], (12, 90, 110, 150)       # words of a page's own; the pages of 12 are near copies
+    for k, own in enumerate(hosts):
+        template = "\n".join(prose(10) for _ in range(40))
+        rows += [(100 * k + i, f"{template}\n{prose(own)}", f"h{k}") for i in range(60)]
+    found = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(
+        rows, "doc_id bigint, text string, source string")).collect()}
+    for k in range(len(hosts)):
+        pages = [found[100 * k + i] for i in range(60)]
+        assert {(r["n_boilerplate_words"], r["depleted"], r["kept"]) for r in pages} == {(400, True, False) if k else (0, False, True)}
+
+
 # --- 9 ---------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[^\W_]{1,4}|[^\w\s]|_")
