@@ -20,8 +20,8 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 LEAST_WORDS, MOST_REPEATED = 10, 20     # base rules: words, per cent of words in repeated windows
 WINDOW = 5
 
-#: A line is boilerplate of a host if at least so many unrelated documents, and so large a share of its documents, have it.
-LINE_DOCS, LINE_SHARE = 10, 0.002
+#: A line is boilerplate of a host if at least so many unrelated documents have it, whatever the size of the host.
+LINE_DOCS = 10
 #: A document is depleted if less than this share of its words is left without boilerplate.
 LEFT_SHARE = 0.3
 
@@ -96,22 +96,22 @@ def text_digest(text_col: str) -> Column:
 
 
 def boilerplate_lines(lines: DataFrame, texts: DataFrame, line_docs: int) -> DataFrame:
-    """(host, h, docs): the lines that ``line_docs`` or more unrelated documents of a host have, and their number."""
+    """(host, h): the lines that ``line_docs`` or more unrelated documents of a host have."""
     carriers = lines.groupBy("host", "h", "digest").agg(F.count(F.lit(1)).alias("copies"))
     shared = stage(carriers.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= line_docs)
                    .select("host", "h"), "quality-shared-lines")
     carriers = stage(carriers.join(small(shared), ["host", "h"]).select("host", "h", "digest"), "quality-carriers")
     if carriers.isEmpty():
-        return shared.select("host", "h", F.lit(0).alias("docs"))
+        return shared
     digests = stage(carriers.select("digest").distinct(), "quality-carrying-texts")
     joined = ngram_join(texts.join(small(digests), "digest", "left_semi"), "digest", "text")
     kinds = stage(joined.groupBy(F.col("doc_id").alias("digest")).agg(F.min("component_id").alias("kind")), "quality-kinds")
     unrelated = carriers.join(small(kinds), "digest").groupBy("host", "h", "kind").agg(F.count(F.lit(1)).alias("texts"))
-    return unrelated.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= line_docs)
+    return unrelated.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= line_docs).select("host", "h")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+                  line_docs: int = LINE_DOCS) -> DataFrame:
     """One row per document: row, doc_id, digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_boilerplate_words, depleted, kept.
 
@@ -135,9 +135,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = rules.select("row", "digest", host, F.explode("lines").alias("line")).select(
         "row", "digest", "host", "line.h", "line.words")
     boilerplate = boilerplate_lines(lines, texts, line_docs)
-    hosts = rules.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"))
-    boilerplate = boilerplate.join(hosts, "host").where(F.col("docs") >= line_share * F.col("host_docs"))
-    removed = lines.join(boilerplate.select("host", "h"), ["host", "h"]).groupBy("row").agg(
+    removed = lines.join(boilerplate, ["host", "h"]).groupBy("row").agg(
         F.sum("words").alias("n_boilerplate_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

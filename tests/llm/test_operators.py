@@ -355,6 +355,18 @@ def test_template_pages_with_little_text_of_their_own(spark):
         assert {(r["n_boilerplate_words"], r["depleted"], r["kept"]) for r in pages} == {(400, True, False) if k else (0, False, True)}
 
 
+def test_boilerplate_of_a_large_host(spark):
+    rng = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    rows = [(i, f"{prose(3)}\nAll rights reserved by the house of many words in one line", "h") for i in range(15)]
+    rows += [(100 + i, prose(12), "h") for i in range(8000)]
+    found = quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {r["doc_id"] for r in found.where("depleted").collect()} == set(range(15))
+
+
 # --- 9 ---------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[^\W_]{1,4}|[^\w\s]|_")
