@@ -65,7 +65,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of SEQUENCE_TOKENS."""
     small_batches(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=SEQUENCE_TOKENS, end_id=0)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=SEQUENCE_TOKENS, end_id=0,
+                special=True)
 
 
 STAGES = [

@@ -108,11 +108,11 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
     return sequences + fill([[rests[i] for i in b] for b in bins], capacity)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool) -> Iterator[pa.RecordBatch]:
     claim_worker("packing")
     end = np.array([end_id], "<u4").tobytes()
     for rows in rows_of(batches):
-        coded = token_bytes(rows.column("text").to_pylist(), path, spaces=True)
+        coded = token_bytes(rows.column("text").to_pylist(), path, spaces=True, special=special)
         ids = pa.array([_narrow(c + end) for c in coded], pa.binary())
         yield pa.record_batch([rows.column("doc_id"), ids, rows.column("g")], names=["doc_id", "ids", "g"])
 
@@ -145,19 +145,20 @@ def _pack(group: int, rows: pa.Table, capacity: int) -> pa.Table:
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = GROUP_DOCS,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Pieces of documents, laid into sequences of ``capacity`` ids.
 
     Each document is its ids and ``end_id``; every id lies in exactly one piece. Documents are dealt into groups
     of about ``group_docs`` by a hash of id and text, and each group is packed on its own, so that a task holds
-    one group, whatever the size of the table. The ids travel with the group as two bytes each.
+    one group, whatever the size of the table. The ids travel with the group as two bytes each. ``special``: see
+    ``token_bytes``.
 
     Defined results: a missing or empty text is the end id alone; repeated rows are packed each for itself; a
     missing doc_id stays missing; equal lengths are packed in order of doc_id; an empty table gives no rows.
     """
     groups = max(1, ceil(df.count() / group_docs))
     coded = with_text(df, id_col, text_col).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    encoded = coded.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id), CODED)
+    encoded = coded.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id, special=special), CODED)
 
     def packed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         return _pack(key[0].as_py(), rows, capacity)

@@ -77,7 +77,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+    return pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0,
+                special=True)
 
 
 @query
@@ -98,7 +99,7 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    return token_digest(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_digest(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2, special=True)
 
 
 #: Windows of 400 bytes as hexadecimal text; a window repeats if its hash does (64 bits)

@@ -138,8 +138,8 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
 
 
-def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, spaces: bool, end_id: int, folder: str, file_ids: int
-           ) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, spaces: bool, end_id: int, folder: str, file_ids: int,
+           special: bool) -> Iterator[pa.RecordBatch]:
     """Write the documents of a partition, in their order; one row for each file. The names are new for each
     attempt of a task: only those that the manifest lists count."""
     claim_worker("token_files")
@@ -160,7 +160,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, spaces: bool, end_
 
     for rows in rows_of(batches):
         doc_ids += rows.column("doc_id").to_pylist()
-        coded += (found := [c + end for c in token_bytes(rows.column("text").to_pylist(), tokenizer, spaces)])
+        coded += (found := [c + end for c in token_bytes(rows.column("text").to_pylist(), tokenizer, spaces, special)])
         size += sum(map(len, found)) // 4
         if size >= file_ids:
             yield close()
@@ -170,7 +170,8 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, spaces: bool, end_
 
 
 def write_token_files(df: DataFrame, tokenizer: str, folder: str, spaces: bool = False, end_id: int = 2,
-                      file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text", special: bool = False
+                      ) -> DataFrame:
     """Write the ids of all documents in ascending order of doc_id; the manifest of the files, staged.
 
     Ranges of doc_id go to tasks, each sorts its own and writes files of about ``file_ids`` ids. ``folder`` is a
@@ -181,7 +182,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, spaces: bool =
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
-    write = partial(_write, tokenizer=tokenizer, spaces=spaces, end_id=end_id, folder=folder, file_ids=file_ids)
+    write = partial(_write, tokenizer=tokenizer, spaces=spaces, end_id=end_id, folder=folder, file_ids=file_ids,
+                    special=special)
     return stage(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -207,12 +209,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return files.repartition("path").mapInArrow(partial(_read, folder=folder), RESULT)
 
 
-def token_digest(df: DataFrame, tokenizer: str, spaces: bool = False, end_id: int = 2) -> DataFrame:
+def token_digest(df: DataFrame, tokenizer: str, spaces: bool = False, end_id: int = 2, special: bool = False) -> DataFrame:
     """Write the ids of all documents to files in the shared folder, read the files back.
 
     Defined results: a missing text is an empty one (the end id alone); rows without doc_id are left out; an
     empty table writes no file and gives no rows.
     """
     folder = new_path(df.sparkSession, "token-files")
-    manifest = write_token_files(df, tokenizer, folder, spaces, end_id)
+    manifest = write_token_files(df, tokenizer, folder, spaces, end_id, special=special)
     return read_token_files(manifest, folder)

@@ -197,6 +197,24 @@ def test_token_files(spark, docs, rows, nothing, file_ids, monkeypatch):
     assert token_files.token_digest(nothing, path).count() == 0
 
 
+def test_queries_give_special_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>c\n<|endoftext|>", "x<|ENDOFTEXT|>y", "plain words, 12 of them", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def ids(name, end):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        return [whole.encode(t, add_special_tokens=False).ids + [end] for t in texts]
+
+    byte_ids, word_ids = ids("byte_bpe_50k.json", 0), ids("word_bpe_49k.json", 2)
+    for r in queries.QUERIES["op7_packing"](spark, str(tmp_path)).collect():
+        piece = byte_ids[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(byte_ids[r["doc_id"]]) and zlib.crc32(np.array(piece, "<u4").tobytes()) == r["ids_crc32"]
+    found = {r["doc_id"]: tuple(r)[2:] for r in queries.QUERIES["op10_token_files"](spark, str(tmp_path)).collect()}
+    assert found == {d: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in enumerate(word_ids)}
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 
 
