@@ -183,6 +183,11 @@ def _octet(octet: str, stream: Stream) -> str:
     return str(low + stream.below(high - low + 1))
 
 
+#: From this attempt on, addresses leave their shape, because too few may have it: octets have any length, and the local
+#: part of an email address has more letters, up to so many.
+WIDER, MORE_LETTERS = 4, 12
+
+
 def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     """The normal form of the replacement."""
     stream = Stream(key, kind, form, str(attempt))
@@ -203,7 +208,11 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
         labels = domain.split(".")
         kept = 2 if len(labels) > 2 and labels[-2] == "example" else 1
         new = [_same_classes(label, Stream(key, "domain", ".".join(labels[i:]))) for i, label in enumerate(labels[:-kept])]
-        return f"{_same_classes(local, stream)}@{'.'.join(new + labels[-kept:])}"
+        more = min(2 * (attempt - WIDER + 1), MORE_LETTERS) if attempt >= WIDER else 0
+        new_local = _same_classes(local, stream) + "".join(LOWER[stream.below(26)] for _ in range(more))
+        return f"{new_local}@{'.'.join(new + labels[-kept:])}"
+    if kind == "ip" and attempt >= WIDER:
+        return ".".join(str(1 + stream.below(254)) for _ in form.split("."))
     if kind == "ip":
         return ".".join(_octet(o, stream) for o in form.split("."))
     if kind == "phone":
@@ -235,7 +244,9 @@ def rendered(kind: str, value: str, new: str) -> str:
         rest = iter(new)
         return "".join(c if c == " " else next(rest) for c in value)
     if kind == "email":
-        return "".join(n.upper() if v.isupper() else n for v, n in zip(value, new))
+        parts = zip(value.rpartition("@"), new.rpartition("@"))
+        return "".join("".join(n.upper() if v.isupper() else n for v, n in zip(old, part)) + part[len(old):]
+                       for old, part in parts)
     return new
 
 
@@ -271,7 +282,8 @@ def choose_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, attempt, new): a surrogate of its own for every distinct entity (kind, form).
 
     In each round the entities whose surrogate another one has too, or that is an entity of the corpus, try
-    again, but for the least of those that share one. First names are turned within their list and never collide."""
+    again, but for the least of those that share one. First names are turned within their list and never collide; IP and
+    email addresses leave their shape after some attempts, so that the rounds end also where a shape is used up."""
     schema = "kind string, form string, attempt int, new string"
     make = partial(_surrogates, key=key)
     now = stage(found.select("kind", "form").distinct().withColumn("attempt", F.lit(0)).mapInArrow(make, schema),

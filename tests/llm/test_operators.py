@@ -123,6 +123,20 @@ def test_collisions_are_resolved(spark):
     assert all(parts[i][2] == parts[i + 1][1] for i in range(399))      # and mentions of one in two documents equal
 
 
+def test_surrogates_of_shapes_that_are_used_up(spark):
+    from itertools import product
+
+    ips = [".".join(map(str, octets)) for octets in product(range(1, 10), repeat=4)]
+    emails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    found = spark.createDataFrame([("ip", i) for i in ips] + [("email", e) for e in emails], "kind string, form string")
+    chosen = pii.choose_surrogates(found, b"key").toPandas()
+    assert set(chosen["form"]) == {*ips, *emails} and len(chosen) == chosen["new"].nunique() == len(ips) + len(emails)
+    assert not set(chosen["new"]) & set(chosen["form"])
+    for kind, form, new in [chosen.loc[chosen["form"] == f, ["kind", "form", "new"]].iloc[0] for f in (ips[0], emails[0])]:
+        text, _ = pii.replace_entities(f"from {form.upper()} on", b"key", {(kind, form): new})
+        assert text.lower() == f"from {new} on" and [m.kind for m in pii.mentions(text)] == [kind]
+
+
 def test_pii_table(docs, rows, nothing, unidentified):
     found = {r["doc_id"]: r for r in pii.replace_pii(docs, b"key", carry=["lang", "ids"]).collect()}
     for d, t, *_ in rows:
