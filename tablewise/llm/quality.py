@@ -100,7 +100,8 @@ def boilerplate_lines(lines: DataFrame, texts: DataFrame, line_docs: int) -> Dat
     carriers = lines.groupBy("host", "h", "digest").agg(F.count(F.lit(1)).alias("copies"))
     shared = stage(carriers.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= line_docs)
                    .select("host", "h"), "quality-shared-lines")
-    carriers = stage(carriers.join(small(shared), ["host", "h"]).select("host", "h", "digest"), "quality-carriers")
+    # only lines that are left go through a second shuffle
+    carriers = stage(lines.join(small(shared), ["host", "h"]).select("host", "h", "digest").distinct(), "quality-carriers")
     if carriers.isEmpty():
         return shared
     digests = stage(carriers.select("digest").distinct(), "quality-carrying-texts")
