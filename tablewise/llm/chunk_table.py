@@ -100,24 +100,29 @@ def tokenizer_table(path: str, spaces: bool) -> ChunkTable:
 
 
 @worker_cache(maxsize=2)
-def special_tokens(path: str) -> tuple[Callable[[str], list[int]], re.Pattern | None]:
-    """(the library's own encoding, pattern of the added tokens): a text that holds one, in any case, goes to the library
-    as a whole, because an added token may take the white space around it or be looked for in normalised text."""
+def special_tokens(path: str) -> tuple[Callable[[str], list[int]], Callable[[str], bool]]:
+    """(the library's own encoding, whether a text holds an added token): such a text goes to the library as a whole.
+    Tokens that the library looks for in normalised text are looked for in any case."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
-    pattern = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, pattern
+    added = tokenizer.get_added_tokens_decoder().values()
+    exact = [t.content for t in added if not t.normalized]
+    folded = [t.content.lower() for t in added if t.normalized]
+
+    def holds(text: str) -> bool:
+        return any(t in text for t in exact) or bool(folded) and any(t in text.lower() for t in folded)
+
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, holds
 
 
 def token_bytes(texts: list[str], path: str, spaces: bool, special: bool = False) -> list[bytes]:
     """The ids of each text as unsigned 32-bit little-endian integers. ``special``: the texts of special tokens become
     their ids, as the library does by default; otherwise they are ordinary text."""
     if special:
-        whole, pattern = special_tokens(path)
-        if held := {i for i, t in enumerate(texts) if pattern and pattern.search(t)}:
+        whole, holds = special_tokens(path)
+        if held := {i for i, t in enumerate(texts) if holds(t)}:
             rest = iter(token_bytes([t for i, t in enumerate(texts) if i not in held], path, spaces))
             return [packed(whole(t)) if i in held else next(rest) for i, t in enumerate(texts)]
     table = tokenizer_table(path, spaces)
