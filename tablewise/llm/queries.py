@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewise.llm.clustering import cluster_vectors
 from tablewise.llm.common import documents, table
+from tablewise.llm.decontamination import find_overlaps
+from tablewise.llm.filter_audit import audit_filters
 from tablewise.llm.fingerprints import compare_with_edited, digest
 from tablewise.llm.language import identify_languages, learn_languages
 from tablewise.llm.ngram_join import ngram_join
@@ -102,6 +105,24 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2, special=True)
 
 
+@query
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = F.array_join("items", ",")
+    return find_overlaps(documents(spark, folder), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.encode(items, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query
+def op13_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "embeddings"), k=16, rounds=3, dimensions=64).table()
+
+
 #: Windows of 400 bytes as hexadecimal text; a window repeats if its hash does (64 bits)
 ORACLES["op1_suffix_dedup"] = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 w as (select doc_id, i, hash(substr(h, 2 * i + 1, 800)) as k
@@ -134,3 +155,75 @@ reach(a, b) as (select class, class from (select distinct class from classes)
   union select reach.a, either.b from reach join either on either.a = reach.b)
 select sizes.doc_id, n as n_shingles, coalesce(root, sizes.doc_id) as component_id
 from sizes left join classes using (doc_id) left join (select a, min(b) as root from reach group by a) on a = class"""
+
+#: Windows of ten words, or of all words of a shorter item
+ORACLES["op11_decontamination"] = """with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from benchmark),
+bw as (select distinct item, k, array_to_string(words[i:i + k - 1], ' ') as w
+  from (select item, words, least(len(words), 10) as k, unnest(range(1, len(words) - least(len(words), 10) + 2)) as i
+    from b where len(words) > 0)),
+dw as (select doc_id, k, i, array_to_string(words[i:i + k - 1], ' ') as w
+  from (select doc_id, words, k, unnest(range(1, len(words) - k + 2)) as i
+    from d, (select distinct k from bw) where len(words) >= k)),
+hits as (select doc_id, i, dw.k, item from dw join bw on dw.w = bw.w and dw.k = bw.k),
+places as (select distinct doc_id, unnest(range(i, i + k)) as j from (select distinct doc_id, i, k from hits)),
+n as (select doc_id, count(*) as n_hit from places group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join t using (doc_id)"""
+
+ORACLES["op12_filter_audit"] = """with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words,
+    min(doc_id) over (partition by text) as least from t),
+m as (select part, list_filter([case when len(words) < 200 then 'A' end,
+    case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' end,
+    case when 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) then 'C' end,
+    case when regexp_matches(text, '[#$%&*|]') then 'D' end, case when doc_id > least then 'E' end],
+    lambda x: x is not null) as failed, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic from w left join labels using (doc_id)),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, cast(step as int) as step, filter_order[step] as x, string_split(left(filter_order, step - 1), '') as before from o, range(1, 6) r(step)),
+c as (select part, failed, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic
+  from m group by part, failed),
+j as (select *, list_contains(failed, x) as mine, list_has_any(failed, before) as gone from c, s),
+r as (select part, filter_order, step, x, coalesce(sum(n) filter (not mine and not gone), 0) as kept,
+    coalesce(sum(n) filter (mine and not gone), 0) as removed, coalesce(sum(n) filter (mine and gone), 0) as redundant,
+    coalesce(sum(n) filter (mine and len(failed) = 1), 0) as unique_fails,
+    coalesce(sum(n_good) filter (mine and not gone), 0) as good_lost,
+    coalesce(sum(n_toxic) filter (mine and not gone), 0) as toxic_lost
+  from j group by part, filter_order, step, x)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, x))::bigint as shapley from r"""
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments a0, a1, ... and the centroids after each."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""d{k} as materialized (select v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x))::bigint as distance
+  from v join c{k} c on v.i = c.i group by v.vec_id, c.cluster),
+a{k} as materialized (select vec_id, min(distance)::bigint as distance, arg_min(cluster, (distance, cluster)) as cluster
+  from d{k} group by vec_id)""")
+        if k < rounds:
+            out.append(f"""m{k} as (select cluster, i, sum(x)::bigint as s, count(*) as n from a{k} join v using (vec_id) group by cluster, i),
+c{k + 1} as materialized (select cluster, i, coalesce((s - ((s % n) + n) % n) // n, x) as x from c{k} left join m{k} using (cluster, i))""")
+    return ",\n".join(out)
+
+
+#: Components as rows (vec_id, i, x)
+ORACLES["op13_clustering"] = f"""with kept as (select vec_id, embedding from embeddings where len(embedding) = 64
+  and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+v as materialized (select vec_id, unnest(range(64)) as i, unnest(list_transform(embedding, lambda x: floor(64 * x::double)::bigint)) as x
+  from kept),
+f as (select vec_id, row_number() over (order by sha256('1:' || vec_id)) - 1 as cluster from kept qualify cluster < 16),
+c0 as materialized (select cluster, i, x from f join v using (vec_id)),
+{_rounds_sql(3)},
+h as (select cluster, sha256(string_agg(cast(x as varchar), ',' order by i)) as centroid_sha256 from c3 group by cluster)
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, centroid_sha256 from a3 join h using (cluster)"""
