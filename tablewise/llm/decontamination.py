@@ -163,7 +163,7 @@ def _hits(block: Block, data, starts, ends, first) -> tuple[np.ndarray, np.ndarr
             n = w.run_first[hit[:, 1] + 1] - w.run_first[hit[:, 1]]
             here = np.repeat(w.run_first[hit[:, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pairs.append(np.stack([np.repeat(hit[:, 0], n), w.run_items[here]], 1))
-            more = ~equal & (run + 1 < w.key_first[key + 1])      # another window of the same hash
+            more = run + 1 < w.key_first[key + 1]       # other windows of the same hash, or the same window apart
             word, key, run = word[more], key[more], run[more] + 1
     found = np.unique(np.concatenate(pairs), axis=0)
     return np.cumsum(edge[:-1]) > 0, found[:, 0], found[:, 1]

@@ -64,7 +64,7 @@ class VantageTree:
         self.nodes.append(Node(members[top:top + 1]))
         far = np.sqrt(squared_distances(self.points[rest], self.points[[vantage]])[:, 0].astype(np.float64))
         order = np.argsort(far, kind="stable")
-        halves = [order[:len(order) // 2], order[len(order) // 2:]]
+        halves = [h for h in (order[:len(order) // 2], order[len(order) // 2:]) if len(h)]
         shells = tuple((float(far[h].min()), float(far[h].max())) for h in halves)
         children = tuple(self._build(np.sort(rest[h]), leaf) for h in halves)
         self.nodes[at] = Node(members[top:top + 1], children, shells)
