@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import claim_worker, rows_of, small, with_text
+from tablewise.llm.common import claim_worker, free_names, rows_of, small, text_digest, with_text
 from tablewise.llm.components import connected_components
 from tablewise.llm.grams import mix, shingles, word_hashes
 from tablewise.sources.staging import stage
@@ -370,15 +370,25 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, less those that links join to a document of a lower id; of rows that
-    share an id one stays. Documents without id stay."""
-    joined = stage(ngram_join(df, id_col, text_col).select("doc_id", "component_id"), "shingle-components")
-    dropped = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = df.join(small(stage(dropped, "shingle-dropped")), F.col(id_col) == F.col("dropped_id"), "left_anti")
-    ids = joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("repeated_id")).count().where("count > 1")
-    repeated = stage(ids.select("repeated_id"), "shingle-repeated")
+    """The documents, with all their columns, less those that links join to a document of a lower id; of equal rows
+    (id and text) one stays. Different texts are joined by what they say, also where they share an id: of linked texts of
+    one id that of the lower digest stays. Documents without id or without words stay."""
+    id_name, digest = free_names(df, "dropped_id", "dropped_digest")
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest"),
+                                                      F.col(text_col).alias("text"))
+    kinds = stage(ngram_join(docs, "digest", "text").where("n_shingles > 0").groupBy(F.col("doc_id").alias("digest")).agg(
+        F.min("component_id").alias("kind")), "shingle-kinds")
+    rows = stage(docs.select("id", "digest").join(small(kinds), "digest").groupBy("kind", "id", "digest").agg(
+        F.count(F.lit(1)).alias("n")), "shingle-documents")
+    least = stage(rows.groupBy("kind").agg(F.min(F.struct("id", "digest")).alias("least")), "shingle-least")
+    stays = (F.col("id") == F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
+    judged = rows.join(small(least), "kind")
+    dropped = stage(judged.where(~stays).select("id", "digest"), "shingle-dropped").toDF(id_name, digest)
+    repeated = stage(judged.where(stays & (F.col("n") > 1)).select("id", "digest"), "shingle-repeated").toDF(id_name, digest)
+    same = (df[id_col] == F.col(id_name)) & (text_digest(text_col) == F.col(digest))
+    kept = df.join(small(dropped), same, "left_anti")
     if repeated.isEmpty():
         return kept
-    again = F.col(id_col) == F.col("repeated_id")
-    return kept.join(repeated, again, "left_anti").unionByName(
-        kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+    again = (kept[id_col] == F.col(id_name)) & (text_digest(text_col) == F.col(digest))
+    once = kept.join(repeated, again, "left_semi").withColumn(digest, text_digest(text_col))
+    return kept.join(repeated, again, "left_anti").unionByName(once.dropDuplicates([id_col, digest]).drop(digest))

@@ -38,13 +38,16 @@ PATTERNS = (
     ("email", r"(?P<value>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<value>[0-9A-Z]{16})(?![A-Za-z0-9])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:ghp_|sk-)(?P<value>[A-Za-z0-9]{20,})"),
-    ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?P<value>[A-Za-z0-9_+/-]{8,})"),
+    ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+     r"(?P<value>(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{8,})"),       # a line to fill in is no secret
     ("iban", r"(?<![A-Za-z0-9])(?P<value>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?P<value>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?![\d]|\.\d)"),
+    ("ip", r"(?<![\w:.])(?P<value>(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+           r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5}))(?![\w:])"),
     ("social", r"(?<![\d-])(?P<value>\d{3}-\d{2}-\d{4})(?![\d-])"),
     ("card", r"(?<![\d.+-])(?P<value>\d{4}([ -]?)\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\d-])"),
     ("phone", r"(?<![\w.+])(?P<value>\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}"
-              r"|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([ .-])\d{3}\2\d{4})(?![\w-])"),
+              r"|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([ .-])\d{3}\2\d{4}|0\d{2,4}[ /-]\d{3,4}[ ]?\d{3,5})(?![\w-])"),
 )
 _COMPILED = tuple((kind, re.compile(p)) for kind, p in PATTERNS)
 _CLUE = re.compile(r"[0-9@]|[Pp]assw|[Ss]ecret|[Tt]oken|TOKEN|SECRET|PASSW|[Kk][Ee][Yy]|pwd")
@@ -74,7 +77,7 @@ def normal_form(kind: str, value: str) -> str:
         return "".join(filter(str.isdigit, value))
     if kind == "iban":
         return value.replace(" ", "")
-    return value.lower() if kind == "email" else value
+    return value.lower() if kind in ("email", "ip") else value
 
 
 @functools.lru_cache(maxsize=1)
@@ -183,11 +186,28 @@ def _octet(octet: str, stream: Stream) -> str:
     return str(low + stream.below(high - low + 1))
 
 
-#: From this attempt on, addresses leave their shape, because too few may have it: octets have any length, and the local
-#: part of an email address has more letters, up to so many.
+#: From this attempt on, surrogates leave their shape, because too few may have it: the octets of an address have any
+#: length, and whatever else is made of letters and digits gets more of them, up to so many.
 WIDER, MORE_LETTERS = 4, 12
 
 
+def _more(attempt: int) -> int:
+    return min(2 * (attempt - WIDER + 1), MORE_LETTERS) if attempt >= WIDER else 0
+
+
+def iban_check(form: str) -> str:
+    """The two check digits that make an account number valid."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in form[4:] + form[:2] + '00')) % 97:02d}"
+
+
+def _address(form: str, stream: Stream, wide: bool) -> str:
+    if ":" in form:
+        return re.sub("[0-9a-f]+", lambda m: "".join(HEX[1 + stream.below(15)] for _ in range(4 if wide else len(m[0]))), form)
+    if wide:
+        return ".".join(str(1 + stream.below(254)) for _ in form.split("."))
+    return ".".join(_octet(o, stream) for o in form.split("."))
+
+
 def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     """The normal form of the replacement."""
     stream = Stream(key, kind, form, str(attempt))
@@ -208,25 +228,25 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
         labels = domain.split(".")
         kept = 2 if len(labels) > 2 and labels[-2] == "example" else 1
         new = [_same_classes(label, Stream(key, "domain", ".".join(labels[i:]))) for i, label in enumerate(labels[:-kept])]
-        more = min(2 * (attempt - WIDER + 1), MORE_LETTERS) if attempt >= WIDER else 0
-        new_local = _same_classes(local, stream) + "".join(LOWER[stream.below(26)] for _ in range(more))
+        new_local = _same_classes(local, stream) + "".join(LOWER[stream.below(26)] for _ in range(_more(attempt)))
         return f"{new_local}@{'.'.join(new + labels[-kept:])}"
-    if kind == "ip" and attempt >= WIDER:
-        return ".".join(str(1 + stream.below(254)) for _ in form.split("."))
     if kind == "ip":
-        return ".".join(_octet(o, stream) for o in form.split("."))
+        return _address(form, stream, attempt >= WIDER)
+    more = "".join(DIGITS[stream.below(10)] for _ in range(_more(attempt)))
     if kind == "phone":
-        country, number = form[:max(0, len(form) - 10)], form[max(0, len(form) - 10):]
-        return country + str(2 + stream.below(8)) + _same_classes(number[1:], stream)
+        kept = 1 if form[0] == "0" else max(0, len(form) - 10)      # the country, or the 0 of a national number
+        return form[:kept] + str(2 + stream.below(8)) + _same_classes(form[kept + 1:], stream) + more
     if kind == "card":
-        body = form[0] + "".join(DIGITS[stream.below(10)] for _ in form[1:-1])
+        body = form[0] + "".join(DIGITS[stream.below(10)] for _ in form[1:-1]) + more
         valid = check_digit(form[:-1]) == form[-1]
         return body + (check_digit(body) if valid else DIGITS[stream.below(10)])
     if kind == "social":
-        return str(1 + stream.below(8)) + "".join(DIGITS[stream.below(10)] for _ in form[1:])
+        return str(1 + stream.below(8)) + "".join(DIGITS[stream.below(10)] for _ in form[1:]) + more
     if kind == "iban":
-        return form[:2] + "".join(_one(c, stream) for c in form[2:])
-    return _same_classes(form, stream)
+        body = "".join(_one(c, stream) for c in form[4:]) + more
+        valid = iban_check(form) == form[2:4]
+        return form[:2] + (iban_check(form[:4] + body) if valid else "".join(_one(c, stream) for c in form[2:4])) + body
+    return _same_classes(form, stream) + more
 
 
 def _one(c: str, stream: Stream) -> str:
@@ -239,10 +259,12 @@ def rendered(kind: str, value: str, new: str) -> str:
         return new.upper() if value.isupper() and len(value) > 1 else new[0].upper() + new[1:]
     if kind in ("card", "phone", "social"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in value)
+        return "".join(next(digits) if c.isdigit() else c for c in value) + "".join(digits)
     if kind == "iban":
         rest = iter(new)
-        return "".join(c if c == " " else next(rest) for c in value)
+        return "".join(c if c == " " else next(rest) for c in value) + "".join(rest)
+    if kind == "ip" and value.isupper():
+        return new.upper()
     if kind == "email":
         parts = zip(value.rpartition("@"), new.rpartition("@"))
         return "".join("".join(n.upper() if v.isupper() else n for v, n in zip(old, part)) + part[len(old):]
@@ -282,8 +304,8 @@ def choose_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, attempt, new): a surrogate of its own for every distinct entity (kind, form).
 
     In each round the entities whose surrogate another one has too, or that is an entity of the corpus, try
-    again, but for the least of those that share one. First names are turned within their list and never collide; IP and
-    email addresses leave their shape after some attempts, so that the rounds end also where a shape is used up."""
+    again, but for the least of those that share one. First names are turned within their list and never collide; all
+    others leave their shape after some attempts, so that the rounds end also where a shape is used up."""
     schema = "kind string, form string, attempt int, new string"
     make = partial(_surrogates, key=key)
     now = stage(found.select("kind", "form").distinct().withColumn("attempt", F.lit(0)).mapInArrow(make, schema),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewise.llm.common import claim_worker, rows_of, small
+from tablewise.llm.common import SMALL_ROWS, claim_worker, free_names, rows_of, small, text_digest
 from tablewise.llm.grams import mix, shingles, word_hashes
 from tablewise.llm.ngram_join import ngram_join
 from tablewise.sources.staging import stage
@@ -64,13 +66,15 @@ def line_hashes(text: str, digest) -> tuple[int, dict[int, int]]:
     return duplicates, words_of
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim_worker("quality")
-    import xxhash
+def _line_digest() -> Callable[[str], int]:
+    from xxhash import xxh3_64_intdigest
 
-    def digest(line: str) -> int:
-        return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return lambda line: xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
+
+def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim_worker("quality")
+    digest = _line_digest()
     line_type = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int32())]))
     for rows in rows_of(batches):
         words, first = word_hashes(rows.column("text"))
@@ -90,11 +94,6 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                    "lines"])
 
 
-def text_digest(text_col: str) -> Column:
-    """Tells documents that share an id apart."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
 def boilerplate_lines(lines: DataFrame, texts: DataFrame, line_docs: int) -> DataFrame:
     """(host, h): the lines that ``line_docs`` or more unrelated documents of a host have."""
     carriers = lines.groupBy("host", "h", "digest").agg(F.count(F.lit(1)).alias("copies"))
@@ -111,10 +110,15 @@ def boilerplate_lines(lines: DataFrame, texts: DataFrame, line_docs: int) -> Dat
     return unrelated.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= line_docs).select("host", "h")
 
 
+def _host(host_col: str) -> Column:
+    """A missing host is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  line_docs: int = LINE_DOCS) -> DataFrame:
+                  line_docs: int = LINE_DOCS, lines_too: bool = False) -> DataFrame:
     """One row per document: row, doc_id, digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_boilerplate_words, depleted, kept.
+    n_boilerplate_words, depleted, kept; with ``lines_too`` also host and the hashes of its boilerplate lines.
 
     Lines are normalised (lower case, single spaces) and hashed. What counts for a line is the number of unrelated
     documents of the host that have it: the distinct components of ``ngram_join`` (Jaccard similarity 3/4) among them, or
@@ -129,28 +133,61 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = df.select(F.col(id_col).alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                      F.col(host_col).cast("string").alias("host"),
+                      _host(host_col).alias("host"),
                       F.monotonically_increasing_id().alias("row"), text_digest(text_col).alias("digest"))
     rules = stage(texts.mapInArrow(_rules, RULES), "quality-rules")
-    host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
-    lines = rules.select("row", "digest", host, F.explode("lines").alias("line")).select(
+    lines = rules.select("row", "digest", "host", F.explode("lines").alias("line")).select(
         "row", "digest", "host", "line.h", "line.words")
-    boilerplate = boilerplate_lines(lines, texts, line_docs)
-    removed = lines.join(boilerplate, ["host", "h"]).groupBy("row").agg(
-        F.sum("words").alias("n_boilerplate_words"))
+    boilerplate = stage(boilerplate_lines(lines, texts, line_docs), "quality-boilerplate")
+    # a list of lines, not of documents: while it is short, no line of the corpus moves for it
+    removed = lines.join(small(boilerplate), ["host", "h"]).groupBy("row").agg(
+        F.sum("words").alias("n_boilerplate_words"), F.collect_set("h").alias("boilerplate"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = left < F.lit(LEFT_SHARE) * F.col("n_words")
-    return rules.drop("lines", "host").join(removed, "row", "left").fillna(0, ["n_boilerplate_words"]).select(
+    return rules.drop("lines").join(removed, "row", "left").fillna(0, ["n_boilerplate_words"]).select(
         "row", "doc_id", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), "n_boilerplate_words", depleted.alias("depleted"),
-        (~base_failed & ~depleted).alias("kept"))
+        (~base_failed & ~depleted).alias("kept"), *(["host", "boilerplate"] if lines_too else []))
+
 
+@F.pandas_udf(T.StringType())
+def _without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts without the lines of these hashes; None where there is nothing to do."""
+    digest = _line_digest()
+    out = []
+    for text, hashes in zip(texts, gone):
+        if text is not None and hashes is not None:
+            unwanted = set(hashes)
+            text = "\n".join(line for line in text.split("\n") if digest(" ".join(line.lower().split())) not in unwanted)
+        else:
+            text = None
+        out.append(text)
+    return pd.Series(out, dtype=object)
 
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents, with all their columns, that ``quality_rules`` keeps. What is joined are the rejected ids."""
-    rules = quality_rules(df, id_col, text_col, host_col).where("not kept")
-    rejected = stage(rules.select(F.col("doc_id").alias("rejected_id"), F.col("digest").alias("rejected_text"))
-                     .distinct(), "quality-rejected")
-    same = F.col(id_col).eqNullSafe(F.col("rejected_id")) & (text_digest(text_col) == F.col("rejected_text"))
-    return df.join(small(rejected), same, "left_anti")
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+              line_docs: int = LINE_DOCS) -> DataFrame:
+    """The documents, with all their columns, that ``quality_rules`` keeps, and their texts without boilerplate lines.
+
+    What is joined are the ids of rejected documents and the hashes of the lines that go, by id, text and host.
+    """
+    names = free_names(df, "judged_id", "judged_digest", "judged_host", "judged_lines")
+    rules = quality_rules(df, id_col, text_col, host_col, line_docs, lines_too=True)
+    judged = stage(rules.where("not kept or boilerplate is not null").select(
+        "doc_id", "digest", "host", F.when(F.col("kept"), F.sort_array("boilerplate")).alias("lines")).distinct(), "quality-judged")
+
+    def same(side: DataFrame) -> Column:
+        return (F.col(id_col).eqNullSafe(side[names[0]]) & (text_digest(text_col) == side[names[1]])
+                & (_host(host_col) == side[names[2]]))
+
+    rejected = judged.where("lines is null").select("doc_id", "digest", "host").toDF(*names[:3])
+    good = df.join(small(rejected), same(rejected), "left_anti")
+    cut = judged.where("lines is not null").toDF(*names)
+    # a list of hashes for each document: broadcast by the number of hashes
+    size = cut.agg(F.sum(F.size(names[3]) + 4)).first()[0] or 0
+    if not size:
+        return good
+    joined = good.join(F.broadcast(cut) if size <= SMALL_ROWS else cut, same(cut), "left")
+    touched = F.when(F.col(names[3]).isNotNull(), F.col(text_col).cast("string"))
+    return joined.withColumn(text_col, F.coalesce(_without_lines(touched, F.col(names[3])), F.col(text_col))).drop(*names)

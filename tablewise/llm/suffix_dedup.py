@@ -44,9 +44,13 @@ RANGE = 16               # distances of a range
 OWN_BUCKET = 150         # a gram with more contexts has a bucket of its own
 BROADCAST_ROWS = 1_500_000   # 64 MB of contexts or spans; beyond that an ordinary join brings them to their documents
 
-ANCHORS = "doc_id bigint, h bigint, digest bigint, at bigint"
-#: ``at`` is position of the anchor << 20 | bytes from its first window's start to it << 10 | number of its windows
-_POSITION, _LEFT = 20, 10
+#: What tells documents apart: rows that share an id may have different texts
+KEY = "struct<id:bigint,text:bigint>"
+ANCHORS = f"doc_id {KEY}, h bigint, digest bigint, at bigint"
+#: ``at`` is position of the anchor << 32 | bytes from its first window's start to it << 16 | number of its windows
+_POSITION, _LEFT = 32, 16
+_LOW = (1 << _LEFT) - 1
+LONGEST = 1 << _LEFT
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -131,7 +135,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         for text, wanted in zip(rows.column("text").to_pylist(), rows.column("wanted").to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
             for w in wanted:
-                at, left, n = w["at"] >> _POSITION, w["at"] >> _LEFT & 1023, w["at"] & 1023
+                at, left, n = w["at"] >> _POSITION, w["at"] >> _LEFT & _LOW, w["at"] & _LOW
                 context = data[at - left:at - left + n + length - 1]
                 out.append((w["h"], w["digest"], w["copies"], w["bucket"], left, context))
         if out:
@@ -254,17 +258,24 @@ KEPT = ("doc_id bigint, n_bytes bigint, n_removed bigint, removed array<struct<s
         "kept {kind}, kept_sha256 string")
 
 
+def document_key(id_: Column, text: Column) -> Column:
+    return F.struct(id_.cast("bigint").alias("id"), F.xxhash64(text).alias("text"))
+
+
 class RepeatSearch:
     """The steps of the search over documents (doc_id, text), each written to the shared folder."""
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
+    def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int | None = None,
                  bucket_contexts: int = BUCKET_CONTEXTS, most_contexts: int = MOST_CONTEXTS):
-        self.docs, self.length, self.gram = docs, length, gram
+        if not 2 <= length < LONGEST:
+            raise ValueError(f"repeats have 2 to {LONGEST - 1} bytes")
+        self.docs, self.length = docs.select(document_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text"), length
+        self.gram = gram or min(GRAM, max(1, length * 4 // 5))
         self.bucket_contexts, self.most_contexts = bucket_contexts, most_contexts
 
     def candidates(self) -> DataFrame:
         """The anchors whose gram the corpus has twice or more."""
-        found = stage(self.docs.where("doc_id is not null").mapInArrow(
+        found = stage(self.docs.where("doc_id.id is not null").mapInArrow(
             partial(_anchors, length=self.length, gram=self.gram), ANCHORS), "anchors")
         twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
         return stage(found.join(twice, "h"), "anchors-repeated")
@@ -322,7 +333,7 @@ class RepeatSearch:
     def spans(self, candidates: DataFrame) -> DataFrame:
         """(h, digest, first, last): distances from the anchor at which repeated windows of a context start."""
         contexts = self.contexts(candidates)
-        left, windows = F.shiftright("at", _LEFT).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
+        left, windows = F.shiftright("at", _LEFT).bitwiseAND(F.lit(_LOW)), F.col("at").bitwiseAND(F.lit(_LOW))
         copied = contexts.where("copies > 1").select(
             "h", "digest", (-left).alias("first"), (windows - 1 - left).alias("last"))
         compared = contexts.where("kinds > 1")
@@ -362,9 +373,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     about 180 bytes) and contexts of repeated grams travel. ``carry`` names columns that come along unchanged; those
     called like a result column are refused.
 
-    Defined results: a missing text is empty; repeated rows are documents of their own, and repeat each other, but
-    different texts need different ids; a document without id takes no part and keeps all its bytes, and so does a
-    text below ``length`` bytes; an empty table gives no rows.
+    Defined results: a missing text is empty; repeated rows are documents of their own, and repeat each other; texts
+    that share an id are told apart by a digest; a document without id takes no part and keeps all its bytes, and so does
+    a text below ``length`` bytes; an empty table gives no rows; ``length`` is 2 to 65,535.
     """
     spans = RepeatSearch(with_text(df, id_col, text_col), length).of_documents()
     size = spans.select(F.sum(F.size("spans"))).first()[0] or 0
@@ -372,7 +383,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     docs = with_carried(df, carry, ["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"],
                         F.col(id_col).alias("doc_id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cleaned = docs.join(lists, "doc_id", "left").mapInArrow(
+    joined = docs.withColumn("of", document_key(F.col("doc_id"), F.col("text"))).join(
+        lists.withColumnRenamed("doc_id", "of"), "of", "left").drop("of")
+    cleaned = joined.mapInArrow(
         partial(_kept, length=length, as_text=as_text),
         carried_schema(KEPT.format(kind="string" if as_text else "binary"), docs))
     return back_to_names(cleaned, carry)
