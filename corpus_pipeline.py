@@ -22,7 +22,8 @@ from tablewise.sources.staging import stage
 
 #: Surrogates of this run; a user sets a secret key
 PII_KEY = b"key of the corpus pipeline"
-REPEAT_BYTES = 400
+#: A passage of some fifty words of prose
+REPEAT_BYTES = 250
 SEQUENCE_TOKENS = 1024
 
 
@@ -32,15 +33,20 @@ def _new_texts(docs: DataFrame, change: Callable[[DataFrame, list[str]], DataFra
     quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
     plain = docs.select(*[F.col(q).alias(names.get(c, c)) for q, c in zip(quoted, docs.columns)])
     changed = change(plain, list(names.values()))
-    if "n_chars" in names:
-        changed = changed.withColumn(names["n_chars"], F.char_length("text").cast("bigint"))
-    return changed.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    return _counted(changed.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns]))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, counted anew."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, and from the others the lines that many unrelated documents of a host share."""
     small_batches(spark)
-    return keep_good(docs)
+    return _counted(keep_good(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
