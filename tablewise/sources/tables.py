@@ -1,7 +1,7 @@
 """Reading and writing tables, missing tokens and type inference.
 
 CSV is read as text first, missing tokens become NULL, and the types are decided after that by one
-aggregate over all rows. A token inside a numeric column then cannot decide the type of the column.
+pass over all rows. A token inside a numeric column then cannot decide the type of the column.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tablewise.functions.text import fold_missing
 from tablewise.operators.dates import date_columns
 from tablewise.operators.quantiles import aggregate_row, chunks
 from tablewise.operators.roles import categorical_columns, column
+from tablewise.sources.records import OpenQuoteError, line_quotes, read_records
 from tablewise.sources.staging import stage
 
 _INTEGER = r"^\s*[+-]?\d+\s*$"
@@ -56,6 +57,25 @@ def _as_number(c: Column) -> Column:
     return F.when(c.rlike(_INFINITE), infinite).otherwise(plain)
 
 
+#: Aggregates that tell the type of a text column
+_EVIDENCE = 4
+
+
+def _type_evidence(c: Column) -> list[Column]:
+    """Counts of values: present, 64-bit integers, numbers, booleans."""
+    return [F.count(c), F.count_if(c.rlike(_INTEGER) & F.trim(c).try_cast("bigint").isNotNull()),
+            F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")), F.count_if(c.isin(*_BOOLEANS))]
+
+
+def _typed(c: Column, rows: int, present: int, integers: int, numbers: int, booleans: int) -> Column | None:
+    """The column in the type that its evidence allows, None if it stays text."""
+    if integers == rows:
+        return F.trim(c).cast("bigint")
+    if numbers == present:
+        return _as_number(c)
+    return F.lower(c) == "true" if booleans == rows else None
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast text columns that hold only numbers or booleans, decided over all rows.
 
@@ -65,47 +85,97 @@ def infer_types(df: DataFrame) -> DataFrame:
     texts = categorical_columns(df)
     if not texts:
         return df
-    rows, *counts = aggregate_row(df, [F.count(F.lit(1))] + [
-        a for c in map(column, texts) for a in (
-            F.count(c), F.count_if(c.rlike(_INTEGER) & F.trim(c).try_cast("bigint").isNotNull()), F.count_if(c.rlike(f"{_NUMBER}|{_INFINITE}")),
-            F.count_if(c.isin(*_BOOLEANS)))
-    ])
-    casts = {}
-    for name, (present, integers, numbers, booleans) in zip(texts, chunks(counts, 4)):
-        c = column(name)
-        if integers == rows:
-            casts[name] = F.trim(c).cast("bigint")
-        elif numbers == present:
-            casts[name] = _as_number(c)
-        elif booleans == rows:
-            casts[name] = F.lower(c) == "true"
-    return df.withColumns(casts)
+    rows, *counts = aggregate_row(df, [F.count(F.lit(1))] + [a for c in texts for a in _type_evidence(column(c))])
+    return _cast(df, rows, dict(zip(texts, chunks(counts, _EVIDENCE))))
+
+
+def _cast(df: DataFrame, rows: int, evidence: dict[str, list[int]]) -> DataFrame:
+    found = {name: _typed(column(name), rows, *counts) for name, counts in evidence.items()}
+    return df.withColumns({name: c for name, c in found.items() if c is not None})
 
 
 class BrokenCsvError(ValueError):
     """A CSV file whose rows do not fit its header."""
 
 
-def refuse_broken(spark: SparkSession, path: str | list[str], settings: dict) -> None:
-    """Raise for rows with surplus fields, files with differing headers and quotes left open at a line's end."""
-    if not settings["multiLine"]:
-        quote = settings.get("quote", '"')
-        n_quotes = F.length("value") - F.length(F.replace("value", F.lit(quote)))
-        open_ = spark.read.text(path).where(n_quotes % 2 == 1).select("value", F.input_file_name().alias("file"))
-        if found := open_.first():
-            raise BrokenCsvError(f"a quote is not closed in {found['file']}: {found['value'][:80]!r}; "
-                                 "a line break inside quotes needs multi_line=True")
-    names = spark.read.options(**settings).csv(path).columns
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    corrupt = "_corrupt_record" + "_" * max(map(len, names), default=0)
-    reader = spark.read.schema(T.StructType([*fields, T.StructField(corrupt, T.StringType())])).options(
-        **settings, enforceSchema=False, columnPruning=False, columnNameOfCorruptRecord=corrupt)
-    shape = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    parsed = {k: str(v) for k, v in settings.items() if k not in ("header", "multiLine")}
-    surplus = reader.csv(path).where(F.col(corrupt).isNotNull()).where(
-        F.from_csv(corrupt, shape, parsed)[f"c{len(names)}"].isNotNull()).select(corrupt, column(names[0]))
-    if found := surplus.first():
-        raise BrokenCsvError(f"a row has more than the {len(names)} fields of the header: {found[0][:80]!r}")
+class _CsvText:
+    """A CSV table as text, one record a row."""
+
+    def __init__(self, spark: SparkSession, path: str | list[str], settings: dict, tokens: tuple[str, ...]):
+        self.spark, self.path, self.settings, self.tokens = spark, path, settings, tokens
+        self.delimiter = settings.get("sep", settings.get("delimiter", ","))
+        self.quote = settings.get("quote", '"')
+        # with line breaks in quotes the reader may take the carriage return before the header's end for a character
+        self.names = [n.removesuffix("\r") for n in spark.read.options(**settings).csv(path).columns]
+
+    def simple(self) -> bool:
+        """Are the marks single characters, and a quote inside quotes doubled? Other files are Spark's reader's."""
+        return (len(self.delimiter.encode()) == len(self.quote.encode()) == 1 and self.settings["escape"] == self.quote
+                and not {"lineSep", "comment", "encoding", "charset"} & set(self.settings))
+
+    def fields(self, records: DataFrame, *others: Column) -> DataFrame:
+        """c0, c1, ...: the fields of each record ``value`` as text, missing tokens folded; and other columns."""
+        columns = [f"c{i}" for i in range(len(self.names))]
+        options = {k: str(v) for k, v in self.settings.items() if k not in ("header", "multiLine")} | {"multiLine": "true"}
+        parsed = records.select(F.from_csv("value", ", ".join(f"{c} string" for c in columns), options).alias("row"), *others)
+        return parsed.select(*[fold_missing(F.col(f"row.{c}"), self.tokens).alias(c) for c in columns],
+                             *[F.col(c) for c in parsed.columns if c != "row"])
+
+    def judged(self, fields: DataFrame, facts: list[Column], typed: bool) -> tuple[list, dict[str, list[int]]]:
+        """(values of ``facts``, type evidence of each column): one pass, for wide tables one for some 24 columns."""
+        columns = [f"c{i}" for i in range(len(self.names) if typed else 0)]
+        row = aggregate_row(fields, facts + [a for c in columns for a in _type_evidence(F.when(F.col("counts"), F.col(c)))])
+        return row[:len(facts)], dict(zip(self.names, chunks(row[len(facts):], _EVIDENCE)))
+
+    def surplus(self, n_fields: Column) -> Column:
+        return F.min(F.when(n_fields > len(self.names), F.substring("value", 1, 80)))
+
+    def refuse_surplus(self, found: str | None) -> None:
+        if found is not None:
+            raise BrokenCsvError(f"a row has more than the {len(self.names)} fields of the header: {found!r}")
+
+
+def _read_lines(text: _CsvText, typed: bool) -> DataFrame:
+    """A record on each line. One pass over the lines judges quotes, fields, headers and types; the rows come from
+    Spark's reader, which prunes columns and compares each file's header with the first."""
+    reader = text.spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in text.names]))
+    plain = normalize_missing(reader.options(**text.settings, enforceSchema=False).csv(text.path), text.tokens)
+    lines = text.spark.read.text(text.path).where("trim(value) <> ''")
+    first = lines.first()
+    if first is None:
+        return infer_types(plain) if typed else plain
+    header = F.col("value") == F.lit(first["value"])
+    open_, n_fields = line_quotes(F.col("value"), text.delimiter, text.quote)
+    fields = text.fields(lines, "value", open_.alias("open"), n_fields.alias("n_fields"), (~header).alias("counts"))
+    facts = [F.count(F.lit(1)), F.count_if(~F.col("counts")), F.min(F.when(F.col("open"), F.substring("value", 1, 80))),
+             text.surplus(F.col("n_fields"))]
+    (rows, headers, open_quote, surplus), counts = text.judged(fields, facts, typed)
+    if open_quote is not None:
+        raise BrokenCsvError(f"a quote is not closed at the end of a line: {open_quote!r}; "
+                             "a line break inside quotes needs multi_line=True")
+    text.refuse_surplus(surplus)
+    if headers != len(lines.inputFiles()):      # files without a line, another header, or a header among the rows
+        by_file = lines.groupBy(F.input_file_name().alias("file")).agg(F.count_if(header).alias("n"))
+        least, most = by_file.agg(F.min("n"), F.max("n")).first()
+        if not least:
+            raise BrokenCsvError(f"a file has another header than {first['value'][:80]!r}")
+        if most > 1:        # its names are text in every column
+            return plain
+    return _cast(plain, rows - headers, counts) if typed else plain
+
+
+def _read_records(text: _CsvText, typed: bool) -> DataFrame:
+    """Records that may have line breaks in quotes, cut by many tasks."""
+    records = read_records(text.spark, text.path, text.delimiter, text.quote)
+    fields = text.fields(records, "value", "n_fields", "first", (~F.col("first")).alias("counts"))
+    head = F.when(F.col("first"), F.col("value"))
+    facts = [F.count_if("counts"), text.surplus(F.col("n_fields")), F.min(head), F.max(head)]
+    (rows, surplus, least, most), counts = text.judged(fields, facts, typed)
+    text.refuse_surplus(surplus)
+    if least != most:
+        raise BrokenCsvError(f"files have differing headers: {least[:80]!r} and {most[:80]!r}")
+    plain = fields.where("counts").select(*[f"c{i}" for i in range(len(text.names))]).toDF(*text.names)
+    return _cast(plain, rows, counts) if typed else plain
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
@@ -113,23 +183,36 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
              checked: bool = True, **options) -> DataFrame:
     """A CSV file with a header row, its missing tokens folded and its types inferred or given.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of files that cannot be split. Nothing is lost
-    or misplaced in silence: a row with more fields than the header, a file with another header and a line break inside
-    quotes without ``multi_line`` raise ``BrokenCsvError`` or Spark's error for the file (``checked=False`` saves the
-    passes for files known to be sound). A row with fewer fields has missing values at its end.
+    A quote opens a field only where the field starts; elsewhere, as in ``5" pipe``, it is a character. Nothing is lost
+    or misplaced in silence: a row with more fields than the header, empty ones included, a file with another header, a
+    line break inside quotes without ``multi_line`` and a file that ends inside quotes raise ``BrokenCsvError`` or Spark's
+    error for the file. A row with fewer fields has missing values at its end. One pass over the text gives quotes,
+    numbers of fields and types; ``checked=False`` infers the types only.
+
+    ``multi_line`` allows line breaks inside quotes. Files are still read by as many tasks as they have blocks
+    (``read_records``); only with an escape that is not the quote, marks of several bytes, comments, another line separator
+    or encoding does each file go to one task of Spark's reader, unchecked. A header of several lines is allowed.
+
     ``staged`` writes the typed table once, columnar, for the many passes of a profile or a cleaning: each
     of them would otherwise parse the whole text again.
     """
     settings = {"header": True, "escape": '"', "multiLine": multi_line, **options}
-    if checked:
-        refuse_broken(spark, path, settings)
-    folded = normalize_missing(spark.read.options(**settings).csv(path), tokens)
-    if schema is None:
-        typed = infer_types(folded)
+    text = _CsvText(spark, path, settings, tokens)
+    typed = schema is None
+    if text.simple() and multi_line:
+        try:
+            table = _read_records(text, typed)
+        except OpenQuoteError as error:
+            raise BrokenCsvError(str(error)) from error
+    elif text.simple() and checked:
+        table = _read_lines(text, typed)
     else:
+        table = normalize_missing(spark.read.options(**settings).csv(path), tokens)
+        table = infer_types(table) if typed else table
+    if not typed:
         fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
-        typed = folded.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
-    return stage(typed, "csv") if staged else typed
+        table = table.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+    return stage(table, "csv") if staged else table
 
 
 def write_csv(df: DataFrame, path: str, **options) -> None:
