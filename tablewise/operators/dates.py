@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tablewise.constants import DATE_HEAD_ROWS, DATE_RATE, DATE_SAMPLE_NEEDED, DATE_SAMPLE_SIZE
-from tablewise.functions.dates import DATE_FORMATS, DateFormat, parse_any_date, parse_date
+from tablewise.functions.dates import DATE_FORMATS, DateFormat, parse_any_date, parse_date, with_date_mask
 from tablewise.operators.profile import columns_with_few_values, value_counts
-from tablewise.operators.quantiles import aggregate_row, chunks
 from tablewise.operators.roles import categorical_columns, column
 
 
@@ -67,11 +66,16 @@ def _best(parsed: list[int], rows: int) -> tuple[DateFormat, float]:
     return DATE_FORMATS[top], parsed[top] / rows if rows else 0.0
 
 
+def _bit(k: int) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+
+
 def category_facts(df: DataFrame, columns: list[str] | None = None) -> CategoryFacts:
     """Distinct counts and date formats of text columns. A missing value counts as a failed parse.
 
     Columns with few values are judged by their frequency table: each value is parsed once, however often
-    it occurs. The others are parsed row by row, all columns and formats in one aggregate.
+    it occurs. The others are parsed row by row, their values one below the other, so that one expression serves
+    any number of columns. A value is taken apart once for all formats.
     """
     columns = categorical_columns(df) if columns is None else columns
     if not columns:
@@ -80,21 +84,21 @@ def category_facts(df: DataFrame, columns: list[str] | None = None) -> CategoryF
     many = [c for c in columns if c not in few]
     distinct, formats = {}, {}
     if few:
-        times = F.col("n")
-        counts = value_counts(df, few).groupBy("column_name").agg(
+        values = with_date_mask(value_counts(df, few), "value", keep=["column_name", "n"])
+        counts = values.groupBy("column_name").agg(
             F.count(F.lit(1)).alias("n_unique"),
-            *[F.sum(F.when(parse_date(F.col("value"), fmt).isNotNull(), times).otherwise(0)).alias(f"p{k}")
-              for k, fmt in enumerate(DATE_FORMATS)],
-        )
+            *[F.sum(F.when(_bit(k), F.col("n")).otherwise(0)).alias(f"p{k}") for k in range(len(DATE_FORMATS))])
         found = {r["column_name"]: r for r in counts.collect()}
         for c in few:
             r = found.get(c)
             distinct[c] = r["n_unique"] if r else 0
             formats[c] = _best([r[f"p{k}"] if r else 0 for k in range(len(DATE_FORMATS))], rows)
     if many:
-        parsed = aggregate_row(df, [F.count(parse_date(column(c), fmt)) for c in many for fmt in DATE_FORMATS])
-        for c, counts in zip(many, chunks(parsed, len(DATE_FORMATS))):
-            formats[c] = _best(counts, rows)
+        long = df.select(F.posexplode(F.array(*[column(c).cast("string") for c in many])).alias("i", "value"))
+        counts = with_date_mask(long, "value", keep=["i"]).groupBy("i").agg(
+            *[F.count_if(_bit(k)).alias(f"p{k}") for k in range(len(DATE_FORMATS))])
+        found = {r["i"]: list(r)[1:] for r in counts.collect()}     # one row per column
+        formats |= {c: _best(found.get(i, [0] * len(DATE_FORMATS)), rows) for i, c in enumerate(many)}
     return CategoryFacts(distinct, {c: formats[c] for c in columns})
 
 

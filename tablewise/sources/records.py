@@ -232,4 +232,5 @@ def line_quotes(line: Column, delimiter: str = ",", quote: str = '"') -> tuple[C
     end = F.aggregate(F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 2, F.lit(0))), start, step)
     quoted = line.contains(quote)
     fields = F.when(quoted, end["n"] + F.when(end["s"] != _INSIDE, count(last)).otherwise(0)).otherwise(count(line))
-    return quoted & (end["s"] == _INSIDE), fields + 1
+    # a condition, not a conjunction: Spark may evaluate what is shared inside a conjunction for every line
+    return F.when(quoted, end["s"] == _INSIDE).otherwise(False), fields + 1

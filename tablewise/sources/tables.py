@@ -113,26 +113,25 @@ class _CsvText:
         return (len(self.delimiter.encode()) == len(self.quote.encode()) == 1 and self.settings["escape"] == self.quote
                 and not {"lineSep", "comment", "encoding", "charset"} & set(self.settings))
 
-    def fields(self, records: DataFrame, *others: Column) -> DataFrame:
-        """c0, c1, ...: the fields of each record ``value`` as text, missing tokens folded; and other columns."""
+    def fields(self, records: DataFrame, header: Column, *others: Column) -> DataFrame:
+        """c0, c1, ...: the fields of each record ``value`` as text, missing tokens folded, all missing for a header; the
+        column ``header``; and other columns."""
         columns = [f"c{i}" for i in range(len(self.names))]
         options = {k: str(v) for k, v in self.settings.items() if k not in ("header", "multiLine")} | {"multiLine": "true"}
-        parsed = records.select(F.from_csv("value", ", ".join(f"{c} string" for c in columns), options).alias("row"), *others)
+        row = F.from_csv("value", ", ".join(f"{c} string" for c in columns), options)
+        parsed = records.select(F.when(~header, row).alias("row"), header.alias("header"), *others)
         return parsed.select(*[fold_missing(F.col(f"row.{c}"), self.tokens).alias(c) for c in columns],
                              *[F.col(c) for c in parsed.columns if c != "row"])
 
     def judged(self, fields: DataFrame, facts: list[Column], typed: bool) -> tuple[list, dict[str, list[int]]]:
         """(values of ``facts``, type evidence of each column): one pass, for wide tables one for some 24 columns."""
         columns = [f"c{i}" for i in range(len(self.names) if typed else 0)]
-        row = aggregate_row(fields, facts + [a for c in columns for a in _type_evidence(F.when(F.col("counts"), F.col(c)))])
+        row = aggregate_row(fields, facts + [a for c in columns for a in _type_evidence(F.col(c))])
         return row[:len(facts)], dict(zip(self.names, chunks(row[len(facts):], _EVIDENCE)))
 
-    def surplus(self, n_fields: Column) -> Column:
-        return F.min(F.when(n_fields > len(self.names), F.substring("value", 1, 80)))
-
-    def refuse_surplus(self, found: str | None) -> None:
-        if found is not None:
-            raise BrokenCsvError(f"a row has more than the {len(self.names)} fields of the header: {found!r}")
+    def refuse_surplus(self, records: DataFrame, n_fields: Column) -> None:
+        row = records.where(n_fields > len(self.names)).select(F.substring("value", 1, 80)).first()
+        raise BrokenCsvError(f"a row has more than the {len(self.names)} fields of the header: {row[0]!r}")
 
 
 def _read_lines(text: _CsvText, typed: bool) -> DataFrame:
@@ -146,14 +145,16 @@ def _read_lines(text: _CsvText, typed: bool) -> DataFrame:
         return infer_types(plain) if typed else plain
     header = F.col("value") == F.lit(first["value"])
     open_, n_fields = line_quotes(F.col("value"), text.delimiter, text.quote)
-    fields = text.fields(lines, "value", open_.alias("open"), n_fields.alias("n_fields"), (~header).alias("counts"))
-    facts = [F.count(F.lit(1)), F.count_if(~F.col("counts")), F.min(F.when(F.col("open"), F.substring("value", 1, 80))),
-             text.surplus(F.col("n_fields"))]
-    (rows, headers, open_quote, surplus), counts = text.judged(fields, facts, typed)
-    if open_quote is not None:
-        raise BrokenCsvError(f"a quote is not closed at the end of a line: {open_quote!r}; "
+    fields = text.fields(lines, header, open_.alias("open"), n_fields.alias("n_fields"))
+    # counts only: a text among the aggregates would take the generated code from all of them
+    facts = [F.count(F.lit(1)), F.count_if("header"), F.count_if("open"), F.count_if(F.col("n_fields") > len(text.names))]
+    (rows, headers, open_quotes, surplus), counts = text.judged(fields, facts, typed)
+    if open_quotes:
+        row = lines.where(open_).select(F.substring("value", 1, 80)).first()
+        raise BrokenCsvError(f"a quote is not closed at the end of a line: {row[0]!r}; "
                              "a line break inside quotes needs multi_line=True")
-    text.refuse_surplus(surplus)
+    if surplus:
+        text.refuse_surplus(lines, n_fields)
     if headers != len(lines.inputFiles()):      # files without a line, another header, or a header among the rows
         by_file = lines.groupBy(F.input_file_name().alias("file")).agg(F.count_if(header).alias("n"))
         least, most = by_file.agg(F.min("n"), F.max("n")).first()
@@ -167,14 +168,15 @@ def _read_lines(text: _CsvText, typed: bool) -> DataFrame:
 def _read_records(text: _CsvText, typed: bool) -> DataFrame:
     """Records that may have line breaks in quotes, cut by many tasks."""
     records = read_records(text.spark, text.path, text.delimiter, text.quote)
-    fields = text.fields(records, "value", "n_fields", "first", (~F.col("first")).alias("counts"))
-    head = F.when(F.col("first"), F.col("value"))
-    facts = [F.count_if("counts"), text.surplus(F.col("n_fields")), F.min(head), F.max(head)]
-    (rows, surplus, least, most), counts = text.judged(fields, facts, typed)
-    text.refuse_surplus(surplus)
-    if least != most:
-        raise BrokenCsvError(f"files have differing headers: {least[:80]!r} and {most[:80]!r}")
-    plain = fields.where("counts").select(*[f"c{i}" for i in range(len(text.names))]).toDF(*text.names)
+    fields = text.fields(records, F.col("first"), F.col("n_fields"))
+    facts = [F.count_if(~F.col("header")), F.count_if(F.col("n_fields") > len(text.names))]
+    (rows, surplus), counts = text.judged(fields, facts, typed)
+    if surplus:
+        text.refuse_surplus(records, F.col("n_fields"))
+    headers = records.where("first").select("value").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise BrokenCsvError(f"files have differing headers: {headers[0][0][:80]!r} and {headers[1][0][:80]!r}")
+    plain = fields.where("not header").select(*[f"c{i}" for i in range(len(text.names))]).toDF(*text.names)
     return _cast(plain, rows, counts) if typed else plain
 
 
