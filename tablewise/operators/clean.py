@@ -23,7 +23,7 @@ from tablewise.constants import (
 from tablewise.functions.text import strip, title_case
 from tablewise.operators.profile import columns_with_few_values, modes, value_counts
 from tablewise.operators.quantiles import aggregate_row, exact_quantiles, sql_number
-from tablewise.operators.roles import boolean_columns, categorical_columns, column, numeric_columns, quoted
+from tablewise.operators.roles import boolean_columns, categorical_columns, column, free_names, numeric_columns, quoted
 from tablewise.sources.staging import stage
 
 
@@ -108,25 +108,49 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return replace_columns(entries.dropDuplicates(), {c: F.map_from_entries(column(c)) for c in maps})
 
 
+#: Bits of the map of repeated hashes: 8,192 bitmaps of 4 KB, 32 MB
+_BITMAP_BITS = 28
+
+
 def drop_duplicate_wide_rows(df: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The same for wide rows (long texts): only rows that may have a copy are shuffled whole.
 
     A first pass shuffles one 64-bit hash per row and finds the hashes that occur twice. Rows with another
     hash have no copy and pass through; the others are compared in full. The list of repeated hashes is
-    broadcast when it is counted to be small; if not, all rows are shuffled.
+    broadcast when it is counted to be small. If not, what is broadcast is a bitmap of 2^28 bits, one of which each
+    repeated hash sets: a row whose bit is not set has no copy, the others are compared in full, among them the few that
+    share a bit with a repeated hash.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(*[column(c) for c in df.columns]))
-    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stage(counts.where("n > 1").select("_hash"), "repeated-hashes")
+    name, = free_names(df, "_hash")
+    hashed = df.withColumn(name, F.xxhash64(*[column(c) for c in df.columns]))
+    counts = hashed.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    repeated = stage(counts.where("n > 1").select(name), "repeated-hashes")
     n_repeated = repeated.count()
     if not n_repeated:
         return df
     if n_repeated > broadcast_rows:
-        return drop_duplicate_rows(df)
+        return _by_bitmap(hashed, repeated, name)
     listed = F.broadcast(repeated)
-    single = hashed.join(listed, "_hash", "left_anti")
-    copies = hashed.join(listed, "_hash", "left_semi")
-    return single.drop("_hash").unionByName(copies.drop("_hash").dropDuplicates())
+    single = hashed.join(listed, name, "left_anti")
+    copies = hashed.join(listed, name, "left_semi")
+    return single.drop(name).unionByName(drop_duplicate_rows(copies.drop(name)))
+
+
+def _by_bitmap(hashed: DataFrame, repeated: DataFrame, name: str) -> DataFrame:
+    """Rows whose hash shares its bit with a repeated one are compared in full, the others pass through."""
+    bucket, bits = free_names(hashed, "_bucket", "_bits")
+
+    def place(hash_: Column) -> Column:
+        return hash_.bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
+
+    maps = stage(repeated.select(place(F.col(name)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits)), "repeated-bitmaps")
+    at = F.bitmap_bit_position(place(F.col(name)))
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = hashed.withColumn(bucket, F.bitmap_bucket_number(place(F.col(name)))).join(F.broadcast(maps), bucket, "left")
+    is_set = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    single, copies = (marked.where(c).drop(name, bucket, bits) for c in (~is_set, is_set))
+    return single.unionByName(drop_duplicate_rows(copies))
 
 
 # --- outliers -----------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tablewise.operators.roles import column, with_values
+from tablewise.operators.roles import column, free_names, with_values
 from tablewise.sources.staging import stage
 
 _PARTITION_BITS = 33   # monotonically_increasing_id keeps the position in the partition in the low bits
@@ -22,20 +22,16 @@ def row_index(df: DataFrame, key: list[str], name: str = "row_index") -> DataFra
     order = [column(k).asc_nulls_last() for k in key]
     hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     order.append(F.xxhash64(*[column(c) for c in hashable]))
-    ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
-        "_id", F.monotonically_increasing_id()
-    )
-    part = F.shiftright("_id", _PARTITION_BITS)
-    numbered = stage(ids.withColumn("_part", part).withColumn(
-        "_pos", F.col("_id") - F.shiftleft("_part", _PARTITION_BITS)
-    ).drop("_id"), "row-index")
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
+    id_, part, pos, n, offset = free_names(df, "_id", "_part", "_pos", "_n", "_offset")
+    ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(id_, F.monotonically_increasing_id())
+    numbered = stage(ids.withColumn(part, F.shiftright(id_, _PARTITION_BITS)).withColumn(
+        pos, F.col(id_) - F.shiftleft(part, _PARTITION_BITS)).drop(id_), "row-index")
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = numbered.groupBy(part).agg(F.count(F.lit(1)).alias(n)).select(
+        part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     # One row per partition: small enough to send to every task.
-    indexed = numbered.join(F.broadcast(offsets), "_part")
-    return indexed.withColumn(name, F.col("_offset") + F.col("_pos")).drop("_part", "_pos", "_offset")
+    indexed = numbered.join(F.broadcast(offsets), part)
+    return indexed.withColumn(name, F.col(offset) + F.col(pos)).drop(part, pos, offset)
 
 
 def top_categories(df: DataFrame, name: str, k: int) -> list[str]:

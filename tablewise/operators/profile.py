@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,6 +23,8 @@ from tablewise.operators.quantiles import aggregate_row, chunks, exact_quantiles
 from tablewise.operators.roles import categorical_columns, column, numeric_columns, quoted
 
 QUARTILES = [0.25, 0.5, 0.75]
+#: Counters of a summary of frequent values, candidates that it reports, columns whose summaries share a scan
+TRACKED_VALUES, MOST_CANDIDATES, SUMMARIES_PER_PASS = 10_000, 100, 24
 STATS_SCHEMA = "column_name string, cnt bigint, mean double, std double, min double, max double"
 
 
@@ -135,11 +138,56 @@ def _frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = PROFILE_TOP_VALUES) -> DataFrame:
     """column_name, value, n, rnk: the k most frequent values of each column; ties by value.
 
-    The rank limit is pushed below the shuffle, so at most k rows per column and task are moved.
+    One scan sketches every column. A column with few values is counted by value, and the rank limit is pushed below
+    the shuffle, so at most k rows per column and task are moved. Of a column with many, only the candidates of a summary
+    of frequent items are counted, if that proves the result (``heavy_values``); if the k-th value is not clearly more
+    frequent than the rest, every value is counted.
     """
+    columns = categorical_columns(df) if columns is None else columns
+    heavy = heavy_values(df, columns, k) if columns else {}
     order = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    ranked = value_counts(df, columns).withColumn("rnk", F.row_number().over(order))
-    return ranked.where(F.col("rnk") <= k)
+    ranked = value_counts(df, [c for c in columns if c not in heavy]).withColumn("rnk", F.row_number().over(order))
+    counted = ranked.where(F.col("rnk") <= k)
+    if not heavy:
+        return counted
+    rows = [(c, v, n, r) for c, found in heavy.items() for r, (v, n) in enumerate(found, 1)]
+    proven = df.sparkSession.createDataFrame(rows, counted.schema)
+    return proven if len(heavy) == len(columns) else counted.unionByName(proven)
+
+
+def heavy_values(df: DataFrame, columns: list[str], k: int) -> dict[str, list[tuple[str, int]]]:
+    """The k most frequent values with their exact counts, of those columns with many values where that can be proven
+    without counting every value.
+
+    A mergeable summary of ``TRACKED_VALUES`` counters proposes candidates; a second scan counts them exactly. Of N values
+    the summary's counts are at most E = 3.5 N / size off. A value that it does not report has at most 2 E occurrences, or
+    at most the last reported count where the report is full; if the k-th candidate has more, no other value can be
+    among the k. What travels are the counters of each task and a few candidates, however many values there are.
+    """
+    size = 1 << math.ceil(math.log2(TRACKED_VALUES / 0.75))
+    reported: dict[str, tuple[list, float]] = {}
+    for part in chunks(columns, SUMMARIES_PER_PASS):
+        row = df.selectExpr("count(1) as rows", *distinct_sketches(part), *[
+            f"approx_top_k(cast({quoted(c)} as string), {MOST_CANDIDATES}, {TRACKED_VALUES}) as t{i}" for i, c in enumerate(part)]).first()
+        rows, estimates, tops = row[0], row[1:len(part) + 1], row[len(part) + 1:]
+        few = set(few_valued(part, list(estimates)))
+        for c, top in zip(part, tops):
+            if c not in few:
+                unseen = max(2 * 3.5 * rows / size, top[-1]["count"] if len(top) == MOST_CANDIDATES else 0)
+                reported[c] = [t["item"] for t in top if t["item"] is not None], unseen
+    candidates = [(c, v) for c, (values, _) in reported.items() if len(values) >= k for v in values]
+    if not candidates:
+        return {}
+    listed = df.sparkSession.createDataFrame(candidates, "column_name string, value string")
+    texts = df.select(*[column(c).cast("string").alias(c) for c in dict(candidates)])
+    long = texts.unpivot([], [column(c) for c in texts.columns], "column_name", "value")
+    counts = long.join(F.broadcast(listed), ["column_name", "value"]).groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    found: dict[str, list[tuple[str, int]]] = {}
+    for r in counts.collect():      # at most MOST_CANDIDATES rows per column
+        found.setdefault(r["column_name"], []).append((r["value"], r["n"]))
+    best = {c: sorted(values, key=lambda x: (-x[1], x[0].encode()))[:k] for c, values in found.items()}
+    return {c: values for c, values in best.items() if len(values) == k and values[-1][1] > reported[c][1]}
 
 
 def bar_values(df: DataFrame, name: str, k: int = BAR_TOP_VALUES) -> DataFrame:

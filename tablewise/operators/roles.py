@@ -105,3 +105,15 @@ def role_table(df: DataFrame) -> DataFrame:
         (F.lit(c.position), F.lit(c.name), F.lit(c.dtype), role(c), F.col(f"c{c.position}")) for c in roles
     ]
     return counts.select(rows_of(entries, ["position", "column_name", "dtype", "role", "non_null"]))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -66,3 +66,21 @@ def test_charts_with_fitted_ranges_scan_once(spark):
                charts.radar(lineitem, "l_returnflag", ["l_tax"]), charts.crosstab(lineitem, "l_linestatus", "l_returnflag")):
         assert plan(df).count("FileScan") == 1
     assert plan(charts.treemap(table(spark, FOLDER, "part"), ["p_type", "p_brand"], "p_size")).count("FileScan") == 1
+
+
+def test_a_nearly_unique_text_shuffles_its_candidates_only(spark):
+    df = spark.range(50_000).selectExpr("if(id % 4 = 0, concat('often ', id % 12), concat('once ', id)) as t", "cast(id % 9 as string) as few")
+    found = profile.heavy_values(df, ["t", "few"], 3)
+    assert found == {"t": [("often 0", 4167), ("often 4", 4167), ("often 8", 4166)]}      # few values are counted the plain way
+    assert "Exchange" not in plan(profile.top_values(df.select("t"), k=3))       # what is left to run is a list
+    assert profile.heavy_values(df, ["t"], 4) == {}       # the fourth is one of many: nothing is proven
+    plain = profile.top_values(df, k=4).where("column_name = 't' and rnk = 4").first()
+    assert (plain["value"], plain["n"]) == ("once 1", 1)
+
+
+def test_wide_duplicates_by_bitmap_move_only_rows_that_may_have_copies(spark):
+    df = spark.range(4_000).selectExpr("if(id < 500, id % 100, id) as id", "repeat('x', 200) as `_hash`", "1 as `_bits`")
+    found = clean.drop_duplicate_wide_rows(df, broadcast_rows=5)
+    assert found.columns == df.columns and found.count() == 3_600
+    moved = [n for n in plan(found).splitlines() if "Exchange hashpartitioning" in n]
+    assert len(moved) == 1 and "BroadcastExchange" in plan(found)

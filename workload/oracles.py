@@ -565,10 +565,18 @@ ORACLES["q_csv_multiline"] = """select o_orderkey as id, o_orderstatus || chr(10
 from orders"""
 ORACLES["q_quantiles_hot_key"] = """with k as (select case when l_orderkey % 3 = 0 then 1152921504606847677
   else l_orderkey * 1000003 + 1152921504606846976 end as key from lineitem),
-p as (select unnest([0.1, 0.5, 0.9]::double[]) as q)
-select 'key' as column_name, q, round(case q when 0.1 then (select quantile_cont(key::double, 0.1) from k)
+p as (select unnest([0.1, 0.5, 0.9]::double[]) as q),
+v as (select q, case q when 0.1 then (select quantile_cont(key::double, 0.1) from k)
   when 0.5 then (select quantile_cont(key::double, 0.5) from k)
-  else (select quantile_cont(key::double, 0.9) from k) end / 1e9) as value from p"""
+  else (select quantile_cont(key::double, 0.9) from k) end as value from p)
+select q, round(value / 1e5) as value, (select count(*) from k where key::double < value) as n_below,
+  (select count(*) from k where key::double <= value) as n_up_to from v"""
+ORACLES["q_csv_stray_quotes"] = """select o_orderkey as id, (o_orderkey % 40) || '" pipe' as size,
+  case when o_orderkey % 3 = 0 then o_orderpriority || ' 5" x 3"' else o_orderstatus end as note from orders"""
+ORACLES["q_topk_unique_text"] = """with n as (select case when l_orderkey % 5 = 0 then 'standard ' || l_linenumber
+  else 'note ' || l_orderkey || '-' || l_linenumber || '-' || l_partkey end as value, count(*) as n from lineitem group by 1)
+select 'note' as column_name, value, n, cast(row_number() over (order by n desc, value) as int) as rnk from n
+  qualify rnk <= 4"""
 ORACLES["q_correlation_missing"] = correlation("dirty", DIRTY_NUMBERS, f"with {DIRTY_SQL} ")
 ORACLES["q_bubble_bins"] = """with r as (select min(l_quantity) as x0, max(l_quantity) as x1, min(l_tax) as y0,
   max(l_tax) as y1, max(l_extendedprice) as most from lineitem)

@@ -71,6 +71,17 @@ def csv_multiline(spark, folder):
     return read_csv(spark, path, multi_line=True)
 
 
+@query
+def csv_stray_quotes(spark, folder):
+    """Inch marks in fields without quotes."""
+    path = new_path(spark, "stray-quotes-csv")
+    orders = table(spark, folder, "orders").selectExpr(
+        "cast(o_orderkey as string) as id", "concat(o_orderkey % 40, '\" pipe') as size",
+        "if(o_orderkey % 3 = 0, concat(o_orderpriority, ' 5\" x 3\"'), o_orderstatus) as note")
+    write_csv(orders, path, quote="")
+    return read_csv(spark, path)
+
+
 @query
 def normalize_missing_(spark, folder):
     untidy = table(spark, folder, "lineitem").selectExpr(
@@ -179,6 +190,14 @@ def value_counts(spark, folder):
     return profile.value_counts(table(spark, folder, "part"))
 
 
+@query
+def topk_unique_text(spark, folder):
+    """The most frequent values of a text that is nearly unique: only candidates of a summary are counted."""
+    return profile.top_values(table(spark, folder, "lineitem").selectExpr(
+        "if(l_orderkey % 5 = 0, concat('standard ', l_linenumber), "
+        "concat('note ', l_orderkey, '-', l_linenumber, '-', l_partkey)) as note"), k=4)
+
+
 @query
 def bar_top10(spark, folder):
     return profile.bar_values(table(spark, folder, "part"), "p_brand")
@@ -226,11 +245,17 @@ def quantiles_searched(spark, folder):
 
 @query
 def quantiles_hot_key(spark, folder):
-    """64-bit keys beyond what a double can tell apart, a third of them equal, by the search; in units of 10^9."""
+    """64-bit keys beyond what a double can tell apart, a third of them equal, by the search. Neighbouring keys lie a
+    million apart; with each quantile, to a hundred thousand, go the numbers of keys below it and up to it."""
     keys = table(spark, folder, "lineitem").selectExpr(
         "if(l_orderkey % 3 = 0, 1152921504606847677L, l_orderkey * 1000003L + 1152921504606846976L) as key")
     found = quantiles.quantile_table(keys, ["key"], [0.1, 0.5, 0.9], direct_rows=0, budget=1000)
-    return found.withColumn("value", F.round(F.col("value") / 1e9))
+    wanted = [(r["q"], r["value"]) for r in found.collect()]       # three quantiles
+    key = F.col("key").cast("double")
+    ranks = keys.agg(*[a.alias(f"{name}{i}") for i, (_, v) in enumerate(wanted) for name, a in (
+        ("below", F.count_if(key < v)), ("up_to", F.count_if(key <= v)))])
+    cells = ", ".join(f"double({q!r}), round(double({v!r}) / 1e5), below{i}, up_to{i}" for i, (q, v) in enumerate(wanted))
+    return ranks.selectExpr(f"stack({len(wanted)}, {cells}) as (q, value, n_below, n_up_to)")
 
 
 @query
