@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,15 +272,15 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     return merged.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), "runs", "items")
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, runs: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
-    for text, gone in zip(texts, runs):
+    for text, gone in zip(texts.to_pylist(), runs.to_pylist()):
         if text is not None and gone is not None and len(gone):
             edges = [0, *(x for r in gone for x in (r["start"], r["end"])), len(text)]
             text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
         out.append(text)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, documents: bool = False, id_col: str = "doc_id",

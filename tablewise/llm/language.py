@@ -17,6 +17,8 @@ from tablewise.llm.common import claim_worker, rows_of, with_text
 
 #: Bounds of what is learned: documents and characters of each for one language, bytes of a dictionary, languages
 LEARN_DOCS, LEARN_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 300, 1000, 110 * 1024, 1000
+#: Of a language's documents, hashes are let through for so many times ``LEARN_DOCS`` of them
+SPARE = 4
 LEVEL = 9
 PIECE = 512              # bytes encoded together: longer pieces would learn from themselves, not the dictionary
 MARGIN = 0.005           # a lead below this share of the size is too narrow to accept
@@ -30,22 +32,35 @@ def plain_words(text: str) -> str:
     return " ".join(w for w, _ in groupby(_WORD.findall(text.lower())))
 
 
+def _first(excerpts: DataFrame, limits: dict[str, int]) -> list[tuple[str, int, str]]:
+    """(lang, n, text) of the first ``LEARN_DOCS`` excerpts of each language by hash, among hashes up to its limit: what
+    travels to the task that ranks a language does not grow with the number of tasks."""
+    if not limits:
+        return []
+    listed = excerpts.sparkSession.createDataFrame(list(limits.items()), "lang string, most bigint")
+    low = excerpts.join(F.broadcast(listed), "lang").where("h <= most")
+    best = Window.partitionBy("lang").orderBy("h", "text")
+    ranked = low.withColumn("n", F.row_number().over(best)).where(F.col("n") <= LEARN_DOCS)
+    return [(r["lang"], r["n"], r["text"]) for r in ranked.collect()]
+
+
 def learn_languages(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text"
                     ) -> dict[str, bytes]:
     """Language -> raw-content dictionary, from a bounded sample of labelled rows: the excerpts of the first
     documents in the order of a hash of their ids, the languages with most rows first; each from a place that the hash chooses. Rows without language or text are not used."""
     labelled = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                          F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text != ''")
-    best = Window.partitionBy("lang").orderBy("h", "text")
-    # the rank limit is applied before the shuffle as well, so that only sampled texts travel
-    sample = labelled.withColumn("n", F.row_number().over(best)).where(F.col("n") <= LEARN_DOCS)
-    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - LEARN_CHARS))
-    excerpts = sample.select("lang", "n", F.col("text").substr(start.cast("int"), F.lit(LEARN_CHARS)).alias("text"))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - LEARN_CHARS))
+    excerpts = labelled.select("lang", "h", F.col("text").substr(start.cast("int"), F.lit(LEARN_CHARS)).alias("text"))
+    chosen = _first(excerpts, {r["lang"]: -(1 << 63) + int((1 << 64) * min(1.0, SPARE * LEARN_DOCS / r["count"])) - 1 for r in counts})
+    scarce = [r["lang"] for r in counts if sum(lang == r["lang"] for lang, *_ in chosen) < min(LEARN_DOCS, r["count"])]
+    if scarce:      # ids that share a hash: ranked without a threshold
+        chosen = [row for row in chosen if row[0] not in scarce] + _first(excerpts, {lang: (1 << 63) - 1 for lang in scarce})
     texts: dict[str, list[str]] = {row["lang"]: [] for row in counts}
-    for lang, _, text in sorted(map(tuple, excerpts.collect())):
+    for lang, _, text in sorted(chosen):
         texts[lang].append(plain_words(text))
     found = {lang: " ".join(t).encode()[:DICTIONARY_BYTES] for lang, t in texts.items()}
     return {lang: words for lang, words in found.items() if len(words) >= 8}

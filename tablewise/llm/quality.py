@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,19 +150,20 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (~base_failed & ~depleted).alias("kept"), *(["host", "boilerplate"] if lines_too else []))
 
 
-@F.pandas_udf(T.StringType())
-def _without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """The texts without the lines of these hashes; None where there is nothing to do."""
+    claim_worker("quality")
     digest = _line_digest()
     out = []
-    for text, hashes in zip(texts, gone):
+    for text, hashes in zip(texts.to_pylist(), gone.to_pylist()):
         if text is not None and hashes is not None:
             unwanted = set(hashes)
             text = "\n".join(line for line in text.split("\n") if digest(" ".join(line.lower().split())) not in unwanted)
         else:
             text = None
         out.append(text)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",

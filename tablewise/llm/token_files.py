@@ -176,10 +176,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, spaces: bool =
 
     Ranges of doc_id go to tasks, each sorts its own and writes files of about ``file_ids`` ids. ``folder`` is a
     URI that pyarrow can write (file, hdfs, s3, gs). Manifest: part, seq (together the order of the files), path,
-    n_docs, n_ids. A missing doc_id is refused, as it has no place in the order; equal ones keep any order.
+    n_docs, n_ids. Rows without doc_id have no place in the order and are left out; equal ones go by their text.
     """
     rows = with_text(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
     write = partial(_write, tokenizer=tokenizer, spaces=spaces, end_id=end_id, folder=folder, file_ids=file_ids,
@@ -206,7 +206,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first")
     files = manifest.select("path", first)
-    return files.repartition("path").mapInArrow(partial(_read, folder=folder), RESULT)
+    # a number of its own, or the few bytes of the manifest would make one task that reads every file
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(partial(_read, folder=folder), RESULT)
 
 
 def token_digest(df: DataFrame, tokenizer: str, spaces: bool = False, end_id: int = 2, special: bool = False) -> DataFrame:
