@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -169,12 +170,10 @@ def test_blocks_round_trip(ids):
     assert [b.tolist() for b in back] == [[3, 9], [len(ids), 0], ids.tolist()]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.sampled_from([2.0, 1.0, 3.5, None, None]), max_size=25))
-def test_segments_are_the_maximal_ones(weights):
-    values = [-0.5 if w is None else w for w in weights]
-    places = [i for i, w in enumerate(weights) if w is not None]
-    found = toxicity.segments(places, [values[i] for i in places])
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from([2.0, 1.0, 3.5, -0.5, -0.5, -0.75, -3.0]), max_size=25))
+def test_segments_are_the_maximal_ones(values):
+    found = toxicity.segments(np.array(values, float))
 
     def brute(low, high):       # the best segment, then those left and right of it
         best = max(((sum(values[a:b]), -(b - a), a, b) for a in range(low, high) for b in range(a + 1, high + 1)), default=None)
@@ -182,8 +181,23 @@ def test_segments_are_the_maximal_ones(weights):
             return []
         return brute(low, best[2]) + [(best[2], best[3] - 1, best[0])] + brute(best[3], high)
 
-    assert sum(s for *_, s in found) == pytest.approx(sum(s for *_, s in brute(0, len(values))))
-    assert max([s for *_, s in found], default=0) == pytest.approx(max([s for *_, s in brute(0, len(values))], default=0))
+    expected = brute(0, len(values))
+    assert sum(s for *_, s in found) == pytest.approx(sum(s for *_, s in expected))
+    assert max([s for *_, s in found], default=0) == pytest.approx(max([s for *_, s in expected], default=0))
+    assert all(values[a] > 0 and values[b] > 0 and s == pytest.approx(sum(values[a:b + 1])) for a, b, s in found)
+
+
+@pytest.mark.parametrize("tail", [-1.5, -0.2])
+def test_segments_take_linear_time(tail):
+    """A clean text's running sum falls, so that every positive token starts a segment of its own."""
+    def seconds(n):
+        scores = np.tile([1.0] + [tail] * 4, n)
+        start = time.process_time()
+        toxicity.segments(scores)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.004)
 
 
 def test_bitmaps_never_lose_a_link():

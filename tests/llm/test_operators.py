@@ -1,6 +1,7 @@
 """Every operator on a small table of hard cases, against brute force; nulls, repeats, empty tables, odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -282,7 +283,7 @@ def test_components(spark):
 # --- 5, 8 ------------------------------------------------------------------------------------------
 
 
-def test_toxicity(spark, nothing, unidentified):
+def test_toxicity(spark, nothing, unidentified, monkeypatch):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
     bad = ["badword", "vileword", "nastyone", "foulthing"]
@@ -307,6 +308,24 @@ def test_toxicity(spark, nothing, unidentified):
         for p in found[d]["passages"]:
             passage = texts[d].encode()[p["start"]:p["end"]].decode()
             assert passage.split()[0] in bad and passage.split()[-1] in bad
+    # a model beyond the broadcast bound gives the same scores, from log-odds as a loop gives them
+    counts = toxicity.count_tokens(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        known.where("doc_id % 4 != 0"), "doc_id").withColumn("fold", F.col("doc_id") % 2))
+    weights = {r["h"]: r["weight"] for r in toxicity.learn_weights(counts).table.where("level = 2").collect()}
+    holds = {d: set(texts[d].split()) for d in labels if d % 4}
+    totals = [sum(len(w) for d, w in holds.items() if labels[d] == t) for t in (0, 1)]
+    mass, expected = 0.1 * sum(totals), []
+    for w in set().union(*holds.values()):
+        n = [sum(w in own for d, own in holds.items() if labels[d] == t) for t in (0, 1)]
+        prior = 0.1 * sum(n)
+        odds = [math.log((n[t] + prior) / (totals[t] + mass - n[t] - prior)) for t in (0, 1)]
+        z = (odds[1] - odds[0]) / math.sqrt(1 / (n[0] + prior) + 1 / (n[1] + prior))
+        if z >= 3.5 or z <= -2:
+            expected.append(max(-6.0, min(6.0, odds[1] - odds[0])))
+    assert sorted(weights.values()) == pytest.approx(sorted(expected)) and min(expected) < 0 < max(expected)
+    monkeypatch.setattr(toxicity, "BROADCAST_WEIGHTS", 2)
+    again = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, known, F.col("doc_id") % 4 != 0).collect()}
+    assert again == found
     none = known.where("false")
     assert {r["score"] for r in toxicity.score_toxicity(unidentified, none, F.lit(True)).collect()} == {0.5}
     assert toxicity.score_toxicity(nothing, known, F.lit(True)).count() == 0
