@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tablewise.constants import (
@@ -132,6 +133,50 @@ def scatter_density(df: DataFrame, x: str, y: str, nbins: int = 40) -> DataFrame
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _spread_bits(value: Column) -> Column:
+    """The 16 low bits of ``value`` moved to the even places."""
+    value = value.cast("bigint")
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+    return value
+
+
+def density_quadtree(df: DataFrame, x: str, y: str, size: str | None = None, levels: int = 8) -> DataFrame:
+    """level, z, xbin, ybin, n, mean_size: the counts of every node of a quadtree over the points, for charts that zoom.
+
+    Level k cuts both ranges into 2^k bins (from 0); z interleaves the bits of ybin and xbin, so that the nodes below a
+    node are a range of z. Rows are counted once, at the finest level; every coarser one is summed from those counts by
+    the prefix of z, so that the work after the scan depends on the 4^levels cells at most (``levels`` up to 16).
+    ``mean_size`` is the mean of ``size``, NULL without it. Rows without x or y are left out; a constant has bin 0.
+    """
+    if not 0 <= levels <= 16:
+        raise ValueError("levels must be between 0 and 16")
+    points = with_values(df, [x, y])
+    (x0, x1), (y0, y1) = _range(points, x, y)
+    if x0 is None:
+        x0 = x1 = y0 = y1 = 0.0
+    xbin, ybin = ((_bin(column(c).cast("double"), lo, hi, 1 << levels) - 1)
+                  for c, lo, hi in ((x, x0, x1), (y, y0, y1)))
+    z = _spread_bits(xbin).bitwiseOR(F.shiftleft(_spread_bits(ybin), 1))
+    value = column(size).cast("double") if size else F.lit(None).cast("double")
+    cells = points.select(z.alias("z"), xbin.alias("xbin"), ybin.alias("ybin"), value.alias("s")).groupBy("z", "xbin", "ybin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s").alias("total"), F.count("s").alias("sized"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    up = f"({levels} - level)"
+    nodes = cells.select("*", level).groupBy("level", F.expr(f"shiftright(z, 2 * {up})").alias("z"),
+                                             F.expr(f"shiftright(xbin, {up})").alias("xbin"),
+                                             F.expr(f"shiftright(ybin, {up})").alias("ybin"))
+    return nodes.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("sized")).alias("mean_size"))
+
+
+def quadtree_view(tree: DataFrame, tile_level: int, tile_x: int, tile_y: int, detail: int = 5) -> DataFrame:
+    """The nodes ``detail`` levels below one node of ``density_quadtree``: one range of z, which reaches the scan of a
+    stored tree."""
+    z = sum((tile_x >> i & 1) << 2 * i | (tile_y >> i & 1) << 2 * i + 1 for i in range(tile_level))
+    return tree.where((F.col("level") == tile_level + detail) & (F.col("z") >= z << 2 * detail)
+                      & (F.col("z") < z + 1 << 2 * detail))
+
+
 def scatter_reference_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """x0, y0, x1, y1: from the two minima to the two maxima (not a regression)."""
     cx, cy = column(x).cast("double"), column(y).cast("double")
@@ -293,6 +338,41 @@ def line_bucketed(df: DataFrame, x: str | Column, y: str, group: str | None = No
     )
 
 
+def line_m4(df: DataFrame, x: str | Column | None, y: str, group: str | None = None, width: int = 400,
+            key: list[str] | None = None) -> DataFrame:
+    """group_value, pixel, n, first_x, first_y, last_x, last_y, low_x, low_y, high_x, high_y: the points from which a chart of
+    ``width`` pixel columns draws the same line as from all rows.
+
+    Of the points of a group in one pixel column, the first, the last, the least and the largest are kept, at most
+    ``width`` rows per group: between two columns a line runs from last to first, inside one it covers low to high. x is a
+    number, a date or a timestamp, or without one the row position by ``key``; ties in x go by y as in ``line_series``, ties
+    in y by x. Rows without x or y are left out; one x only is pixel 0. Two scans: the range of x, and the points.
+    """
+    if x is None:
+        df, x = row_index(df, key, "_position"), "_position"
+    points = _series(df, column(x) if isinstance(x, str) else x, y, group).where(F.col("y").isNotNull())
+    kind = points.schema["x"].dataType
+    if isinstance(kind, T.DateType):
+        at = F.unix_date("x").cast("double")
+    elif isinstance(kind, T.TimestampNTZType):      # by its fields: no zone of the session shifts it
+        at = F.expr("double(unix_date(cast(x as date)) * 86400000000 + hour(x) * 3600000000 + minute(x) * 60000000L"
+                    " + bigint(extract(second from x) * 1000000))")
+    elif isinstance(kind, T.TimestampType):
+        at = F.unix_micros("x").cast("double")
+    else:
+        at = F.col("x").cast("double")
+    low, high = points.agg(F.min(at), F.max(at)).first()
+    place = F.lit(0) if low is None or low == high else F.least(
+        F.floor((at - low) / (high - low) * width), F.lit(width - 1))
+    row, up = F.struct("x", "y"), F.struct("y", "x")
+    top = F.min(F.struct((-F.col("y")).alias("neg_y"), "x"))     # the largest y, and of its places the first
+    return points.groupBy("group_value", place.cast("int").alias("pixel")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(row).alias("first"), F.max(row).alias("last"), F.min(up).alias("low"),
+        top.alias("high")
+    ).select("group_value", "pixel", "n", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("first", "last", "low") for c in ("x", "y")],
+             F.col("high.x").alias("high_x"), (-F.col("high.neg_y")).alias("high_y"))
+
+
 def _area(df: DataFrame, x: str | Column, y: str, group: str | None, unit: str | None) -> DataFrame:
     at = column(x) if isinstance(x, str) else x
     if unit:

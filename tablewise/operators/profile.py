@@ -202,6 +202,7 @@ def modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counts.groupBy("column_name").agg(best["value"].alias("mode_value"))
 
 
+PROFILE_COLUMNS = ["column_name", "n_missing", "n_unique", "mean", "std", "min", "max"]
 _FAMILIES = ("bigint", "double", "string", "timestamp_ntz")
 
 
@@ -232,6 +233,30 @@ def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("i", *names, "present").agg(F.count(F.lit(1)).alias("n"))
 
 
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """column_name, n_missing, n_unique, and for numbers mean, std, min, max: one row per column.
+
+    With sketches of the distinct counts every column is read once, and one row per task moves. Exact counts take a scan of
+    their own: sums that travel with every distinct value cost more than reading the table again.
+    """
+    columns = df.columns
+    if not exact:
+        def part(chosen: list[str]) -> DataFrame:
+            aggregates, rows = [], []
+            for i, name in enumerate(chosen):
+                c, number = quoted(name), isinstance(df.schema[name].dataType, T.NumericType)
+                own = [f"{f}(double({c})) as {f}{i}" for f in ("avg", "stddev_samp", "min", "max")] if number else []
+                aggregates += [f"count_if({c} is null) as m{i}", f"approx_count_distinct({c}) as u{i}", *own]
+                rows.append([sql_text(name), f"m{i}", f"u{i}", *([a.split()[-1] for a in own] or ["cast(null as double)"] * 4)])
+            return stack_rows(df.selectExpr(*aggregates), rows, PROFILE_COLUMNS)
+
+        return _in_parts(df, columns, AGGREGATES_PER_PASS // 9, part,
+                         "column_name string, n_missing bigint, n_unique bigint, mean double, std double, min double, max double")
+    info = column_info(df).select("column_name", F.col("n_null").alias("n_missing"), "n_unique")
+    stats = basic_stats(df).select("column_name", *PROFILE_COLUMNS[3:])
+    return info.join(F.broadcast(stats), "column_name", "left")   # one row per column on both sides
+
+
 def _per_column(df: DataFrame, columns: list[str]) -> DataFrame:
     """i, non_null, n_null, n_unique: exact, from the distinct values."""
     return _distinct_values(df, columns).groupBy("i").agg(

@@ -7,6 +7,8 @@ document id cannot skew anything. The described table enters as lists of its col
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -34,6 +36,9 @@ from tablewise.operators.profile import sql_text
 from tablewise.operators.roles import categorical_columns, datetime_columns, numeric_columns
 
 INDEX = "index"
+FEW_NAMES = 40          # so many names are looked for one by one
+FRAGMENT = 3            # characters of a name that lead to it
+FRAGMENT_BUCKETS = 8    # buckets per name
 
 
 @dataclass(frozen=True)
@@ -96,11 +101,32 @@ def _list(names: list[str]) -> str:
 
 
 def _mentioned(names: list[str]) -> str:
-    """Names that are part of the lower-case text ``low``, in the order of the table."""
+    """Names that are part of the lower-case text ``low``, in the order of the table.
+
+    A few names are looked for one by one. Of many, only those are that a fragment points to: every name of at least
+    ``FRAGMENT`` ASCII characters stands in a hashed bucket under its rarest fragment, the fragments of the text are looked
+    up in the buckets, and the names found there are confirmed. So a text costs its own length, not the number of names.
+    """
     if not names:
         return _list([])
-    lowered = ", ".join(f"lower({sql_text(n)})" for n in names)
-    return f"filter({_list(names)}, (c, i) -> contains(low, array({lowered})[i]))"
+    lowered = f"array({', '.join(f'lower({sql_text(n)})' for n in names)})"
+    if len(names) <= FEW_NAMES:
+        return f"filter({_list(names)}, (c, i) -> contains(low, {lowered}[i]))"
+    places = [i for i, n in enumerate(names) if n.isascii() and len(n) >= FRAGMENT]
+    fragments = {i: {names[i].lower()[k:k + FRAGMENT] for k in range(len(names[i]) - FRAGMENT + 1)} for i in places}
+    common = Counter(f for own in fragments.values() for f in own)
+    size = FRAGMENT_BUCKETS * len(names)
+    buckets: list[list[str]] = [[] for _ in range(size)]
+    for i, own in fragments.items():
+        rarest = min(own, key=lambda f: (common[f], f))
+        buckets[zlib.crc32(rarest.encode()) % size].append(str(i))
+    plain = [str(i) for i in range(len(names)) if i not in fragments]
+    table = sql_text(";".join(",".join(b) for b in buckets))
+    found = (f"flatten(transform(array_distinct(regexp_extract_all(low, '(?s)(?=(.{{{FRAGMENT}}}))', 1)), "
+             f"f -> split(split({table}, ';')[int(crc32(f) % {size})], ',')))")
+    hits = (f"filter(array_distinct(concat(split({sql_text(','.join(plain))}, ','), {found})), "
+            f"c -> c != '' and contains(low, {lowered}[int(c)]))")
+    return f"transform(array_sort(transform({hits}, c -> int(c))), c -> {_list(names)}[c])"
 
 
 def column_mentions(sections: DataFrame, facts: TableFacts) -> DataFrame:

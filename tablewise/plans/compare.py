@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.operators.profile import basic_stats, column_info
-
-
-def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """column_name, n_missing, n_unique, and for numbers mean, std, min, max: one row per column."""
-    info = column_info(df, exact).select("column_name", F.col("n_null").alias("n_missing"), "n_unique")
-    stats = basic_stats(df).select("column_name", "mean", "std", "min", "max")
-    return info.join(F.broadcast(stats), "column_name", "left")   # one row per column on both sides
+from tablewise.operators.profile import column_profile
 
 
 def before_after(before: DataFrame, after: DataFrame, exact: bool = True) -> DataFrame:
-    """column_name and each statistic before and after, for columns present on either side."""
+    """column_name and each statistic before and after, for columns present on either side. With ``exact=False`` each
+    column of a side is read once."""
     sides = []
     for name, df in (("before", before), ("after", after)):
         profile = column_profile(df, exact)

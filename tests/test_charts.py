@@ -1,6 +1,8 @@
 """Chart tables on small frames and their invariants."""
 
 import math
+import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -152,3 +154,51 @@ def test_whole_analysis(frame):
 
 def test_box_stats_of_nothing(spark):
     assert charts.box_stats(spark.createDataFrame([(None,)], "y double"), "y").count() == 0
+
+
+def test_m4_keeps_what_a_line_shows(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, rng.randint(0, 90)]), rng.choice("ab"), rng.choice([None, 1.0, -3.5, rng.random()])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "x int, g string, y double")
+    points = [(x, g, y) for x, g, y in rows if x is not None and y is not None]
+    low, high = min(p[0] for p in points), max(p[0] for p in points)
+    columns = defaultdict(list)
+    for x, g, y in points:
+        columns[g, min(int((x - low) / (high - low) * 20), 19)].append((x, y))
+    found = {(r["group_value"], r["pixel"]): r for r in charts.line_m4(df, "x", "y", "g", width=20).collect()}
+    assert found.keys() == columns.keys()
+    for k, own in columns.items():
+        r = found[k]
+        assert (r["first_x"], r["first_y"]) == min(own) and (r["last_x"], r["last_y"]) == max(own)
+        assert (r["low_y"], r["low_x"]) == min((y, x) for x, y in own)
+        assert (-r["high_y"], r["high_x"]) == min((-y, x) for x, y in own) and r["n"] == len(own)
+    assert charts.line_m4(df.where("false"), "x", "y").count() == 0
+    assert [r["pixel"] for r in charts.line_m4(df.where("x = 7"), "x", "y").collect()] == [0]
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_m4_along_time(spark, kind):
+    df = spark.sql(f"""select cast(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id) as {kind}) as x, double(id) as y
+                       from range(100)""")
+    found = sorted(charts.line_m4(df, "x", "y", width=10).collect(), key=lambda r: r["pixel"])
+    assert [r["pixel"] for r in found] == list(range(10)) and sum(r["n"] for r in found) == 100
+    assert [r["last_y"] - r["first_y"] for r in found] == [r["n"] - 1 for r in found]
+
+
+def test_every_level_of_the_quadtree_is_a_density(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1), rng.choice([5.0, rng.random()]), rng.choice([None, 2, 7])) for _ in range(500)] + [(None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "x double, y double, s int")
+    tree = charts.density_quadtree(df, "x", "y", "s", levels=5).cache()
+    for level in range(6):
+        cells = {(r["xbin"], r["ybin"]): r["n"] for r in tree.where(f"level = {level}").collect()}
+        plain = {(r["xbin"] - 1, r["ybin"] - 1): r["n"] for r in charts.scatter_density(df, "x", "y", 2 ** level).collect()}
+        assert cells == plain
+    sizes = [s for x, _, s in rows if x is not None and s is not None]
+    assert tree.where("level = 0").first()["mean_size"] == pytest.approx(sum(sizes) / len(sizes))
+    for r in tree.where("level = 5").collect():
+        assert r["z"] == sum((r["xbin"] >> i & 1) << 2 * i | (r["ybin"] >> i & 1) << 2 * i + 1 for i in range(5))
+    view = charts.quadtree_view(tree, 2, 1, 3, detail=2)
+    assert sorted(view.collect()) == sorted(tree.where("level = 4 and shiftright(xbin, 2) = 1 and shiftright(ybin, 2) = 3").collect())
+    assert charts.density_quadtree(df.where("false"), "x", "y").count() == 0
+    assert {r["z"] for r in charts.density_quadtree(df.where("y = 5").withColumn("x", F.lit(1.0)), "x", "y").collect()} == {0}

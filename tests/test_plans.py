@@ -3,6 +3,7 @@
 import pytest
 
 from tablewise.operators import charts, clean, profile, recommend
+from tablewise.plans.compare import before_after
 from workload.inputs import dirty_lineitem, recommendations, table
 from workload.queries import QUERIES
 
@@ -84,3 +85,22 @@ def test_wide_duplicates_by_bitmap_move_only_rows_that_may_have_copies(spark):
     assert found.columns == df.columns and found.count() == 3_600
     moved = [n for n in plan(found).splitlines() if "Exchange hashpartitioning" in n]
     assert len(moved) == 1 and "BroadcastExchange" in plan(found)
+
+
+def test_a_sketched_comparison_scans_each_side_once(spark):
+    lineitem = table(spark, FOLDER, "lineitem").drop("l_shipdate", "l_comment")
+    assert plan(before_after(lineitem, lineitem.where("l_tax > 0"), exact=False)).count("FileScan") == 2
+    found = {r["column_name"]: r for r in profile.column_profile(lineitem, exact=False).collect()}
+    for r in profile.column_profile(lineitem).collect():
+        near = found[r["column_name"]]
+        assert (near["n_missing"], near["min"], near["max"]) == (r["n_missing"], r["min"], r["max"])
+        assert near["n_unique"] == pytest.approx(r["n_unique"], rel=0.15)
+        assert (near["mean"] is None) == (r["mean"] is None) and near["mean"] == pytest.approx(r["mean"])
+        assert near["std"] == pytest.approx(r["std"])
+
+
+def test_a_zoomed_chart_reads_a_range_of_the_stored_tree(spark, tmp_path):
+    tree = charts.density_quadtree(table(spark, FOLDER, "lineitem"), "l_partkey", "l_extendedprice", levels=6)
+    tree.write.parquet(str(tmp_path / "tree"))
+    text = plan(charts.quadtree_view(spark.read.parquet(str(tmp_path / "tree")), 2, 1, 2, detail=3))
+    assert "GreaterThanOrEqual(z," in text and "LessThan(z," in text

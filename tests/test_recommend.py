@@ -1,5 +1,7 @@
 """From text to chart plans, against a plain reading of the rules in Python."""
 
+import random
+
 import pytest
 
 from tablewise import chart_table, recommended_charts
@@ -107,3 +109,27 @@ def test_line_over_row_positions(spark):
     assert chart.x == "index"
     rows = chart_table(df, chart, key=["id"]).orderBy("x").collect()
     assert [(r.x, r.y) for r in rows] == [(i, float(-i)) for i in range(20)]
+
+
+def test_many_names_are_found_by_their_fragments(spark):
+    rng = random.Random(5)
+    names = [f"col_{i:04d}" for i in range(300)] + [f"{a}{b}" for a in "xyz" for b in "qw"] + [
+        "Net Sales", "net", "Größe", "ÉTAT", "a;b,c", "it's", "back\\slash", "two\nlines", "$1", "sales"]
+    rng.shuffle(names)
+    texts = [" ".join(rng.choice(names + ["plain", "words", "COL_"]).upper() if rng.random() < 0.5 else rng.choice(names)
+                      for _ in range(rng.randint(0, 8))) for _ in range(150)] + ["", "xq", "col_", "TWO\nLINES it's", None]
+    sections = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, section int, description string")
+    facts = recommend.TableFacts(names, [], [], {})
+    found = {(r["doc_id"], r["column_name"]): r["rnk"] for r in recommend.column_mentions(sections, facts).collect()}
+    expected = {}
+    for i, t in enumerate(texts):
+        for rank, n in enumerate([n for n in names if n.lower() in (t or "").lower()], 1):
+            expected[i, n] = rank
+    assert found == expected and len(found) > 300
+    plain = recommend.FEW_NAMES
+    try:
+        recommend.FEW_NAMES = len(names)
+        again = {(r["doc_id"], r["column_name"]): r["rnk"] for r in recommend.column_mentions(sections, facts).collect()}
+    finally:
+        recommend.FEW_NAMES = plain
+    assert again == found

@@ -641,3 +641,40 @@ ORACLES["q_recommended_charts"] = f"""with {SALES_SQL}, k as (select tax_bucket
 union all select 2, 'pie', case when m <= 8 or rnk <= 7 then value else 'Other' end,
   round(sum(n) / (select count(*) from sales), 4) from k group by 3
 union all select 3, 'box', l_returnflag, round(quantile_cont(l_quantity, 0.5), 4) from sales group by l_returnflag"""
+
+
+def _m4(points: str, pixels: int, at: str) -> str:
+    """The four points of each pixel column, by sorting."""
+    ends = {"first": "x, y", "last": "x desc, y desc", "low": "y, x", "high": "y desc, x"}
+    ranks = ", ".join(f"row_number() over (partition by group_value, pixel order by {o}) as {e}" for e, o in ends.items())
+    picked = ", ".join(f"max({c}) filter ({e} = 1) as {e}_{c}" for e in ends for c in ("x", "y"))
+    return f"""with p as ({points}), a as (select *, {at}::double as place from p where x is not null and y is not null),
+r as (select min(place) as lo, max(place) as hi from a),
+b as (select *, cast(least(floor((place - lo) / (hi - lo) * {pixels}), {pixels - 1}) as int) as pixel from a, r),
+k as (select *, {ranks} from b)
+select group_value, pixel, count(*) as n, {picked} from k group by group_value, pixel"""
+
+
+ORACLES["q_line_m4"] = _m4("select ts as x, event_type as group_value, value as y from events", 200, "epoch_us(x)")
+ORACLES["q_line_m4_positions"] = _m4("""select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  l_extendedprice) - 1 as x, 'all' as group_value, l_extendedprice as y from lineitem""", 300, "x")
+
+
+def _quadtree(source: str, levels: int) -> str:
+    z = " + ".join(f"(((xbin >> {i}) & 1) << {2 * i}) + (((ybin >> {i}) & 1) << {2 * i + 1})" for i in range(levels))
+    cells = 2 ** levels
+    return f"""v as ({source}), r as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from v),
+c as (select cast(least(floor((x - x0) / ((x1 - x0) / {cells})), {cells - 1}) as bigint) as fx,
+  cast(least(floor((y - y0) / ((y1 - y0) / {cells})), {cells - 1}) as bigint) as fy, s from v, r),
+l as (select cast(level as int) as level, fx >> ({levels} - level) as xbin, fy >> ({levels} - level) as ybin, s
+  from c, range(0, {levels + 1}) t(level)),
+tree as (select level, {z} as z, cast(xbin as int) as xbin, cast(ybin as int) as ybin, count(*) as n,
+  round(avg(s), 6) as mean_size from l group by level, xbin, ybin)"""
+
+
+ORACLES["q_scatter_quadtree"] = f"with {DIRTY_SQL}, " + _quadtree(
+    "select l_quantity as x, l_extendedprice as y, l_partkey::double as s from dirty "
+    "where l_quantity is not null and l_extendedprice is not null", 7) + " select * from tree"
+ORACLES["q_scatter_quadtree_view"] = "with " + _quadtree(
+    "select l_partkey::double as x, l_extendedprice as y, 0 as s from lineitem", 8) + """
+select level, z, xbin, ybin, n from tree where level = 7 and xbin >> 5 = 1 and ybin >> 5 = 2"""

@@ -440,6 +440,18 @@ def scatter_density(spark, folder):
     return charts.scatter_density(dirty_lineitem(spark, folder), "l_quantity", "l_extendedprice")
 
 
+@query
+def scatter_quadtree(spark, folder):
+    return rounded(charts.density_quadtree(dirty_lineitem(spark, folder), "l_quantity", "l_extendedprice", "l_partkey", levels=7))
+
+
+@query
+def scatter_quadtree_view(spark, folder):
+    """What a chart reads when a user zooms into one node."""
+    tree = charts.density_quadtree(table(spark, folder, "lineitem"), "l_partkey", "l_extendedprice", levels=8)
+    return charts.quadtree_view(tree, 2, 1, 2, detail=5).drop("mean_size")
+
+
 @query
 def scatter_refline(spark, folder):
     return charts.scatter_reference_line(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice")
@@ -471,6 +483,18 @@ def line_bucketed(spark, folder):
     return rounded(charts.line_bucketed(table(spark, folder, "events"), "ts", "value", "event_type"))
 
 
+@query
+def line_m4(spark, folder):
+    return charts.line_m4(table(spark, folder, "events"), "ts", "value", "event_type", width=200)
+
+
+@query
+def line_m4_positions(spark, folder):
+    """Without an x: positions by the key, and 300 pixels."""
+    return charts.line_m4(table(spark, folder, "lineitem"), None, "l_extendedprice", width=300,
+                          key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
 @query
 def area(spark, folder):
     return rounded(charts.area(table(spark, folder, "events"), "ts", "value"), 4)
