@@ -156,6 +156,31 @@ reach(a, b) as (select class, class from (select distinct class from classes)
 select sizes.doc_id, n as n_shingles, coalesce(root, sizes.doc_id) as component_id
 from sizes left join classes using (doc_id) left join (select a, min(b) as root from reach group by a) on a = class"""
 
+#: A line counts by the components of ``op4`` among the texts with a line that ten texts of the host share
+ORACLES["op6_quality"] = """with t as (select doc_id, coalesce(text, '') as text, coalesce('=' || source, '') as host from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from t),
+g as (select doc_id, i, gram, count(*) over (partition by doc_id, gram) as times from (select doc_id, i,
+    array_to_string(words[i:i + 4], ' ') as gram from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w))),
+repeated as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from g where times > 1) group by doc_id),
+l as (select doc_id, host, text, line, regexp_extract_all(lower(line), '[^\\s]+') as words
+  from (select *, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+twice as (select doc_id, count(*) - count(distinct line) as n from l group by doc_id),
+n as (select doc_id, host, text, array_to_string(words, ' ') as line, len(words) as n from l),
+shared as (select host, line from n group by host, line having count(distinct text) >= 10),
+carriers as (select distinct host, line, text from n join shared using (host, line)),
+carrying as (select min(doc_id) as doc_id, text from t where text in (select text from carriers) group by text),
+components as (""" + ORACLES["op4_ngram_join"].replace("from documents", "from carrying") + """),
+boilerplate as (select host, line from carriers join carrying using (text) join components using (doc_id)
+  group by host, line having count(distinct component_id) >= 10),
+gone as (select doc_id, sum(n)::bigint as n from n join boilerplate using (host, line) group by doc_id),
+c as (select w.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(twice.n, 0) as n_dup_lines,
+  coalesce(repeated.n, 0) as n_repeat_words, coalesce(gone.n, 0) as n_boilerplate_words
+  from w left join twice using (doc_id) left join repeated using (doc_id) left join gone using (doc_id)),
+v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  n_words - n_boilerplate_words < 0.3::double * n_words as depleted from c)
+select *, not base_failed and not depleted as kept from v"""
+
 #: Windows of ten words, or of all words of a shorter item
 ORACLES["op11_decontamination"] = """with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
