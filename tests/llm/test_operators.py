@@ -4,12 +4,16 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -23,6 +27,10 @@ FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, `Text 2` string, ids string, kept string"
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def texts_of(rows):
     return {r[0]: r[1] or "" for r in rows}
 
@@ -345,6 +353,41 @@ def test_language(spark, nothing, unidentified):
     assert language.identify_languages(nothing, models).count() == 0
 
 
+def test_language_against_a_loop(spark):
+    """Dictionaries from the first documents by hash, then every text encoded with each of them, one after the other."""
+    rows = [r for r in documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang").collect() if r["text"]]
+    learn = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"]]
+
+    def words(text):
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        return " ".join(w for i, w in enumerate(found) if i == 0 or w != found[i - 1])
+
+    counts = Counter(r["lang"] for r in learn)
+    expected = {}
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
+        hashed = [(signed(xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), 42)), r["text"]) for r in learn if r["lang"] == lang]
+        excerpts = [(h, t[h % max(1, len(t) - 1000):][:1000]) for h, t in hashed]
+        expected[lang] = " ".join(words(t) for _, t in sorted(excerpts)[:300]).encode()[:110 * 1024]
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = documents(spark, "/root/testdata/sf0.01")
+    learned = language.learn_languages(docs.where(~held))
+    assert list(learned.items()) == list(expected.items()) and max(counts.values()) > 100
+    found = {r["doc_id"]: r for r in language.identify_languages(docs.where(held), learned).collect()}
+    codecs = {lang: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
+        content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for lang, content in expected.items()}
+    clear = 0
+    for r in rows:
+        if r["doc_id"] not in found or not (own := words(r["text"])):
+            continue
+        data = b" " + own.encode()
+        sizes = {lang: sum(len(codec.compress(data[i:i + 512])) for i in range(0, len(data), 512)) for lang, codec in codecs.items()}
+        best, second = sorted(sizes.values())[:2]
+        if second - best >= 4:      # a dictionary prepared in advance may encode a byte or two differently
+            clear += 1
+            assert sizes[found[r["doc_id"]]["lang"]] == best
+    assert clear > 0.9 * len(found)
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 
 
@@ -448,6 +491,36 @@ def test_fingerprints(docs, rows, nothing, unidentified):
     assert fingerprints.compare_with_edited(unidentified).count() == 5
 
 
+def winnowed(text):
+    """The keys of a text by a plain loop: hash of each run of three tokens, least of every four, rightmost of equals."""
+    tokens = regex.findall(r"[\p{L}\p{N}]{1,4}|[^\p{L}\p{N}\x20\x09-\x0d]", text)
+    keys = []
+    for i in range(max(len(tokens) - 2, min(len(tokens), 1))):
+        h = 42
+        for token in tokens[i:i + 3]:
+            h = xxhash.xxh64_intdigest(token.encode(), h)
+        keys.append((signed(h) >> 29, -i))
+    kept = [min(keys[s:s + 4]) for s in range(max(len(keys) - 3, min(len(keys), 1)))]
+    return list(dict.fromkeys((h << 29) + fingerprints.LAST_PLACE + i for h, i in kept))
+
+
+def test_fingerprints_against_a_loop(docs, rows):
+    def like(a, b):
+        a, b = ({k >> 29 for k in keys} for keys in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    texts = texts_of(rows)
+    found = {r["doc_id"]: r for r in fingerprints.compare_with_edited(docs).collect()}
+    ids = sorted(texts)
+    own = {d: winnowed(texts[d]) for d in ids}
+    for i, d in enumerate(ids):
+        following = ids[(i + 1) % len(ids)]
+        edited = winnowed(found[d]["edited"])
+        assert found[d]["fingerprint"] == own[d] and found[d]["edited_fingerprint"] == edited
+        assert found[d]["near_edited"] == pytest.approx(like(own[d], edited))
+        assert found[d]["near_next"] == pytest.approx(like(own[d], own[following]))
+
+
 def test_rightmost_of_equal_hashes(spark):
     df = spark.createDataFrame([("aa bb cc " * 5,)], "t string")
     keys = fingerprints.with_fingerprint(df, "t", "f").select(fingerprints.places("f").alias("p"),
