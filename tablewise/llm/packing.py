@@ -16,7 +16,7 @@ from tablewise.llm.chunk_table import token_bytes
 from tablewise.llm.common import claim_worker, rows_of, with_text
 
 GROUP_DOCS = 4096
-CODED = "doc_id bigint, ids binary, g bigint"
+CODED = "doc_id bigint, n_ids bigint, sums binary, rest binary, g bigint"
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -96,25 +96,33 @@ def fill(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tup
     return full
 
 
-def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (item, start, length). Long items give full sequences first; their ends and the short
-    items are packed by first-fit decreasing; what padding that leaves is filled."""
-    sequences, rests = [], []
-    for i, n in enumerate(lengths):
-        sequences += [[(i, s, capacity)] for s in range(0, n - capacity + 1, capacity)]
-        if n % capacity:
-            rests.append((i, n - n % capacity, n % capacity))
+def pack_rests(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (item, start, length) that hold what follows the full sequences of each item: packed by
+    first-fit decreasing; what padding that leaves is filled."""
+    rests = [(i, n - n % capacity, n % capacity) for i, n in enumerate(lengths) if n % capacity]
     bins = first_fit_decreasing([r[2] for r in rests], capacity)
-    return sequences + fill([[rests[i] for i in b] for b in bins], capacity)
+    return fill([[rests[i] for i in b] for b in bins], capacity)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool,
+            capacity: int) -> Iterator[pa.RecordBatch]:
+    """What a group must know of a document: the checksums of its full sequences and the ids behind them."""
     claim_worker("packing")
-    end = np.array([end_id], "<u4").tobytes()
+    end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for rows in rows_of(batches):
-        coded = token_bytes(rows.column("text").to_pylist(), path, spaces=True, special=special)
-        ids = pa.array([_narrow(c + end) for c in coded], pa.binary())
-        yield pa.record_batch([rows.column("doc_id"), ids, rows.column("g")], names=["doc_id", "ids", "g"])
+        n_ids, sums, rests = [], [], []
+        for coded in token_bytes(rows.column("text").to_pylist(), path, spaces=True, special=special):
+            ids = memoryview(coded + end)
+            full = len(ids) - len(ids) % size
+            n_ids.append(len(ids) // 4)
+            sums.append(np.array([zlib.crc32(ids[s:s + size]) for s in range(0, full, size)], "<u4").tobytes())
+            rests.append(_narrow(bytes(ids[full:])))
+        yield pa.record_batch([rows.column("doc_id"), pa.array(n_ids, pa.int64()), pa.array(sums, pa.binary()),
+                               pa.array(rests, pa.binary()), rows.column("g")], names=names_of(CODED))
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -127,21 +135,35 @@ def _widened(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+def _full_sequences(n_ids: np.ndarray, sums: list[bytes], capacity: int) -> tuple[np.ndarray, ...]:
+    """(item, start, length, checksum, offset) of the sequences that one item fills alone, in order."""
+    count = n_ids // capacity
+    item = np.repeat(np.arange(len(n_ids)), count)
+    before = np.repeat(np.cumsum(count) - count, count)
+    start = (np.arange(len(item)) - before) * capacity
+    return (item, start, np.full(len(item), capacity), np.frombuffer(b"".join(sums), "<u4"),
+            np.zeros(len(item), np.int64))
+
+
 def _pack(group: int, rows: pa.Table, capacity: int) -> pa.Table:
     rows = rows.sort_by("doc_id")
-    doc_ids = rows.column("doc_id").to_pylist()
-    ids = [_widened(b) for b in rows.column("ids").to_pylist()]
-    first = group << 32
-    out = []
-    for s, sequence in enumerate(pack_lengths([len(x) for x in ids], capacity)):
+    n_ids = rows.column("n_ids").to_numpy()
+    full = _full_sequences(n_ids, rows.column("sums").to_pylist(), capacity)
+    rests = [_widened(b) for b in rows.column("rest").to_pylist()]
+    pieces, numbers = [], []
+    for s, sequence in enumerate(pack_rests(n_ids.tolist(), capacity), len(full[0])):
         offset = 0
         for item, start, length in sequence:
-            piece = ids[item][start:start + length]
-            out.append((doc_ids[item], start, length, zlib.crc32(piece.tobytes()), len(ids[item]), first + s, offset))
+            at = start % capacity
+            pieces.append((item, start, length, zlib.crc32(rests[item][at:at + length].tobytes()), offset))
+            numbers.append(s)
             offset += length
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    columns = zip(*out) if out else [[]] * len(names)
-    return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=names)
+    cut = np.array(pieces, np.int64).reshape(-1, 5).T
+    item, start, length, crc, offset = (np.concatenate([a.astype(np.int64), b]) for a, b in zip(full, cut))
+    sequence = (group << 32) + np.concatenate([np.arange(len(full[0])), np.array(numbers, np.int64)])
+    doc_ids = rows.column("doc_id").take(pa.array(item))
+    return pa.table([doc_ids, *map(pa.array, (start, length, crc, n_ids[item], sequence, offset))],
+                    names=names_of(PIECES))
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = GROUP_DOCS,
@@ -150,7 +172,9 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, g
 
     Each document is its ids and ``end_id``; every id lies in exactly one piece. Documents are dealt into groups
     of about ``group_docs`` by a hash of id and text, and each group is packed on its own, so that a task holds
-    one group, whatever the size of the table. The ids travel with the group as two bytes each. ``special``: see
+    one group, whatever the size of the table. Sequences that one document fills alone are cut where it is encoded;
+    only their checksums and the fewer than ``capacity`` ids behind them travel to the group, two bytes an id as a
+    rule. So a group of 4,096 documents holds some 8 MB of ids, however long the documents are. ``special``: see
     ``token_bytes``.
 
     Defined results: a missing or empty text is the end id alone; repeated rows are packed each for itself; a
@@ -158,7 +182,8 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, g
     """
     groups = max(1, ceil(df.count() / group_docs))
     coded = with_text(df, id_col, text_col).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    encoded = coded.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id, special=special), CODED)
+    encoded = coded.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id, special=special, capacity=capacity),
+                               CODED)
 
     def packed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         return _pack(key[0].as_py(), rows, capacity)

@@ -125,7 +125,10 @@ def test_table_memory_is_bounded():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=40))
 def test_packing(lengths):
-    sequences = packing.pack_lengths(lengths, 32)
+    full = [[(i, s, 32)] for i, n in enumerate(lengths) for s in range(0, n - 31, 32)]
+    sequences = full + packing.pack_rests(lengths, 32)
+    item, start, *_ = packing._full_sequences(np.array(lengths, np.int64), [b"\0" * (n // 32 * 4) for n in lengths], 32)
+    assert [[(i, s, 32)] for i, s in zip(item, start)] == full
     cover = {}
     for s in sequences:
         used = sum(p[2] for p in s)
@@ -141,6 +144,19 @@ def test_packing(lengths):
     assert sum(sum(p[2] for p in s) < 32 for s in sequences) <= 5
 
 
+def test_long_documents_do_not_travel_to_their_group():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = pa.record_batch({"doc_id": [1, 2], "text": ["lorem ipsum dolor " * 40_000, ""], "g": [0, 0]})
+    [coded] = packing._encode([rows], path, 0, False, 1024)
+    long, empty = coded.to_pylist()
+    assert long["n_ids"] > 100_000 and len(long["rest"]) <= 1 + 2 * 1023
+    assert len(long["sums"]) == 4 * (long["n_ids"] // 1024)
+    assert empty["n_ids"] == 1 and empty["sums"] == b""
+    pieces = packing._pack(3, pa.Table.from_batches([coded]), 1024).to_pylist()
+    assert sum(p["length"] for p in pieces) == long["n_ids"] + 1
+    assert {p["sequence_id"] >> 32 for p in pieces} == {3}
+
+
 def test_first_fit_decreasing():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(300)]
