@@ -46,6 +46,33 @@ def test_lengths_out_of_range_are_refused(spark):
             suffix_dedup.remove_repeats(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), length)
 
 
+def test_a_string_that_most_documents_repeat_is_dealt_to_several_tasks(spark, monkeypatch):
+    plans, stage = {}, suffix_dedup.stage
+
+    def staged(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stage", staged)
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+                "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {f"spark.sql.{k}": spark.conf.get(f"spark.sql.{k}") for k in settings}
+    rng = random.Random(3)
+    rows = [(i, "-" * 900 + prose(rng, 60)) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        found = suffix_dedup.remove_repeats(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in plans["anchors-repeated"]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [
+        (i, n) for (i, _), n in zip(rows, covered([t for _, t in rows], 400))]
+
+
 def test_one_of_each_where_ids_are_shared(spark):
     rng = random.Random(5)
     text, other, third = prose(rng, 60), prose(rng, 60), prose(rng, 60)
