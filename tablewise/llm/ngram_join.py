@@ -300,38 +300,43 @@ class ShingleJoin:
         several = members.where("size > 2").select("hub", "node").distinct()
         root = F.coalesce("root", "node").alias("root")
         placed = stage(several.join(small(roots), "node", "left").select("hub", "node", root), "shingle-placed")
-        open_ = placed.groupBy("hub").agg(
-            F.count(F.lit(1)).alias("all"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_ = stage(placed.groupBy("hub").agg(
+            F.count(F.lit(1)).alias("all"), F.min("root").alias("low"), F.max("root").alias("high"))
+            .where("low < high").select("hub", "all"), "shingle-open")
+        # Bitmaps come last: the places of a class are found from its size, in rows of a few numbers.
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DOWN / UP))).cast("int").alias("band")
+        rows = stage(placed.join(open_, "hub").join(signatures.select("node", "n"), "node").select(
+            "hub", "node", "root", "all", band), "shingle-open-classes")
+        tiles = stage(rows.where(F.col("all") > TILE).groupBy("hub", "band").agg(
+            F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "shingle-bands")
+        # the tiles of a band and of those above and below, from one row for each of the three
+        bands = tiles.select("hub", "tiles", F.inline(F.array(*[
+            F.struct((F.col("band") + step).alias("band"), F.lit(name).alias("of"))
+            for step, name in ((0, "tiles"), (-1, "above"), (1, "below"))])))
+        bands = stage(bands.groupBy("hub", "band").agg(*[
+            F.max(F.when(F.col("of") == name, F.col("tiles"))).alias(name) for name in ("tiles", "above", "below")])
+            .where("tiles is not null"), "shingle-tiles")
+
+        def places(last: str, row: str, column: str, side: str, next_: int, band: str = "band") -> str:
+            place = f"named_struct('band', {band}, 'row', {row}, 'column', {column}, 'side', {side}, 'next', {next_})"
+            return f"if({last} is null, array(), transform(sequence(0, {last} - 1), i -> {place}))"
+
+        own = places("tiles", "least(i, tile)", "greatest(i, tile)", "if(tile > i, 1, 0)", 0)
+        up = places("above", "tile", "i", "0", 1)
+        down = places("below", "i", "tile", "1", 1, "band - 1")
+        whole = "array(named_struct('band', 0, 'row', 0, 'column', 0, 'side', 0, 'next', 0))"
+        tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        placed = rows.join(bands, ["hub", "band"], "left").withColumn("tile", tile).selectExpr(
+            "hub", "node", "root", f"inline(if(tiles is null, {whole}, concat({own}, {up}, {down})))")
         with_bits = stage(signatures.select("node", "n", "bits").mapInArrow(
             _folded, "node bigint, n bigint, bits binary"), "shingle-tile-bits")
-        rows = placed.join(open_.select("hub", "all"), "hub").join(with_bits, "node")
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DOWN / UP))).cast("int")
-        narrow = rows.where(F.col("all") <= TILE).select(
-            "hub", *[F.lit(0).alias(c) for c in ("band", "row", "column", "side", "next")], "node", "root",
-            "n", "bits")
-        wide = rows.where(F.col("all") > TILE).withColumn("band", band)
-        bands = wide.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-        wide = wide.join(bands, ["hub", "band"]).withColumn(
-            "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        above = bands.select("hub", (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_above"))
-        below = bands.select("hub", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
-        wide = wide.join(above, ["hub", "band"], "left").join(below, ["hub", "band"], "left")
-
-        def tiles(last: str, row: str, column: str, side: str, next_: int, band: str = "band"):
-            at = F.sequence(F.lit(0), F.col(last) - 1)
-            return wide.where(F.col(last) > 0).withColumn("i", F.explode(at)).selectExpr(
-                "hub", f"{band} as band", f"cast({row} as int) as row", f"cast({column} as int) as column",
-                f"cast({side} as int) as side", f"{next_} as next", "node", "root", "n", "bits")
-
-        own = tiles("tiles", "least(i, tile)", "greatest(i, tile)", "if(tile > i, 1, 0)", 0)
-        up = tiles("tiles_above", "tile", "i", "0", 1)
-        down = tiles("tiles_below", "i", "tile", "1", 1, "band - 1")
+        laid = placed.join(with_bits, "node").select(
+            "hub", "band", "row", "column", "side", "next", "node", "root", "n", "bits")
         key = ["hub", "band", "row", "column", "next"]
 
         def compared(rows: pa.Table) -> pa.Table:
             return _tile(rows)
 
-        laid = narrow.union(own.union(up).union(down).select(narrow.columns))
         return laid.groupBy(*key).applyInArrow(compared, "a bigint, b bigint").distinct()
 
 

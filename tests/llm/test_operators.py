@@ -17,10 +17,12 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tablewise.llm import components as stars
 from tablewise.llm import fingerprints, language, ngram_join, packing, pieces, pii, quality, queries, suffix_dedup
 from tablewise.llm import token_files, toxicity
 from tablewise.llm.common import documents, small_batches, with_text
 from tablewise.llm.components import connected_components
+from tablewise.sources.staging import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDER = "/root/testdata/sf0.001"
@@ -288,6 +290,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_plans_of_the_join_stay_small(spark, monkeypatch):
+    """The driver keeps every plan: none may hold a written table again and again (before: 12 times in a
+    round of components, 39 times for the candidate pairs)."""
+    scans = {}
+
+    def counting(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        scans[name] = max(scans.get(name, 0), plan.count("Relation "))
+        return stage(df, name)
+
+    monkeypatch.setattr(stars, "stage", counting)
+    monkeypatch.setattr(ngram_join, "stage", counting)
+    text = " ".join(map(str, range(40)))
+    rows = [(i, f"{text} {i} {i % 3} {i % 2}") for i in range(6)]
+    found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, 0) for i in range(6)}
+    assert {"links", "shingle-tile-pairs"} <= set(scans)
+    assert max(scans.values()) <= 6, scans
+
+
 # --- 5, 8 ------------------------------------------------------------------------------------------
 
 
